@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowtide.llm import mixing, pieces, quality, token_store
+from rowtide.llm import mixing, pieces, pii, quality, token_store
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,7 +41,17 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.store_tokens(docs, tokenizer_path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mix_sources, op3_quality_classifier, op4_piece_encoding, op9_token_store)}
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kinds = [F.size(F.filter("_base", _of_kind(k))).cast("long").alias(f"n_{k}") for k in ("email", "ip", "card", "phone")]
+    return found.select("doc_id", *kinds, F.sha2(pii.span_text(F.col("_base")), 256).alias("base_sha256"), pii.span_text(F.col("_spans")).alias("spans"))
+
+
+def _of_kind(kind: str):
+    return lambda s: s["kind"] == kind
+
+
+QUERIES = {f.__name__: f for f in (op2_mix_sources, op3_quality_classifier, op4_piece_encoding, op9_token_store, op10_pii)}
 
 ORACLE = {
     "op2_mix_sources": """

@@ -16,6 +16,7 @@ the input, so a task that runs again after a lost executor writes the same file
 from __future__ import annotations
 
 import itertools
+import re
 import struct
 import uuid
 import zlib
@@ -121,21 +122,27 @@ def file_system(folder: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(folder)
 
 
-#: Upper to lower case and white space to blanks, for texts of ASCII only; white space alone for others.
+#: Upper to lower case and white space to blanks; white space alone.
 _LOWER = bytes(32 if c in b"\t\n\v\f\r" else c + 32 if 65 <= c <= 90 else c for c in range(256))
 _BLANK = bytes(32 if c in b"\t\n\v\f\r" else c for c in range(256))
 
 
+#: Bytes of texts that lower-casing A-Z first cannot change otherwise: ASCII and composed Latin-1 letters, no combining marks.
+_PLAIN = bytes([*range(0xC0), 0xC3])
+#: Between an ASCII letter or digit and an ASCII sign, where the vocabulary's pattern always splits.
+_EDGE = re.compile(rb"(?<=[A-Za-z0-9])(?=[!-/:-@\[-`{-~])|(?<=[!-/:-@\[-`{-~])(?=[A-Za-z0-9])")
+
+
 class WordEncoder(dict):
     """Ids of whole texts from the ids of their words, as little-endian uint32 bytes.
 
-    The vocabulary drops white space before it merges, so a text's ids are those of its words one after another. A text
-    of ASCII may be lower-cased first, and a full stop or comma after a letter stands apart: the pattern that splits words
-    does the same. Words of letters alone come from the library many at a time and are told apart by the word-end marks.
-    The word table is dropped when it exceeds ``most`` words.
+    The vocabulary drops white space before it merges, so a text's ids are those of its words one after another, and a
+    word's are those of its letters and signs apart (but for apostrophes and special tokens). Words of letters alone
+    come from the library many at a time and are told apart by the word-end marks. The table is dropped when it exceeds
+    ``most`` words.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 1_400_000):
         from tokenizers import Tokenizer
 
         super().__init__({b"": b""})
@@ -144,26 +151,30 @@ class WordEncoder(dict):
         self.ends = np.zeros(max(self.library.get_vocab().values()) + 1, bool)
         self.ends[ends] = True
 
+    @staticmethod
+    def parts(word: bytes) -> list[bytes]:
+        return [word] if word.isalpha() or b"'" in word or b"<|" in word else _EDGE.split(word)
+
     def __missing__(self, word: bytes) -> bytes:
-        if word[-1] in b".," and word[-2:-1].isalpha():
-            ids = self[word[:-1]] + self[word[-1:]]
-        else:
-            ids = np.array(self.library.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        parts = self.parts(word)
+        ids = b"".join([self[x] for x in parts]) if len(parts) > 1 else self.alone(word)
         self[word] = ids
         return ids
 
+    def alone(self, word: bytes) -> bytes:
+        return np.array(self.library.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+
     def learn(self, words: set[bytes]) -> None:
-        """Encode many unknown words at once."""
-        new = sorted({w for x in words if x not in self for w in (x[:-1] if x[-1] in b".," else x,) if w not in self and w.isalpha()})
-        if not new:
-            return
-        # bytes.isalpha() is true for ASCII letters only, each such word is one piece of the splitting pattern
+        """Encode the unknown words of letters at once."""
+        new = {x for word in words if word not in self for x in self.parts(word)}
+        new = sorted(x for x in new if x not in self and x.decode().isalpha())
         groups = [new[i : i + 512] for i in range(0, len(new), 512)]
         for group, found in zip(groups, self.library.encode_batch_fast([b" ".join(g).decode() for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(found.ids, "<u4")
             ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) != len(group):
-                raise AssertionError("a word of letters is not one piece")
+            if len(ends) != len(group):  # a letter that is decomposed: its word is several pieces
+                self.update((word, self.alone(word)) for word in group)
+                continue
             raw = ids.tobytes()
             for word, lo, hi in zip(group, [0, *(ends[:-1] * 4).tolist()], (ends * 4).tolist(), strict=True):
                 self[word] = raw[lo:hi]
@@ -172,8 +183,8 @@ class WordEncoder(dict):
         if len(self) > self.most:
             self.clear()
             self[b""] = b""
-        split = [(x.translate(_LOWER) if x.isascii() else x.translate(_BLANK)).split(b" ") for x in texts]
-        self.learn(set(itertools.chain.from_iterable(split)) - {b""})
+        split = [x.translate(_BLANK if x.translate(None, _PLAIN) else _LOWER).split(b" ") for x in texts]
+        self.learn(set(itertools.chain.from_iterable(split)))
         return [b"".join(map(self.__getitem__, words)) for words in split]
 
 
@@ -261,7 +272,9 @@ def read_documents(files: DataFrame, folder: str) -> DataFrame:
                     ["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    return placed.select("path", "offset").repartition("path").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # a number of its own: a short list of files must not end up in one task
+    tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return placed.select("path", "offset").repartition(tasks, "path").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def store_tokens(docs: DataFrame, tokenizer: str, end_id: int = 1, folder: str | None = None) -> DataFrame:

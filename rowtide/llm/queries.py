@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowtide.llm import mixing, pieces, pii, quality, token_store
+from rowtide.llm import mixing, pages, pieces, pii, quality, token_store
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op4_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_texts(docs, tokenizer_path("piece_bpe_32k.model")).drop("text")
 
 
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_store.store_tokens(docs, tokenizer_path("word_bpe_49k.json"))
@@ -51,7 +55,7 @@ def _of_kind(kind: str):
     return lambda s: s["kind"] == kind
 
 
-QUERIES = {f.__name__: f for f in (op2_mix_sources, op3_quality_classifier, op4_piece_encoding, op9_token_store, op10_pii)}
+QUERIES = {f.__name__: f for f in (op2_mix_sources, op3_quality_classifier, op4_piece_encoding, op8_main_text, op9_token_store, op10_pii)}
 
 ORACLE = {
     "op2_mix_sources": """

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowtide.llm import mixing, pages, pieces, pii, quality, token_store
+from rowtide.llm import bit_slices, mixing, neighbours, pages, pieces, pii, quality, token_store
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,14 @@ def op4_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_texts(docs, tokenizer_path("piece_bpe_32k.model")).drop("text")
 
 
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 10)
+
+
+def op6_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bit_slices.top_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
 def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
 
@@ -55,7 +63,7 @@ def _of_kind(kind: str):
     return lambda s: s["kind"] == kind
 
 
-QUERIES = {f.__name__: f for f in (op2_mix_sources, op3_quality_classifier, op4_piece_encoding, op8_main_text, op9_token_store, op10_pii)}
+QUERIES = {f.__name__: f for f in (op2_mix_sources, op3_quality_classifier, op4_piece_encoding, op5_nearest_neighbours, op6_top_products, op8_main_text, op9_token_store, op10_pii)}
 
 ORACLE = {
     "op2_mix_sources": """
@@ -89,5 +97,27 @@ WITH sized AS (
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
   CAST((whole + CASE WHEN size > 0 AND start + size / 2.0 <= target - whole * source_size THEN 1 ELSE 0 END) * size AS BIGINT) AS taken
 FROM drawn
-"""
+""",
+    "op5_nearest_neighbours": """
+WITH v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+), pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_distance(q.e, c.e) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER) AS rank FROM pairs
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+""",
+    "op6_top_products": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding::DOUBLE[], x -> floor(256 * x)) AS e FROM embeddings
+), pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM pairs
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+""",
 }

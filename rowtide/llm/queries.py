@@ -111,7 +111,7 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 """,
     "op6_top_products": """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding::DOUBLE[], x -> floor(256 * x)) AS e FROM embeddings
+  SELECT vec_id, [floor(256 * x) for x in embedding::DOUBLE[]] AS e FROM embeddings
 ), pairs AS (
   SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
   FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0

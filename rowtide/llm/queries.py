@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowtide.llm import bit_slices, mixing, neighbours, pages, pieces, pii, quality, token_store
+from rowtide.llm import bit_slices, mixing, near_copies, neighbours, pages, pieces, pii, quality, token_store
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +44,10 @@ def op6_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bit_slices.top_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_copies.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
+
+
 def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
 
@@ -63,7 +67,7 @@ def _of_kind(kind: str):
     return lambda s: s["kind"] == kind
 
 
-QUERIES = {f.__name__: f for f in (op2_mix_sources, op3_quality_classifier, op4_piece_encoding, op5_nearest_neighbours, op6_top_products, op8_main_text, op9_token_store, op10_pii)}
+QUERIES = {f.__name__: f for f in (op2_mix_sources, op3_quality_classifier, op4_piece_encoding, op5_nearest_neighbours, op6_top_products, op7_near_duplicates, op8_main_text, op9_token_store, op10_pii)}
 
 ORACLE = {
     "op2_mix_sources": """

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowtide.llm import bit_slices, mixing, near_copies, neighbours, pages, pieces, pii, quality, token_store
+from rowtide.llm import bit_slices, mixing, near_copies, neighbours, pages, pieces, pii, quality, repeats, token_store
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -67,7 +71,7 @@ def _of_kind(kind: str):
     return lambda s: s["kind"] == kind
 
 
-QUERIES = {f.__name__: f for f in (op2_mix_sources, op3_quality_classifier, op4_piece_encoding, op5_nearest_neighbours, op6_top_products, op7_near_duplicates, op8_main_text, op9_token_store, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_repeat_removal, op2_mix_sources, op3_quality_classifier, op4_piece_encoding, op5_nearest_neighbours, op6_top_products, op7_near_duplicates, op8_main_text, op9_token_store, op10_pii)}
 
 ORACLE = {
     "op2_mix_sources": """

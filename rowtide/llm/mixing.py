@@ -16,8 +16,8 @@ from rowtide.llm.totals import running_totals
 
 #: Words are runs of characters other than these white space ones.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows of a source that one sampling window holds, about.
-WINDOW_ROWS = 20_000
+#: Sources up to this many are broadcast when copies are made.
+MOST_BROADCAST = 100_000
 
 
 def water_fill(sources: DataFrame, max_epochs: float = 3.0) -> DataFrame:
@@ -50,21 +50,20 @@ def by_code_point(sources: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> D
     return ranked.withColumn("weight", turn.cast("long")).drop("_one", "_rank")
 
 
-def mix(docs: DataFrame, size: Column | None = None, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, seed: str = "mix-1", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """How often the mix takes each document: ``keep`` columns, size, source, source_size, target, copies, taken.
+def _size(size: Column | None) -> Column:
+    return F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long") if size is None else size
 
-    Every document is taken floor(target / source_size) times; the rest of the target goes to documents in the order of
-    md5(seed:doc_id), each of which is taken once more if its middle word still falls into it. A source's words differ from
-    its target by half a document at most. Reruns agree, whatever the partitioning.
 
-    Null source is a source of its own, null text has size 0 (copies by whole repetitions, taken 0), repeated rows are
-    drawn one by one, other columns are left alone. A hot source is drawn in windows of about ``WINDOW_ROWS`` rows.
-    """
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long") if size is None else size
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    rows = cut(docs.select(*keep, *([] if "source" in keep else ["source"]), size.alias("size"), key.alias("_key")))
+def _key(seed: str) -> Column:
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+
+
+def _drawn(docs: DataFrame, size: Column | None, weights: tuple[int, ...], max_epochs: int, seed: str) -> DataFrame:
+    """doc_id, source, size, source_size, target, _key, _whole, _more for each row; texts are not carried along."""
+    rows = cut(docs.select("doc_id", "source", _size(size).alias("size"), _key(seed).alias("_key")))
     sources = cut(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_rows")))
-    targets = cut(water_fill(by_code_point(sources, weights), max_epochs).withColumn("_windows", F.floor(F.col("_rows") / WINDOW_ROWS) + 1))
+    # a source is drawn in about as many windows as a window has rows
+    targets = cut(water_fill(by_code_point(sources, weights), max_epochs).withColumn("_windows", F.floor(F.sqrt("_rows")) + 1))
     joined = rows.withColumnRenamed("source", "_s").join(targets, F.col("_s").eqNullSafe(F.col("source"))).drop("_s")
     cell = F.floor(F.conv(F.substring("_key", 1, 6), 16, 10).cast("long") * F.col("_windows") / F.lit(1 << 24))
     joined = joined.withColumn("_cell", cell)
@@ -75,14 +74,39 @@ def mix(docs: DataFrame, size: Column | None = None, weights: tuple[int, ...] =
     within = Window.partitionBy("source", "_cell").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("_cell_from") + F.coalesce(F.sum("size").over(within), F.lit(0))
     whole = F.coalesce(F.floor(F.try_divide(F.col("target"), F.col("source_size"))), F.lit(0)).cast("long")
-    rest = F.col("target") - F.col("_whole") * F.col("source_size")
     drawn = drawn.withColumn("_start", start).withColumn("_whole", whole)
-    copies = F.col("_whole") + F.when((F.col("size") > 0) & (F.col("_start") + F.col("size") / 2 <= rest), 1).otherwise(0)
-    drawn = drawn.withColumn("copies", copies.cast("long"))
-    return drawn.select(*keep, "size", *([] if "source" in keep else ["source"]), "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    rest = F.col("target") - F.col("_whole") * F.col("source_size")
+    return drawn.withColumn("_more", (F.col("size") > 0) & (F.col("_start") + F.col("size") / 2 <= rest))
+
 
+def mix(docs: DataFrame, size: Column | None = None, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, seed: str = "mix-1") -> DataFrame:
+    """How often the mix takes each row of ``docs`` (doc_id, text, source): doc_id, source, size, source_size, target, copies, taken.
 
-def repeat_rows(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as :func:`mix` takes it; its columns unchanged."""
-    taken = mix(docs, keep=tuple(docs.columns), **how)
-    return taken.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    Every document is taken floor(target / source_size) times; the rest of the target goes to documents in the order of
+    md5(seed:doc_id), each of which is taken once more if its middle word still falls into it. A source's words differ from
+    its target by half a document at most. Reruns agree, whatever the partitioning.
+
+    Null source is a source of its own, null text has size 0 (taken 0), repeated rows are drawn one by one, other columns are
+    left alone, an empty table gives none. A hot source is drawn in many windows.
+    """
+    drawn = _drawn(docs, size, weights, max_epochs, seed)
+    drawn = drawn.withColumn("copies", F.col("_whole") + F.col("_more").cast("long"))
+    return drawn.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def repeat_rows(docs: DataFrame, size: Column | None = None, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, seed: str = "mix-1") -> DataFrame:
+    """The mix itself: each row of ``docs`` as often as :func:`mix` takes it; its columns unchanged.
+
+    What a source takes once more is a beginning of its order, so a row finds its copies from its source's last one taken,
+    and texts are not shuffled. Rows that share id and size are taken alike.
+    """
+    drawn = _drawn(docs, size, weights, max_epochs, seed)
+    last = F.max(F.when(F.col("_more"), F.struct("_key", "doc_id", "size")))
+    sources = cut(drawn.groupBy("source").agg(F.first("_whole").alias("_whole"), last.alias("_last")).withColumnRenamed("source", "_source"))
+    if sources.count() <= MOST_BROADCAST:
+        sources = F.broadcast(sources)
+    own = F.struct(_key(seed).alias("_key"), F.col("doc_id").alias("doc_id"), _size(size).alias("size"))
+    more = F.coalesce((own["size"] > 0) & (own <= F.col("_last")), F.lit(False))
+    placed = docs.join(sources, docs["source"].eqNullSafe(sources["_source"]))
+    taken = placed.withColumn("_copies", F.col("_whole") + more.cast("long")).where("_copies > 0")
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)

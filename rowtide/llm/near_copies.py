@@ -302,6 +302,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     return whole.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def without_near_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` without the rows that :func:`near_duplicates` does not keep; all columns as they were."""
+    gone = cut(near_duplicates(docs, words, percent).where(~F.col("kept")).select("doc_id").distinct())
+    if gone.count() <= MOST_BROADCAST:
+        gone = F.broadcast(gone)
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")
+
+
 def _dense(nodes: DataFrame, sketch: DataFrame) -> DataFrame:
     """Pairs between the members of large nodes outside the node's largest component and all others, in blocks."""
     counts = nodes.groupBy("node", "label").agg(F.count(F.lit(1)).alias("size"))

@@ -16,9 +16,10 @@ import itertools
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from rowtide.llm.common import by_bytes
 from rowtide.llm.token_store import texts_of
@@ -165,8 +166,8 @@ class PieceEncoder(dict):
         """Pieces joined, space marks turned to spaces, the mark before the text removed, bytes read as UTF-8."""
         return b"".join([self.model.shown[i] for i in ids]).removeprefix(b" ").decode("utf-8", "replace")
 
-    def digest(self, text: str) -> tuple[int, str, str]:
-        """Number of ids with the end id, sha256 of the ids as decimals, sha256 of the decoded text.
+    def digest(self, text: str) -> tuple[int, str, str, bytes]:
+        """Number of ids with the end id, sha256 of the ids as decimals, sha256 of the decoded text, the ids as decimals.
 
         Where every space stands alone inside the text, a word at a time: encoding and decoding both go word by word.
         """
@@ -181,7 +182,7 @@ class PieceEncoder(dict):
             words = text.split(" ")
             ids = b" ".join([*map(self.__getitem__, words), end])
             n, decoded = ids.count(b" ") + 1, b"".join(map(self.shown.__getitem__, words)).removeprefix(b" ")
-        return n, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()
+        return n, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest(), ids
 
 
 _encoders: dict[str, PieceEncoder] = {}
@@ -193,14 +194,14 @@ def encoder(path: str) -> PieceEncoder:
     return _encoders[path]
 
 
-def encode_texts(docs: DataFrame, model: str) -> DataFrame:
-    """All columns of ``docs`` and ``n_tokens``, ``ids_sha256``, ``decoded_sha256`` of its whole texts, null as empty.
+def encode_texts(docs: DataFrame, model: str, ids: bool = False) -> DataFrame:
+    """All columns of ``docs`` and ``n_tokens``, ``ids_sha256``, ``decoded_sha256`` of its whole texts (and ``ids``, if asked for).
 
-    Columns of ``docs`` with these names are replaced. The empty text has the end id alone and decodes to the empty text.
+    Columns of ``docs`` with these names are replaced. A null text is empty; it has the end id alone and decodes to nothing.
     """
-    new = ["n_tokens", "ids_sha256", "decoded_sha256"]
+    new = {"n_tokens": LongType(), "ids_sha256": StringType(), "decoded_sha256": StringType()} | ({"ids": ArrayType(IntegerType())} if ids else {})
     docs = docs.drop(*new)
-    schema = StructType([*docs.schema.fields, StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType())])
+    schema = StructType([*docs.schema.fields, *(StructField(k, t) for k, t in new.items())])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = encoder(model)
@@ -208,6 +209,9 @@ def encode_texts(docs: DataFrame, model: str) -> DataFrame:
             for part in by_bytes(batch, "text"):
                 rows = [pieces.digest(x.decode()) for x in texts_of(part)]
                 made = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string()))]
+                if ids:
+                    numbers = np.fromstring(b" ".join([r[3] for r in rows]), np.int32, sep=" ")
+                    made.append(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([r[0] for r in rows])), pa.int32()), pa.array(numbers)))
                 yield pa.RecordBatch.from_arrays([*part.columns, *made], [*part.schema.names, *new])
 
     return docs.mapInArrow(encode, schema)

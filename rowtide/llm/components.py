@@ -20,10 +20,8 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("near"))
         low = labels.join(near, labels.node == near.a).select("node", "label", F.least("label", "near").alias("low"))
-        low = cut(low)
         jump = low.select(F.col("node").alias("at"), F.col("low").alias("far"))
         new = cut(low.join(jump, low.low == jump["at"], "left").select("node", "label", F.least("low", F.coalesce("far", "low")).alias("new")))
-        changed = new.where("new <> label").limit(1).count()
         labels = new.select("node", F.col("new").alias("label"))
-        if not changed:
+        if new.where("new <> label").isEmpty():
             return labels

@@ -8,15 +8,17 @@ sets of similarity 0.8 meet in depth d of a tree with probability p(d), p(d + 1)
 repeated until fewer than one in ten thousand such pairs is missed.
 
 Small nodes are compared exhaustively by their bytes; what may be similar is confirmed on the full sets. Links only matter for
-the components they make, which saves most of them: first each class confirms its best partner, and members of large nodes
-a pivot; then only pairs that still lie in different components are looked at, in small nodes, and in large ones
-branched further.
+the components they make, which saves most of them. First each class confirms its best partner, and members of large nodes
+their node's pivot, the member most like the node's average: large nodes are cut into blocks for that, each names its best
+candidate and the best of these is the pivot. Then only pairs that still lie in different components are looked at: all
+of them in small nodes; in large nodes where nearly all is one component, the few others against all; other large nodes
+branch on.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +31,10 @@ from rowtide.llm.components import components
 COORDINATES = 128
 #: Nodes of up to this many classes are compared exhaustively.
 SMALL = 32
+#: Members of the blocks that large nodes are cut into, about.
+BLOCK = 256
 #: Levels by which large nodes are branched on at most.
-MORE_LEVELS = 8
+MORE_LEVELS = 4
 #: Share of equal bytes from which a pair is confirmed: 4.2 standard deviations below what a similarity of 0.8 gives.
 SHOWN = 0.65
 MISSED = 1e-4
@@ -133,22 +137,27 @@ def rooted(classes: DataFrame, depth: int, trees: int) -> DataFrame:
 
 
 def deeper(nodes: DataFrame, classes: DataFrame) -> DataFrame:
-    """The children of ``nodes`` (node, member)."""
+    """The children of ``nodes`` (node, member, label)."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("member").to_numpy()
+            ids, label = batch.column("member").to_numpy(), batch.column("label").to_numpy()
             node, member = branched(batch.column("node").to_numpy().view(np.uint64), np.arange(len(ids)), _bytes(batch.column("bytes")))
-            yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(ids[member])], ["node", "member"])
+            yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(ids[member]), pa.array(label[member])], ["node", "member", "label"])
 
-    return nodes.join(classes.select("member", "bytes"), "member").select("node", "member", "bytes").mapInArrow(step, "node long, member long")
+    return nodes.join(classes.select("member", "bytes"), "member").select("node", "member", "label", "bytes").mapInArrow(step, "node long, member long, label long")
 
 
-def by_size(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The members of small nodes of two at least, and those of large ones; sizes are added up before their shuffle."""
-    sizes = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    sized = cut(nodes.join(sizes, "node"))
-    return sized.where(F.col("size") <= SMALL).select("node", "member"), sized.where(F.col("size") > SMALL).select("node", "member")
+def sized(nodes: DataFrame) -> DataFrame:
+    """(node, member, size) of the nodes of two members at least; sizes are added up before their shuffle."""
+    return cut(nodes.join(nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "node"))
+
+
+def divided(nodes: DataFrame) -> DataFrame:
+    """Members (node, member, label) of the nodes that hold several components, with the node's size and its largest one, ``top``."""
+    parts = nodes.groupBy("node", "label").agg(F.count(F.lit(1)).alias("n"))
+    mixed = parts.groupBy("node").agg(F.sum("n").alias("size"), F.max("n").alias("most"), F.max_by("label", F.struct("n", "label")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    return cut(nodes.select("node", "member", "label").join(mixed.drop("parts"), "node"))
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, pa.RecordBatch]]:
@@ -172,43 +181,56 @@ def _starts(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, pa.RecordBatch]:
     return starts, np.diff(np.append(starts, len(node))), rows.to_batches()[0]
 
 
-def pairs_of(batches: Iterator[pa.RecordBatch], best: bool) -> Iterator[pa.RecordBatch]:
-    """Pairs within nodes that look similar: of each member its best earlier one, or all pairs with different labels."""
+def best_partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each member's best partner in its block (a, b, shown), and each block's candidate for its node's pivot (a = b)."""
     for starts, sizes, rows in _groups(batches):
-        ids, low = rows.column("member").to_numpy(), _bytes(rows.column("bytes"))
-        label = ids if best else rows.column("label").to_numpy()
-        a, b, shown = [], [], []
+        ids, low, node = rows.column("member").to_numpy(), _bytes(rows.column("bytes")), rows.column("node").to_numpy()
+        out: list[tuple] = []
         for size in np.unique(sizes):
             of = starts[sizes == size]
             for at in np.array_split(of, max(1, len(of) * size * size // 20_000)):
                 members = at[:, None] + np.arange(size)
-                i, j = np.triu_indices(size, 1)
-                if not best:
-                    node, pair = np.nonzero(label[members[:, i]] != label[members[:, j]])
-                    x, y = members[node, i[pair]], members[node, j[pair]]
-                    like = (low[x] == low[y]).mean(1)
-                else:
-                    like = (low[members[:, i]] == low[members[:, j]]).mean(2)
-                    table = np.zeros((len(at), size, size))
-                    table[:, j, i] = like
-                    to = table.argmax(2)
-                    like = np.take_along_axis(table, to[:, :, None], 2)[:, :, 0].ravel()
-                    x, y = np.take_along_axis(members, to, 1).ravel(), members.ravel()
-                keep = like >= SHOWN
-                a.append(ids[x[keep]])
-                b.append(ids[y[keep]])
-                shown.append(like[keep])
-        a, b, shown = np.concatenate(a), np.concatenate(b), np.concatenate(shown)
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(shown)], ["a", "b", "shown"])
-
-
-_PAIRS = "a long, b long, shown double"
-
-
-def _search(nodes: DataFrame, best: bool) -> DataFrame:
-    """:func:`pairs_of` over nodes with bytes (and labels), each node in one task; nodes have ``SMALL`` members at most."""
-    together = nodes.repartition("node").sortWithinPartitions("node", "member")
-    return together.mapInArrow(lambda batches: pairs_of(batches, best), _PAIRS)
+                like = _likeness(low[members])
+                total = like.sum(2)
+                pivot = members[np.arange(len(at)), total.argmax(1)]
+                like[:, np.arange(size), np.arange(size)] = -1
+                to = like.argmax(2)
+                x, y, shown = np.take_along_axis(members, to, 1).ravel(), members.ravel(), like.max(2).ravel()
+                keep = shown >= SHOWN
+                out.append((ids[x[keep]], ids[y[keep]], shown[keep], node[y[keep]]))
+                out.append((ids[pivot], ids[pivot], total.max(1) / size, node[pivot]))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["a", "b", "shown", "node"])
+
+
+def _likeness(low: np.ndarray) -> np.ndarray:
+    """Shares of equal bytes between the members of each block."""
+    same = np.zeros((len(low), low.shape[1], low.shape[1]), np.int16)
+    for k in range(COORDINATES):
+        same += low[:, :, None, k] == low[:, None, :, k]
+    return same / COORDINATES
+
+
+def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs within nodes that look similar and have different labels."""
+    for starts, sizes, rows in _groups(batches):
+        ids, low, label = rows.column("member").to_numpy(), _bytes(rows.column("bytes")), rows.column("label").to_numpy()
+        out = [(ids[:0], ids[:0])]
+        for size in np.unique(sizes):
+            of = starts[sizes == size]
+            i, j = np.triu_indices(size, 1)
+            for at in np.array_split(of, max(1, len(of) * size * size // 20_000)):
+                members = at[:, None] + np.arange(size)
+                node, pair = np.nonzero(label[members[:, i]] != label[members[:, j]])
+                x, y = members[node, i[pair]], members[node, j[pair]]
+                keep = (low[x] == low[y]).mean(1) >= SHOWN
+                out.append((ids[x[keep]], ids[y[keep]]))
+        a, b = (np.concatenate(x) for x in zip(*out, strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+
+def _together(nodes: DataFrame, *key: str) -> DataFrame:
+    """Rows of a node (or block) in one task and side by side; they are about ``BLOCK`` at most."""
+    return nodes.repartition(*key).sortWithinPartitions(*key, "member")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -250,8 +272,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
     Null, empty and blank texts have no shingles and link with nothing; a null id links with nothing, its row has a null
     component and is kept; rows that share an id are one document with several sets. ``percent`` must be 80 or more: the
-    trees are laid out for that. An empty table gives an empty result. Nothing is capped: the one quadratic step is between
-    the largest component of a node that 8 more levels did not split and the members that lie outside it.
+    trees are laid out for that. An empty table gives an empty result. Nothing is capped: the one step that can grow with
+    a node's square is between its largest component and the members outside it, where branching on did not part them.
     """
     sketched = cut(sketches(docs, words))
     usable = sketched.where("doc_id is not null and n_shingles > 0")
@@ -259,43 +281,44 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     n = classes.count()
     depth = max(1, math.ceil(math.log(max(n, 1) / SMALL + 1, 20)))
     trees = math.ceil(math.log(MISSED) / math.log(1 - chance(depth)))
-    small, large = by_size(rooted(classes, depth, trees))
-    small, large = small.distinct(), cut(large.distinct())
-
+    nodes = sized(rooted(classes, depth, trees))
     sketch = classes.select("member", "bytes")
-    best = _search(small.join(sketch, "member").select("node", "member", "bytes"), True)
-    first = best.groupBy("b").agg(F.max_by("a", F.struct("shown", -F.col("a"))).alias("a")).select("a", "b")
-    pivots = large.groupBy("node").agg(F.min(F.struct(F.xxhash64("node", "member").alias("h"), "member"))["member"].alias("pivot"))
-    pivoted = large.join(pivots, "node").where("member <> pivot").groupBy("member").agg(F.min("pivot").alias("pivot"))
-    first = first.union(pivoted.select(F.least("member", "pivot").alias("a"), F.greatest("member", "pivot").alias("b")))
-    links = cut(confirmed(cut(first.distinct()), docs, words, percent))
-    labels = cut(components(links))
-
-    def labelled(nodes: DataFrame) -> DataFrame:
-        return nodes.join(labels.withColumnRenamed("node", "member"), "member", "left").withColumn("label", F.coalesce("label", "member"))
-
-    def divided(nodes: DataFrame) -> DataFrame:
-        """Labelled members of the nodes that still hold different components."""
-        known = labelled(nodes)
-        mixed = known.groupBy("node").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("node")
-        return known.join(mixed, "node", "left_semi")
-
-    candidates = _search(divided(small).join(sketch, "member").select("node", "member", "bytes", "label"), False)
-    left = cut(divided(large))
-    for _ in range(MORE_LEVELS):
-        if not left.limit(1).count():
+
+    blocks = nodes.withColumn("block", F.pmod(F.xxhash64("member", "node"), F.floor(F.col("size") / BLOCK) + 1))
+    # the blocks of one node need not stay together, but each must
+    block_id = F.when(F.col("size") <= BLOCK, F.col("node")).otherwise(F.xxhash64("node", "block"))
+    keyed = blocks.join(sketch, "member").select(block_id.alias("node"), "member", "bytes")
+    found = cut(_together(keyed, "node").mapInArrow(best_partners, "a long, b long, shown double, node long"))
+    best = found.where("a <> b").groupBy("b").agg(F.max_by("a", F.struct("shown", -F.col("a"))).alias("a"))
+    first = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    large = blocks.where(F.col("size") > SMALL).select("node", "member", block_id.alias("block"))
+    candidates = found.where("a = b").select(F.col("node").alias("block"), F.col("a").alias("pivot"), "shown")
+    pivots = large.select("node", "block").distinct().join(candidates, "block").groupBy("node").agg(F.max(F.struct("shown", "pivot")).alias("p"))
+    pivoted = large.join(pivots, "node").groupBy("member").agg(F.max("p")["pivot"].alias("pivot")).where("member <> pivot")
+    first = cut(first.union(pivoted.select(F.least("member", "pivot").alias("a"), F.greatest("member", "pivot").alias("b"))).distinct())
+    links = cut(confirmed(first, docs, words, percent))
+    labels = components(links)
+
+    known = labels.withColumnRenamed("node", "member")
+    open_ = divided(nodes.join(known, "member", "left").select("node", "member", F.coalesce("label", "member").alias("label")))
+    pairs = None
+    for level in range(MORE_LEVELS + 1):
+        few = F.col("size") - F.col("most") <= F.greatest(F.lit(SMALL), F.col("size") / 16)
+        compared = _together(open_.where(F.col("size") <= SMALL).join(sketch, "member").select("node", "member", "bytes", "label"), "node").mapInArrow(apart, "a long, b long")
+        dense = open_.where(F.col("size") > SMALL)
+        if dense.isEmpty():
+            pairs = compared if pairs is None else pairs.union(compared)
             break
-        less, more = by_size(deeper(left.select("node", "member"), classes).distinct())
-        candidates = candidates.union(_search(divided(less).join(sketch, "member").select("node", "member", "bytes", "label"), False))
-        left = cut(divided(more))
-    else:
-        candidates = candidates.union(_dense(left, sketch))
-    second = candidates.select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
-    more = cut(confirmed(cut(second), docs, words, percent))
-    if more.limit(1).count():
+        left = dense.where(~few) if level < MORE_LEVELS else dense.limit(0)
+        compared = compared.union(_others(dense.where(few) if level < MORE_LEVELS else dense, sketch))
+        pairs = compared if pairs is None else pairs.union(compared)
+        if level < MORE_LEVELS:
+            open_ = divided(deeper(left, classes))
+    second = cut(pairs.distinct().join(first, ["a", "b"], "left_anti"))
+    more = cut(confirmed(second, docs, words, percent))
+    if not more.isEmpty():
         # go on from the components that are known
-        known = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
-        labels = components(more.union(known))
+        labels = components(more.union(labels.select(F.col("node").alias("a"), F.col("label").alias("b"))))
     of_class = classes.join(labels.withColumnRenamed("node", "member"), "member", "left").select("key", "key2", "n_shingles", F.coalesce("label", "member").alias("component_id"))
     whole = sketched.select("doc_id", "n_shingles", "key", "key2").join(of_class, ["key", "key2", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
@@ -310,11 +333,9 @@ def without_near_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> D
     return docs.join(gone, docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")
 
 
-def _dense(nodes: DataFrame, sketch: DataFrame) -> DataFrame:
-    """Pairs between the members of large nodes outside the node's largest component and all others, in blocks."""
-    counts = nodes.groupBy("node", "label").agg(F.count(F.lit(1)).alias("size"))
-    tops = counts.groupBy("node").agg(F.max_by("label", F.struct("size", "label")).alias("top"), (F.floor(F.sum("size") / 256) + 1).alias("blocks"))
-    rows = nodes.join(sketch, "member").join(tops, "node")
+def _others(nodes: DataFrame, sketch: DataFrame) -> DataFrame:
+    """Similar-looking pairs between the members of large nodes outside the node's largest component and all others, in blocks."""
+    rows = nodes.join(sketch, "member").withColumn("blocks", F.floor(F.col("size") / BLOCK) + 1)
     own = rows.withColumn("block", F.pmod(F.xxhash64("member"), F.col("blocks"))).withColumn("asks", F.lit(False))
     asking = rows.where("label <> top").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("asks", F.lit(True))
     both = own.unionByName(asking).select("node", "block", "member", "label", "bytes", "asks")
@@ -322,14 +343,12 @@ def _dense(nodes: DataFrame, sketch: DataFrame) -> DataFrame:
     def compare(block: pa.Table) -> pa.Table:
         asks = block.column("asks").to_numpy()
         ids, label, low = block.column("member").to_numpy(), block.column("label").to_numpy(), _bytes(block.column("bytes").combine_chunks())
-        a, b, shown = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        a, b = [ids[:0]], [ids[:0]]
         others = np.flatnonzero(~asks)
         for i in np.flatnonzero(asks):
-            like = (low[others] == low[i]).mean(1)
-            keep = (like >= SHOWN) & (label[others] != label[i])
+            keep = ((low[others] == low[i]).mean(1) >= SHOWN) & (label[others] != label[i])
             a.append(np.minimum(ids[others[keep]], ids[i]))
             b.append(np.maximum(ids[others[keep]], ids[i]))
-            shown.append(like[keep])
-        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b), "shown": np.concatenate(shown)})
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
 
-    return both.groupBy("node", "block").applyInArrow(compare, _PAIRS)
+    return both.groupBy("node", "block").applyInArrow(compare, "a long, b long")

@@ -363,7 +363,7 @@ ORACLE = {
     "recent_stats_k": f"WITH {_H}, {_R} SELECT id, {_recent_columns((2, 3, 5, 10))} FROM r GROUP BY id",
     "payment_agg": f"WITH {_H}, m AS (SELECT id, rn, {_measures()} FROM h) SELECT id, "
     + ", ".join(
-        f"round(avg({c})::DOUBLE, 6) AS x{c}_mean, round(max({c})::DOUBLE, 6) AS x{c}_max, round(coalesce(stddev_samp({c}), 0), 6) AS x{c}_std, round(sum({c})::DOUBLE, 6) AS x{c}_sum, round({_last(c)}, 6) AS x{c}_last" for c in features.MEASURES
+        f"round(avg({c})::DOUBLE, 6) + 0.0 AS x{c}_mean, round(max({c})::DOUBLE, 6) + 0.0 AS x{c}_max, round(coalesce(stddev_samp({c}), 0), 6) AS x{c}_std, round(sum({c})::DOUBLE, 6) + 0.0 AS x{c}_sum, round({_last(c)}, 6) + 0.0 AS x{c}_last" for c in features.MEASURES
     )
     + " FROM m GROUP BY id",
     "cross_counts": f"WITH {_H} SELECT id, " + ", ".join(_count_if(f"xcnt_type_cur_{a * 10 + b}", f"enc_loans_credit_type * 10 + enc_loans_account_cur = {a * 10 + b}") for a in range(8) for b in range(4)) + " FROM h GROUP BY id",

@@ -271,7 +271,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text).
 
     Null, empty and blank texts have no shingles and link with nothing; a null id links with nothing, its row has a null
-    component and is kept; rows that share an id are one document with several sets. ``percent`` must be 80 or more: the
+    component and is kept; of rows that share an id each has the component of its own set, and a link of either set counts. ``percent`` must be 80 or more: the
     trees are laid out for that. An empty table gives an empty result. Nothing is capped: the one step that can grow with
     a node's square is between its largest component and the members outside it, where branching on did not part them.
     """

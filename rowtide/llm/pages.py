@@ -103,7 +103,10 @@ def parse(page: str, templates: frozenset[int] = frozenset()) -> tuple[set[int],
     root = _Open("", {})
     stack = [root]
 
+    articles = 0  # that are open
+
     def close() -> None:
+        nonlocal articles
         x, up = stack.pop(), stack[-1]
         digest = xxhash.xxh64_intdigest("\0".join(x.trace)) - (1 << 63)
         container = x.tag in CONTAINERS
@@ -111,7 +114,8 @@ def parse(page: str, templates: frozenset[int] = frozenset()) -> tuple[set[int],
             digests.add(digest)
         up.trace.append(str(digest))
         up.headed |= x.headed
-        inside = any(y.tag == "article" for y in stack)
+        inside = bool(articles - (x.tag == "article"))
+        articles -= x.tag == "article"
         if container and digest in templates or _dropped(x, inside):
             up.parts.append(" ")
             return
@@ -160,6 +164,7 @@ def parse(page: str, templates: frozenset[int] = frozenset()) -> tuple[set[int],
             stack[-1].trace.append(tag)
             continue
         stack.append(_Open(tag, _attributes(m[3])))
+        articles += tag == "article"
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>|\Z", re.I).search(page, at)
             stack[-1].trace.append(page[at : end.start()])

@@ -38,12 +38,13 @@ class Boosted:
     def scaled(self, rounds: int | None = None, depth: int | None = None) -> Boosted:
         return replace(self, rounds=rounds or self.rounds, leaves=2**depth if depth else self.leaves)
 
-    def stage(self, seed: int) -> GBTClassifier:
+    def stage(self, seed: int, stops_early: bool = True) -> GBTClassifier:
         depth = max(1, math.ceil(math.log2(self.leaves)))
-        return GBTClassifier(
+        stage = GBTClassifier(
             labelCol="flag", weightCol="weight", maxIter=self.rounds, stepSize=self.rate, maxDepth=depth, maxBins=max(32, self.bins), minInstancesPerNode=self.least_rows, subsamplingRate=self.rows,
-            featureSubsetStrategy="all" if self.columns >= 1 else str(self.columns), validationIndicatorCol="is_validation", seed=seed,
+            featureSubsetStrategy="all" if self.columns >= 1 else str(self.columns), seed=seed,
         )
+        return stage.setValidationIndicatorCol("is_validation") if stops_early else stage
 
 
 # The candidates' parameters.
@@ -110,13 +111,12 @@ def weighted(train: DataFrame, config) -> DataFrame:
 def fit(train: DataFrame, features: list[str], config, seed: int) -> PipelineModel:
     """Fit on rows with ``flag`` (and ``is_validation``, which stops boosting early)."""
     if isinstance(config, Boosted):
-        stages = [VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep"), config.stage(seed)]
+        stages = [VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep"), config.stage(seed, "is_validation" in train.columns)]
     elif isinstance(config, Forest):
         stages = [VectorAssembler(inputCols=features[: config.first], outputCol="features", handleInvalid="keep"), *config.stages(seed)]
     else:
         stages = [VectorAssembler(inputCols=features, outputCol="raw", handleInvalid="keep"), *config.stages(seed)]
-    rows = train if "is_validation" in train.columns else train.withColumn("is_validation", F.lit(False))
-    return Pipeline(stages=stages).fit(weighted(rows, config))
+    return Pipeline(stages=stages).fit(weighted(train, config))
 
 
 def predict(model: PipelineModel, table: DataFrame, name: str = "p") -> DataFrame:

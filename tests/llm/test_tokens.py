@@ -81,7 +81,7 @@ def test_small_files_and_word_tables(documents, monkeypatch, tmp_path):
     rows = list(enumerate(random_texts(60)))
     got = token_store.store_tokens(documents(rows), WORDS, folder=str(tmp_path)).collect()
     assert sorted(tuple(r) for r in got) == expected(rows)
-    assert len(list(tmp_path.glob("*.tok"))) >= 1
+    assert len(list(tmp_path.glob("*.tok"))) > 4
     words = token_store.WordEncoder(WORDS, most=10)
     assert [np.frombuffer(x, "<u4").tolist() for _, t in rows for x in words.encode([t.encode()])] == [np.frombuffer(x, "<u4").tolist() for x in token_store.WordEncoder(WORDS).encode([t.encode() for _, t in rows])]
 

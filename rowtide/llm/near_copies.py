@@ -12,7 +12,8 @@ the components they make, which saves most of them. First each class confirms it
 their node's pivot, the member most like the node's average: large nodes are cut into blocks for that, each names its best
 candidate and the best of these is the pivot. Then only pairs that still lie in different components are looked at: all
 of them in small nodes; in large nodes where nearly all is one component, the few others against all; other large nodes
-branch on.
+branch on. Large groups of texts just below the similarity give many pairs that 128 bytes cannot tell from links, so members
+of large nodes also have their ``FINE`` lowest shingle hashes: short sets are whole in them, longer ones well estimated.
 """
 
 from __future__ import annotations
@@ -33,6 +34,10 @@ COORDINATES = 128
 SMALL = 32
 #: Members of the blocks that large nodes are cut into, about.
 BLOCK = 256
+#: Members on either side of a block in which those outside a large node's largest component meet the node's others.
+SIDE = 1024
+#: Lowest shingle hashes that are kept of the members of large nodes (4 bytes each).
+FINE = 512
 #: Levels by which large nodes are branched on at most.
 MORE_LEVELS = 4
 #: Share of equal bytes from which a pair is confirmed: 4.2 standard deviations below what a similarity of 0.8 gives.
@@ -228,6 +233,53 @@ def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
 
+def finer(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
+    """member and ``lowest``: the up to ``FINE`` + 1 lowest 32-bit hashes of its shingles, ascending; whole if not more than ``FINE``."""
+    if members.count() <= MOST_BROADCAST:
+        members = F.broadcast(members)
+
+    def lowest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in by_bytes(batch, "text", 1 << 20):
+                rows, shingles = shingle_sets(part.column("text"), words)
+                short = (mix64(shingles) >> np.uint64(32)).astype(np.uint32)
+                ends = np.searchsorted(rows, np.arange(part.num_rows + 1))
+                raw = [np.unique(short[i:j])[: FINE + 1].tobytes() for i, j in zip(ends, ends[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(raw, pa.binary())], ["member", "lowest"])
+
+    wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(members.withColumnRenamed("member", "doc_id"), "doc_id", "left_semi")
+    # rows that share an id have several sets: which one a class stands for is open, so none is ruled out
+    found = wanted.mapInArrow(lowest, "member long, lowest binary").groupBy("member").agg(F.count(F.lit(1)).alias("n"), F.min("lowest").alias("lowest"))
+    return cut(found.select("member", F.when(F.col("n") == 1, F.col("lowest")).alias("lowest")))
+
+
+def likely(one: np.ndarray | None, others: list[np.ndarray | None], percent: int) -> np.ndarray:
+    """Which of ``others`` may have ``percent`` in common with ``one``, by their lowest hashes; true where one is not known.
+
+    Below the smallest hash that either side left out both sets are whole, so the shares there are those of a random sample of
+    the union, or exact if neither left out any. Beside 4.2 standard deviations one hash is allowed for equal short hashes.
+    """
+    maybe = np.ones(len(others), bool)
+    known = [] if one is None else [k for k, x in enumerate(others) if x is not None]
+    if not known:
+        return maybe
+    sizes = np.array([len(others[k]) for k in known])
+    every = np.concatenate([others[k] for k in known])
+    starts = np.cumsum(sizes) - sizes
+    most = np.uint64(1 << 32)
+    own_end = np.uint64(one[FINE]) if len(one) > FINE else most
+    end = np.array([min(own_end, np.uint64(others[k][FINE])) if len(others[k]) > FINE else own_end for k in known], np.uint64)
+    within = every < np.repeat(end, sizes)
+    at = np.searchsorted(one, every)
+    both = within & (one[np.minimum(at, len(one) - 1)] == every)
+    shared = np.add.reduceat(both, starts, dtype=np.int64)
+    union = np.add.reduceat(within, starts, dtype=np.int64) + np.searchsorted(one.astype(np.uint64), end) - shared
+    share = percent / 100
+    slack = np.where(end < most, 4.2 * np.sqrt(share * (1 - share) / np.maximum(union, 1)), 0)
+    maybe[known] = shared + 1 >= (share - slack) * (union - 1)
+    return maybe
+
+
 def _together(nodes: DataFrame, *key: str) -> DataFrame:
     """Rows of a node (or block) in one task and side by side; they are about ``BLOCK`` at most."""
     return nodes.repartition(*key).sortWithinPartitions(*key, "member")
@@ -301,7 +353,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
     known = labels.withColumnRenamed("node", "member")
     open_ = divided(nodes.join(known, "member", "left").select("node", "member", F.coalesce("label", "member").alias("label")))
-    pairs = None
+    pairs = fine = None
     for level in range(MORE_LEVELS + 1):
         few = F.col("size") - F.col("most") <= F.greatest(F.lit(SMALL), F.col("size") / 16)
         compared = _together(open_.where(F.col("size") <= SMALL).join(sketch, "member").select("node", "member", "bytes", "label"), "node").mapInArrow(apart, "a long, b long")
@@ -309,11 +361,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         if dense.isEmpty():
             pairs = compared if pairs is None else pairs.union(compared)
             break
+        if fine is None:
+            # children hold no other members
+            fine = finer(docs, dense.select("member").distinct(), words)
         left = dense.where(~few) if level < MORE_LEVELS else dense.limit(0)
-        compared = compared.union(_others(dense.where(few) if level < MORE_LEVELS else dense, sketch))
+        compared = compared.union(_others(dense.where(few) if level < MORE_LEVELS else dense, sketch, fine, percent))
         pairs = compared if pairs is None else pairs.union(compared)
         if level < MORE_LEVELS:
-            open_ = divided(deeper(left, classes))
+            open_ = divided(cut(deeper(left, classes)))
     second = cut(pairs.distinct().join(first, ["a", "b"], "left_anti"))
     more = cut(confirmed(second, docs, words, percent))
     if not more.isEmpty():
@@ -333,22 +388,33 @@ def without_near_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> D
     return docs.join(gone, docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")
 
 
-def _others(nodes: DataFrame, sketch: DataFrame) -> DataFrame:
-    """Similar-looking pairs between the members of large nodes outside the node's largest component and all others, in blocks."""
-    rows = nodes.join(sketch, "member").withColumn("blocks", F.floor(F.col("size") / BLOCK) + 1)
-    own = rows.withColumn("block", F.pmod(F.xxhash64("member"), F.col("blocks"))).withColumn("asks", F.lit(False))
-    asking = rows.where("label <> top").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("asks", F.lit(True))
-    both = own.unionByName(asking).select("node", "block", "member", "label", "bytes", "asks")
+def _others(nodes: DataFrame, sketch: DataFrame, fine: DataFrame, percent: int) -> DataFrame:
+    """Similar-looking pairs between the members of large nodes outside the node's largest component and all others.
 
-    def compare(block: pa.Table) -> pa.Table:
-        asks = block.column("asks").to_numpy()
-        ids, label, low = block.column("member").to_numpy(), block.column("label").to_numpy(), _bytes(block.column("bytes").combine_chunks())
+    The others are dealt to blocks and those outside to chunks; each block meets each chunk in a group of two ``SIDE`` at most, about.
+    """
+    outside = F.col("label") != F.col("top")
+    rows = nodes.join(sketch, "member").join(fine, "member").withColumn("outside", outside)
+    blocks, chunks = F.floor(F.col("size") / SIDE) + 1, F.floor((F.col("size") - F.col("most")) / SIDE) + 1
+    block, chunk = F.pmod(F.xxhash64("member"), blocks), F.pmod(F.xxhash64("member", F.lit(1)), chunks)
+    first = F.lit(0).cast("long")
+    own = rows.select("*", block.alias("block"), F.explode(F.sequence(first, chunks - 1)).alias("chunk"), F.lit(False).alias("asks"))
+    asking = rows.where("outside").select("*", F.explode(F.sequence(first, blocks - 1)).alias("block"), chunk.alias("chunk"), F.lit(True).alias("asks"))
+    both = own.unionByName(asking).select("node", "block", "chunk", "member", "label", "bytes", "lowest", "outside", "asks")
+
+    def compare(group: pa.Table) -> pa.Table:
+        asks, out = group.column("asks").to_numpy(), group.column("outside").to_numpy()
+        ids, label, low = group.column("member").to_numpy(), group.column("label").to_numpy(), _bytes(group.column("bytes").combine_chunks())
+        lowest = [None if x is None else np.frombuffer(x, np.uint32) for x in group.column("lowest").to_pylist()]
         a, b = [ids[:0]], [ids[:0]]
         others = np.flatnonzero(~asks)
         for i in np.flatnonzero(asks):
-            keep = ((low[others] == low[i]).mean(1) >= SHOWN) & (label[others] != label[i])
-            a.append(np.minimum(ids[others[keep]], ids[i]))
-            b.append(np.maximum(ids[others[keep]], ids[i]))
+            # two that both ask meet twice
+            apart_ = others[(label[others] != label[i]) & (~out[others] | (ids[others] < ids[i]))]
+            near = apart_[(low[apart_] == low[i]).mean(1) >= SHOWN]
+            near = near[likely(lowest[i], [lowest[k] for k in near], percent)]
+            a.append(np.minimum(ids[near], ids[i]))
+            b.append(np.maximum(ids[near], ids[i]))
         return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
 
-    return both.groupBy("node", "block").applyInArrow(compare, "a long, b long")
+    return both.groupBy("node", "block", "chunk").applyInArrow(compare, "a long, b long")

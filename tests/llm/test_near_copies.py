@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import re
 
+import numpy as np
 import pytest
 
 from rowtide.llm import near_copies
@@ -132,3 +133,26 @@ def test_sketches_agree_at_the_expected_rate():
     low = [np.array([near_copies.mix64(np.array([np.min(s * near_copies._SEEDS[k] ^ near_copies._SEEDS[-k - 1])]))[0] for k in range(near_copies.COORDINATES)]) for s in (x, y)]
     similarity = len(np.intersect1d(x, y)) / len(np.union1d(x, y))
     assert abs((low[0] == low[1]).mean() - similarity) < 0.15
+
+
+def test_lowest_hashes_rule_out_no_link():
+    draw = np.random.default_rng(5)
+    n = near_copies.FINE
+
+    def lowest(hashes):
+        return np.unique(hashes)[: n + 1]
+
+    for size in (3, 100, n, n + 1, 5 * n):
+        one = draw.choice(1 << 32, size, replace=False).astype(np.uint32)
+        near, far = [], []
+        for _ in range(20):
+            # 8 of 9 kept on each side: similarity 0.8 just about
+            new = draw.choice(1 << 32, size // 9, replace=False).astype(np.uint32)
+            near.append(lowest(np.concatenate((one[size // 9 :], new))))
+            new = draw.choice(1 << 32, size // 2, replace=False).astype(np.uint32)
+            far.append(lowest(np.concatenate((one[size // 2 :], new))))
+        assert near_copies.likely(lowest(one), near, 80).all()
+        if size >= 100:
+            assert not near_copies.likely(lowest(one), far, 80).any()
+    assert near_copies.likely(None, [None, one[:1]], 80).all()
+    assert near_copies.likely(lowest(one), [None], 80).all()

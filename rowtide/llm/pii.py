@@ -1,13 +1,15 @@
 """Personal data: patterns find identifying values, corpus co-occurrence finds the terms that give them away.
 
 Protected entities are the distinct values that the patterns find. A term is a word of letters. Over all documents, with N
-documents, df(e) that hold entity e, df(t) that hold term t anywhere and df(e,t) where t stands near e,
+documents, df(e) that hold entity e, df(t) that hold term t and df(e,t) that hold both, wherever they stand,
 
     IC(e) = ln N / df(e)        PMI(e; t) = ln N df(e,t) / (df(e) df(t))
 
 A term discloses e if PMI(e; t) >= ``threshold`` * IC(e) and df(e,t) >= ``min_documents``: it then tells a reader at least
 that share of what the value itself would. Such terms are spans of their own (kind ``term``) wherever they stand in a
-document with e, and are generalised with the values when a text is sanitised.
+document with e, and are generalised with the values when a text is sanitised. A pair that one document alone holds is no
+evidence: in it every rare word would be a term of every value. So a value that occurs in fewer than ``min_documents``
+documents has no terms.
 
 All of it is DataFrame work: patterns run on the JVM, a document's spans are found within its own row, and only counts and
 (entity, term) pairs are shuffled, added up before. Patterns are possessive and anchored at the first character a match can
@@ -33,9 +35,7 @@ PATTERNS = {
 #: Without this character there is no match.
 _NEEDED = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 TERM = r"\p{L}{2,}"
-#: Characters on either side of a value within which a term stands near it.
-NEAR = 60
-#: Candidate terms up to this many are broadcast (a few MB), more are joined by shuffle.
+#: Most terms, and most entities, that are broadcast (a few MB); longer lists are joined by shuffle.
 MOST_BROADCAST = 100_000
 
 
@@ -100,34 +100,50 @@ def span_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def _near_terms(text: Column, span: Column) -> Column:
-    """Distinct lower-case terms within ``NEAR`` characters of a span; a word that the border cuts is left out."""
-    lo = F.greatest(span["start"] - NEAR, F.lit(0))
-    left = F.substr(text, lo + 1, span["start"] - lo)
-    right = F.substr(text, span["end"] + 1, F.lit(NEAR))
-    left = F.when(lo > 0, F.regexp_replace(left, r"^\S*+", "")).otherwise(left)
-    right = F.when(span["end"] + NEAR < F.length(text), F.regexp_replace(right, r"(?<!\S)\S++$", "")).otherwise(right)
-    both = F.lower(F.concat_ws("\n", left, right))
-    return F.array_distinct(F.regexp_extract_all(both, F.lit(TERM), F.lit(0)))
+def _entity(span: Column) -> Column:
+    return F.concat_ws(":", span["kind"], F.lower(span["value"]))
+
+
+def _entities() -> Column:
+    return F.array_distinct(F.transform("_base", _entity))
+
+
+def _common(spread: DataFrame) -> DataFrame:
+    """The commonest terms of ``spread``, at most ``MOST_BROADCAST``: all whose count reaches a power of two."""
+    sizes = spread.groupBy(F.floor(F.log2("with_term")).alias("power")).count().orderBy(F.desc("power")).collect()
+    least, total = 64, 0
+    for power, count in sizes:
+        total += count
+        if total > MOST_BROADCAST:
+            break
+        least = power
+    return spread.where(F.floor(F.log2("with_term")) >= least)
 
 
 def disclosing_terms(docs: DataFrame, held: DataFrame, threshold: float, min_documents: int) -> DataFrame:
-    """(entity, terms): the terms that disclose each entity. ``held``: the documents with spans, as text and ``_base``."""
-    entity = lambda s: F.concat_ws(":", s["kind"], F.lower(s["value"]))
-    pairs = F.array_distinct(F.flatten(F.transform("_base", lambda s: F.transform(_near_terms(F.col("text"), s), lambda t: F.struct(entity(s).alias("entity"), t.alias("term"))))))
-    together = held.select(F.explode(pairs).alias("p")).groupBy("p.entity", "p.term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= min_documents)
-    together = cut(together)
-    entities = held.select(F.explode(F.array_distinct(F.transform("_base", entity))).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("with_entity"))
-    terms = cut(together.select("term").distinct())
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    # the list's size is counted; a long one goes by shuffle, after the words are added up
-    if terms.count() <= MOST_BROADCAST:
-        spread = words.join(F.broadcast(terms), "term").groupBy("term").agg(F.count(F.lit(1)).alias("with_term"))
-    else:
-        spread = words.groupBy("term").agg(F.count(F.lit(1)).alias("with_term")).join(terms, "term")
+    """(entity, terms): the terms that disclose each entity. ``held``: the documents with spans, as _row, text and ``_base``.
+
+    df(e,t) counts whole documents. As it is neither above df(e) nor above df(t), ln N / max(df(e), df(t)) bounds PMI(e; t):
+    common terms, whose list is broadcast, are left out of the pairs with the entities that they cannot disclose before
+    pairs are made. That loses nothing; the pairs that stay are added up before their shuffle.
+    """
     n = F.lit(float(docs.count()))
+    enough = F.lit(threshold) * F.ln(n / F.col("with_entity"))
+    of_rows = held.select("_row", F.explode(_entities()).alias("entity"))
+    entities = cut(of_rows.groupBy("entity").agg(F.count(F.lit(1)).alias("with_entity")).where(F.col("with_entity") >= min_documents))
+    distinct_words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))
+    words = docs.select(F.explode(distinct_words).alias("term"))
+    spread = cut(words.groupBy("term").agg(F.count(F.lit(1)).alias("with_term")).where(F.col("with_term") >= min_documents))
+    wanted = of_rows.join(F.broadcast(entities) if entities.count() <= MOST_BROADCAST else entities, "entity")
+    wanted = wanted.groupBy("_row").agg(F.collect_list(F.struct("entity", "with_entity")).alias("_wanted"))
+    pairs = held.join(wanted, "_row").select(distinct_words.alias("_words"), F.explode("_wanted").alias("e"))
+    pairs = pairs.select("e.entity", "e.with_entity", F.explode("_words").alias("term"))
+    common = _common(spread).withColumnRenamed("with_term", "_often")
+    bound = F.ln(n / F.greatest("with_entity", F.coalesce("_often", F.lit(1))))
+    pairs = pairs.join(F.broadcast(common), "term", "left").where(bound >= enough - 1e-9)
+    together = pairs.groupBy("entity", "with_entity", "term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= min_documents)
     pmi = F.ln(n * F.col("both") / (F.col("with_entity") * F.col("with_term")))
-    telling = together.join(spread, "term").join(entities, "entity").where(pmi >= F.lit(threshold) * F.ln(n / F.col("with_entity")))
+    telling = together.join(spread, "term").where(pmi >= enough)
     return telling.groupBy("entity").agg(F.array_sort(F.collect_set("term")).alias("terms"))
 
 
@@ -135,14 +151,13 @@ def find_spans(docs: DataFrame, threshold: float = 0.9, min_documents: int = 2)
     """``docs`` with ``_base`` (the patterns' spans) and ``_spans`` (those and the disclosing terms, which overlap no base span).
 
     Null text is empty and has no span; repeated rows and equal ids are documents of their own; other columns stay. Terms
-    of one entity are at most the distinct words near it that occur with it in ``min_documents`` documents.
+    of one entity are at most the distinct words that occur with it in ``min_documents`` documents.
     """
     columns = docs.columns
     based = docs.withColumn("_base", base_spans(F.col("text")))
     held = cut(based.where(F.size("_base") > 0).withColumn("_row", F.monotonically_increasing_id()))
     telling = disclosing_terms(docs, held, threshold, min_documents)
-    entity = lambda s: F.concat_ws(":", s["kind"], F.lower(s["value"]))
-    of_rows = held.select("_row", F.explode(F.array_distinct(F.transform("_base", entity))).alias("entity")).join(telling, "entity")
+    of_rows = held.select("_row", F.explode(_entities()).alias("entity")).join(telling, "entity")
     of_rows = of_rows.groupBy("_row").agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("_terms"))
     marked = held.join(of_rows, "_row", "left")
     pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join("_terms", "|"), F.lit(r")(?!\p{L})"))

@@ -97,6 +97,60 @@ def test_disclosing_terms(documents):
     assert math.log(n * together / (entity * term)) >= 0.9 * math.log(n / entity)
 
 
+def counted(texts, threshold=0.9, min_documents=2):
+    """The disclosing terms of each value by plain counts over whole documents."""
+    words = [set(re.findall(r"[^\W\d_]{2,}", (t or "").lower())) for t in texts]
+    values = [{"email:" + m.lower() for m in re.findall(r"[a-z.]+@mail\.example", t or "")} for t in texts]
+    out = {}
+    for e in set().union(*values):
+        own = [k for k, v in enumerate(values) if e in v]
+        for t in set().union(*(words[k] for k in own)):
+            both, every = sum(t in words[k] for k in own), sum(t in w for w in words)
+            if both >= min_documents and math.log(len(texts) * both / (len(own) * every)) >= threshold * math.log(len(texts) / len(own)):
+                out.setdefault(e, set()).add(t)
+    return out
+
+
+def test_terms_far_from_the_value(documents):
+    """A name at the head of the text, far from the address, or near in some documents and far in others, discloses it too."""
+    rng = random.Random(16)
+    words = ["report", "weekly", "office", "number", "please", "garden", "window", "yellow"]
+    filler = lambda: " ".join(rng.choice(words) for _ in range(60))
+    rows = [(i, f"Zephyrine writes. {filler()} z.q@mail.example {filler()}") for i in range(4)]
+    rows += [(10 + i, f"{'Quillon ' if i % 2 else ''}{filler()} q.l@mail.example{'' if i % 2 else ' Quillon'}") for i in range(6)]
+    rows += [(20, f"Solitary {filler()} s.o@mail.example")]
+    rows += [(100 + i, filler()) for i in range(40)]
+    want = counted([t for _, t in rows])
+    assert want == {"email:z.q@mail.example": {"zephyrine", "writes"}, "email:q.l@mail.example": {"quillon"}}
+    for r in pii.find_spans(documents(rows)).select("doc_id", "text", "_spans").collect():
+        got = {r.text[s.start : s.end].lower() for s in r["_spans"] if s.kind == "term"}
+        assert got == ({"zephyrine", "writes"} if r.doc_id < 10 else {"quillon"} if r.doc_id < 20 else set())
+    clean = {r.doc_id: r.text for r in pii.sanitise(documents(rows)).collect()}
+    assert not any("Zephyrine" in t or "Quillon" in t for t in clean.values())
+    assert "Solitary" in clean[20]
+
+
+def test_terms_are_those_of_plain_counts(spark, documents, monkeypatch):
+    """Random documents and several thresholds, with lists that are broadcast in whole, in part and not at all."""
+    rng = random.Random(26)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(3)) for _ in range(60)]
+    texts = []
+    for _ in range(120):
+        text = [vocabulary[int(60 * rng.random() ** 2)] for _ in range(rng.randint(0, 12))]
+        for _ in range(rng.choice((0, 0, 1, 2))):
+            who = rng.randint(0, 9)
+            text += [f"{'qrstuvwxyz'[who]}@mail.example", rng.choice((f"own{'qrstuvwxyz'[who]}", f"rare{'qrstuvwxyz'[who]}", "other"))]
+        rng.shuffle(text)
+        texts.append(" ".join(text))
+    docs = documents(list(enumerate(texts)))
+    for most, threshold in ((100_000, 0.9), (12, 0.7), (0, 0.5)):
+        monkeypatch.setattr(pii, "MOST_BROADCAST", most)
+        held = docs.withColumn("_base", pii.base_spans(docs["text"])).where("size(_base) > 0").selectExpr("*", "doc_id as _row")
+        got = {r.entity: set(r.terms) for r in pii.disclosing_terms(docs, held, threshold, 2).collect()}
+        want = counted(texts, threshold)
+        assert want and got == want
+
+
 def test_sanitise(documents):
     docs = documents([(1, "mail a@b.cd or 10.0.0.1!"), (2, None), (3, "clean"), (4, ""), (4, "1.2.3.4@5.6, 4111111111111111")])
     clean = pii.sanitise(docs)

@@ -4,8 +4,10 @@ Documents are sets of word shingles. Equal sets are one class. Every class has `
 kept: two sets agree at one with probability J + (1 - J) / 256). A tree branches the classes recursively: a node picks one
 coordinate, or two with probability 1/4, so 1 / 0.8 on average, and its members go to a child by their byte there.
 Which coordinates is decided by a hash of the node's path alone, so all members agree without talking to each other. Two
-sets of similarity 0.8 meet in depth d of a tree with probability p(d), p(d + 1) = p(d) - 0.16 p(d)^2; independent trees are
-repeated until fewer than one in ten thousand such pairs is missed.
+sets that agree in a share s of the coordinates meet in depth d of a tree with probability p(d), where
+p(d + 1) = 1.25 s p(d) - 0.25 s^2 p(d)^2. All trees use the same coordinates, so a pair that agrees in few of them is weak in
+every tree: trees are repeated until, over the binomial distribution of s, fewer than one in ten thousand pairs of similarity
+0.8 is missed. That holds at the deepest level as well: where large nodes branch on, each does so in several subtrees.
 
 Small nodes are compared exhaustively by their bytes; what may be similar is confirmed on the full sets. Links only matter for
 the components they make, which saves most of them. First each class confirms its best partner, and members of large nodes
@@ -18,6 +20,7 @@ of large nodes also have their ``FINE`` lowest shingle hashes: short sets are wh
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -40,6 +43,8 @@ SIDE = 1024
 FINE = 512
 #: Levels by which large nodes are branched on at most.
 MORE_LEVELS = 4
+#: Subtrees in which each large node branches on.
+SUBTREES = 3
 #: Share of equal bytes from which a pair is confirmed: 4.2 standard deviations below what a similarity of 0.8 gives.
 SHOWN = 0.65
 MISSED = 1e-4
@@ -118,13 +123,30 @@ def _bytes(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, COORDINATES)
 
 
-def chance(depth: int) -> float:
-    p = 1.0
+def chance(depth: int, share: float, last: float = 1.0) -> float:
+    """That two sets with a share of equal bytes meet in ``depth``; ``last``: that they are compared where they meet."""
+    p = last
     for _ in range(depth):
-        p -= 0.16 * p * p
+        p = 1.25 * share * p - 0.25 * share * share * p * p
     return p
 
 
+def missed(depth: int, trees: int) -> float:
+    """Share of the pairs of similarity 0.8 that meet in no tree, if all nodes in ``depth`` branch on to the deepest level."""
+    agree = 0.8 + 0.2 / 256
+    total = 0.0
+    for equal in range(COORDINATES + 1):
+        share = equal / COORDINATES
+        below = 1 - (1 - chance(MORE_LEVELS, share)) ** SUBTREES
+        of = math.comb(COORDINATES, equal) * agree**equal * (1 - agree) ** (COORDINATES - equal)
+        total += of * (1 - chance(depth, share, below)) ** trees
+    return total
+
+
+def enough_trees(depth: int) -> int:
+    return next(n for n in itertools.count(1) if missed(depth, n) <= MISSED)
+
+
 def rooted(classes: DataFrame, depth: int, trees: int) -> DataFrame:
     """(node, member) of all classes in ``depth`` of every tree."""
 
@@ -141,14 +163,17 @@ def rooted(classes: DataFrame, depth: int, trees: int) -> DataFrame:
     return classes.select("member", "bytes").mapInArrow(descend, "node long, member long")
 
 
-def deeper(nodes: DataFrame, classes: DataFrame) -> DataFrame:
-    """The children of ``nodes`` (node, member, label)."""
+def deeper(nodes: DataFrame, classes: DataFrame, subtrees: int = 1) -> DataFrame:
+    """The children of ``nodes`` (node, member, label), in so many subtrees of each."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, label = batch.column("member").to_numpy(), batch.column("label").to_numpy()
-            node, member = branched(batch.column("node").to_numpy().view(np.uint64), np.arange(len(ids)), _bytes(batch.column("bytes")))
-            yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(ids[member]), pa.array(label[member])], ["node", "member", "label"])
+            up, low = batch.column("node").to_numpy().view(np.uint64), _bytes(batch.column("bytes"))
+            for k in range(subtrees):
+                root = mix64(up + np.uint64(k)) if k else up
+                node, member = branched(root, np.arange(len(ids)), low)
+                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(ids[member]), pa.array(label[member])], ["node", "member", "label"])
 
     return nodes.join(classes.select("member", "bytes"), "member").select("node", "member", "label", "bytes").mapInArrow(step, "node long, member long, label long")
 
@@ -332,8 +357,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     classes = cut(usable.groupBy("key", "key2", "n_shingles").agg(F.min("doc_id").alias("member"), F.min("bytes").alias("bytes")))
     n = classes.count()
     depth = max(1, math.ceil(math.log(max(n, 1) / SMALL + 1, 20)))
-    trees = math.ceil(math.log(MISSED) / math.log(1 - chance(depth)))
-    nodes = sized(rooted(classes, depth, trees))
+    nodes = sized(rooted(classes, depth, enough_trees(depth)))
     sketch = classes.select("member", "bytes")
 
     blocks = nodes.withColumn("block", F.pmod(F.xxhash64("member", "node"), F.floor(F.col("size") / BLOCK) + 1))
@@ -368,7 +392,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         compared = compared.union(_others(dense.where(few) if level < MORE_LEVELS else dense, sketch, fine, percent))
         pairs = compared if pairs is None else pairs.union(compared)
         if level < MORE_LEVELS:
-            open_ = divided(cut(deeper(left, classes)))
+            open_ = divided(cut(deeper(left, classes, 1 if level else SUBTREES)))
     second = cut(pairs.distinct().join(first, ["a", "b"], "left_anti"))
     more = cut(confirmed(second, docs, words, percent))
     if not more.isEmpty():

@@ -82,6 +82,50 @@ def test_a_large_group_of_near_copies(documents):
     assert found(near_copies.near_duplicates(documents(rows, extra=False), 2, 80)) == brute(rows, 2)
 
 
+def test_links_in_large_nodes_that_branch_on(spark):
+    """Crowds of texts just below the similarity in which each has one link of its own: every link is found."""
+    rng = random.Random(4)
+    rows, new = [], (f"v{i}" for i in range(10**9))
+    for _ in range(12):
+        base = [next(new) for _ in range(200)]
+        for _ in range(75):
+            at = rng.sample(range(200), 30)
+            for own in (at[8:19], at[19:30]):  # 178 of 222 in common with the partner
+                rows.append((len(rows), " ".join(next(new) if k in own else f"p{len(rows) // 2}.{k}" if k in at[:8] else w for k, w in enumerate(base))))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_copies.near_duplicates(df, 1, 80).collect()}
+    assert [i for i in range(0, len(rows), 2) if got[i] != got[i + 1]] == []
+    assert len(set(got.values())) == len(rows) // 2
+
+
+def test_trees_hold_the_missed_share_at_the_deepest_level():
+    """Pairs of similarity 0.8 with shared coordinates, sent down the trees and the subtrees."""
+    rng = np.random.default_rng(5)
+    n, depth = 20_000, 2
+    low = rng.integers(0, 256, (2 * n, near_copies.COORDINATES), np.uint8)
+    same = rng.random((n, near_copies.COORDINATES)) < 0.8
+    low[n:][same] = low[:n][same]
+    met = np.zeros(n, bool)
+    for tree in range(near_copies.enough_trees(depth)):
+        member = np.arange(2 * n)
+        # a root of its own for each pair
+        node = near_copies.mix64(np.tile(np.arange(n, dtype=np.uint64), 2) + np.uint64(tree << 32))
+        for _ in range(depth):
+            node, member = near_copies.branched(node, member, low)
+        for k in range(near_copies.SUBTREES):
+            below, who = near_copies.mix64(node + np.uint64(k)) if k else node, member
+            for _ in range(near_copies.MORE_LEVELS):
+                up = who
+                below, at = near_copies.branched(below, np.arange(len(who)), low[up])
+                who = up[at]
+            order = np.lexsort((who, below))
+            below, who = below[order], who[order]
+            pair = (below[1:] == below[:-1]) & (who[1:] % n == who[:-1] % n) & (who[1:] != who[:-1])
+            met[who[1:][pair] % n] = True
+    assert (~met).mean() <= 5 * near_copies.MISSED
+    print("missed", int((~met).sum()), "of", n)
+
+
 def test_edge_cases(documents):
     rows = [(1, "a b c d e"), (2, "A B\tC d x e"), (3, "A b C\nD  e"), (4, None), (5, ""), (6, " \t\n"), (7, "word"), (8, "WORD"), (9, "É b"), (10, "é b"), (11, "a b"), (12, "b a"), (13, "a b a b a b a b"), (14, "a b a")]
     for n in (2, 5):

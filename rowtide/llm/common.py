@@ -1,13 +1,11 @@
-"""Pieces that several training-data operators share: shared folders, byte views of text columns, vectorised words."""
+"""Pieces that several training-data operators share: byte views of text columns, vectorised words."""
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
 
 #: Odd base of the polynomial hash over bytes; odd numbers have an inverse modulo 2**64.
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -15,22 +13,6 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 CHUNK_BYTES = 4 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="rowtide-"))
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from there, so that a lost executor costs no recomputation."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads every input bit over all 64 output bits (a bijection)."""
     x = x.astype(np.uint64, copy=True)

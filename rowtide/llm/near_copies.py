@@ -29,8 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowtide.llm.common import by_bytes, byte_view, cut, mix64, span_hashes, word_spans
+from rowtide.llm.common import by_bytes, byte_view, mix64, span_hashes, word_spans
 from rowtide.llm.components import components
+from rowtide.sources.shared import cut
 
 COORDINATES = 128
 #: Nodes of up to this many classes are compared exhaustively.

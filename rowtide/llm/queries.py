@@ -35,10 +35,10 @@ def held_out() -> Column:
 GOOD_FROM = 0.3
 
 
-def quality_scores(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``docs`` with ``score``, learned from the labels that are not held out."""
+def quality_scores(spark: SparkSession, docs: DataFrame, sf_dir: str, name: str = "score") -> DataFrame:
+    """``docs`` with ``name``, the score learned from the labels that are not held out."""
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")).where(~held_out())
-    return quality.score(docs, quality.train(docs, labels))
+    return quality.score(docs, quality.train(docs, labels), name)
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

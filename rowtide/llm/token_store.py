@@ -18,7 +18,6 @@ from __future__ import annotations
 import itertools
 import re
 import struct
-import uuid
 import zlib
 from collections.abc import Iterator
 from urllib.parse import urlparse
@@ -30,8 +29,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowtide.llm.common import by_bytes, byte_view, cut, shared_dir
-from rowtide.llm.totals import running_totals
+from rowtide.llm.common import by_bytes, byte_view
+from rowtide.operators.totals import running_totals
+from rowtide.sources.shared import cut, new_folder
 
 CHUNK_BITS = 8
 RANK_BITS = 512
@@ -225,11 +225,11 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1)
             nonlocal made, held
             doc_ids, coded = held
             lengths = np.array([len(x) // 4 for x in coded], np.int64)
-            name = f"{base}/{task.partitionId():07d}-{made:06d}.tok"
-            with fs.open_output_stream(f"{name}.{task.taskAttemptId()}") as out:
+            # each attempt has files of its own and the list names those of the one that counts: nothing is renamed or overwritten
+            name = f"{task.partitionId():07d}-{made:06d}-{task.taskAttemptId()}.tok"
+            with fs.open_output_stream(f"{base}/{name}") as out:
                 out.write(pack(doc_ids, lengths, np.frombuffer(b"".join(coded), "<u4")))
-            fs.move(f"{name}.{task.taskAttemptId()}", name)
-            row = {"part": [task.partitionId()], "seq": [made], "path": [name.removeprefix(base + "/")], "documents": [len(doc_ids)], "tokens": [int(lengths.sum())]}
+            row = {"part": [task.partitionId()], "seq": [made], "path": [name], "documents": [len(doc_ids)], "tokens": [int(lengths.sum())]}
             made, held = made + 1, ([], [])
             return pa.RecordBatch.from_pydict(row)
 
@@ -279,5 +279,5 @@ def read_documents(files: DataFrame, folder: str) -> DataFrame:
 
 def store_tokens(docs: DataFrame, tokenizer: str, end_id: int = 1, folder: str | None = None) -> DataFrame:
     """Write the documents' tokens (to a new folder in the shared one unless ``folder`` is given) and read them back."""
-    folder = folder or f"{shared_dir(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
+    folder = folder or new_folder(docs.sparkSession, "tokens")
     return read_documents(write_tokens(docs, folder, tokenizer, end_id), folder)

@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowtide.llm import mixing, near_copies, pieces, pii, queries
+from rowtide.sources.shared import new_folder, remove
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
-    return queries.quality_scores(spark, docs, sf_dir).where(F.col("score") >= queries.GOOD_FROM).select(*docs.columns)
+    return queries.quality_scores(spark, docs, sf_dir, "_quality").where(F.col("_quality") >= queries.GOOD_FROM).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,8 +53,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, one after another, from documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """All stages, one after another, from documents. What a stage keeps is written to the shared folder before the next one
+    reads it, and deleted when that one's is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for _, stage in STAGES[:-1]:
+        folder = new_folder(spark, "pipeline")
+        stage(spark, docs, sf_dir).write.parquet(folder)
+        if before:
+            remove(spark, before)
+        docs, before = spark.read.parquet(folder), folder
+    return STAGES[-1][1](spark, docs, sf_dir)

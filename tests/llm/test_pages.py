@@ -3,10 +3,18 @@
 from __future__ import annotations
 
 import re
+from collections import Counter, defaultdict
+from html.parser import HTMLParser
+
+import pytest
 
 from rowtide.llm import pages, queries
 
 
+def keep(html):
+    return pages.article_text(pages.parse(html))
+
+
 def made(spark, rows):
     return spark.createDataFrame([(i, u, h, "x", 3) for i, u, h in rows], "page_id long, url string, html string, text string, digest int")
 
@@ -16,7 +24,6 @@ def texts(df):
 
 
 def test_structure():
-    keep = lambda html: pages.parse(html)[1]
     assert keep("<p>A &amp; B</p><p>C\n  d</p>") == "A & B C d"
     assert keep("<body><nav>menu</nav><p>text</p><footer>foot</footer></body>") == "text"
     assert keep("<p>one<p>two<script>var x = '<p>no</p>';</script><style>p{}</style>") == "one two"
@@ -32,7 +39,101 @@ def test_structure():
 
 
 def test_deep_nesting_is_no_recursion():
-    assert pages.parse("<div>" * 20_000 + "deep" + "</div>" * 20_000)[1] == "deep"
+    assert keep("<div>" * 20_000 + "deep" + "</div>" * 20_000) == "deep"
+
+
+LONG = "A sentence of the article that goes on for a while, so that it is most of the page."
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        f"<body><div class='post has-sidebar'><p>{LONG}</p></div></body>",
+        f"<body><article class='post comments-open'><p>{LONG}</p></article></body>",
+        f"<body><div class='page-header-sticky no-sidebar'><p>{LONG}</p></div></body>",
+        f"<body><div class='content-with-ads'><p>{LONG}</p></div></body>",
+        f"<body><form action='/x'><p>{LONG}</p></form><p>x</p></body>",
+        f"<body><div class='sidebar-right'><main><p>{LONG}</p></main></div></body>",
+        f"<body><div id='app' style='display:none'><p>{LONG}</p></div></body>",
+        f"<body><div class='side-by-side'><p>{LONG}</p></div></body>",
+    ],
+)
+def test_hints_do_not_drop_the_page_itself(html):
+    assert LONG in keep(html)
+
+
+def test_self_closed_elements_hold_nothing():
+    assert keep("<p>x<br>y</p><svg/><p>after</p>") == "x y after"
+    assert keep("<p>x</p><template/><p>after</p>") == "x after"
+    assert keep("<p>x</p><svg><path d='a'/><title/><g/></svg><p>after</p>") == "x after"
+    assert keep("<p>x</p><script src='a.js'/><p>after</p>") == "x after"
+    assert keep("<p>x</p><iframe src='b'/><p>after</p>") == "x after"
+    assert keep("<p>x</p><script>var a = '</p>'</script><p>after</p>") == "x after"
+
+
+def test_an_article_is_the_text_if_it_holds_most():
+    teaser = "<article class='card'><p>Read more here</p></article>"
+    assert keep(f"<main><h1>Title</h1><p>{LONG}</p>{teaser}</main>") == f"Title {LONG} Read more here"
+    assert keep(f"<main><article><h1>Title</h1><p>{LONG}</p></article><section>{teaser}{teaser}</section></main>") == f"Title {LONG}"
+    assert keep("<body><div>Some words around it that are longer</div><article><h2>T</h2><p>Short</p></article></body>") == "T Short"
+    assert keep("<body><article><p>One</p></article><article><p>Two</p></article></body>") == "One Two"
+
+
+def test_long_comments_go():
+    comments = f"<div class='comments'>{'<article class=comment><p>' + LONG + '</p></article>'}{'<p>' + LONG + '</p>' * 5}</div>"
+    assert keep(f"<body><div><h1>T</h1><p>Short article</p></div>{comments}</body>") == "T Short article"
+    assert keep(f"<body><div><p>Short article</p></div><div class='comment-list'><p>{LONG}</p></div></body>") == "Short article"
+    assert keep(f"<body><div class='masthead'><h1>Site</h1></div><div><p>{LONG}</p></div></body>") == LONG
+
+
+class Plain(HTMLParser):
+    """A second extractor for well-formed pages, on the standard library's parser: a stack of flags and nothing else."""
+
+    GONE = frozenset("head script style noscript nav footer aside button select form template svg iframe".split())
+    FLOWS = frozenset("a b i em strong span code small sub sup u mark abbr cite q time label".split())
+
+    def __init__(self, root):
+        super().__init__(convert_charrefs=True)
+        self.root, self.stack, self.out = root, [], []
+
+    def handle_starttag(self, tag, attrs):
+        a = dict(attrs)
+        names = {w for k in ("class", "id") for n in (a.get(k) or "").lower().split() for w in (re.split("[-_]", n)[0], re.split("[-_]", n)[-1])}
+        inside = any(t == self.root for t, _ in self.stack)
+        gone = tag in self.GONE or tag == "header" and not inside or "hidden" in a or (a.get("role") or "") in pages.ROLES or bool(names & pages.NAMES) and tag not in ("html", "body", "main")
+        if tag not in self.FLOWS:
+            self.out.append(" ")
+        if tag not in pages.VOID:
+            self.stack.append((tag, gone))
+
+    def handle_endtag(self, tag):
+        if any(t == tag for t, _ in self.stack):
+            while self.stack.pop()[0] != tag:
+                pass
+        if tag not in self.FLOWS:
+            self.out.append(" ")
+
+    def handle_data(self, data):
+        if not any(g for _, g in self.stack) and (not self.root or any(t == self.root for t, _ in self.stack)):
+            self.out.append(data)
+
+
+def plain_text(html):
+    root = "article" if "<article" in html else "main" if "<main" in html else ""
+    reader = Plain(root)
+    reader.feed(html)
+    reader.close()
+    return " ".join("".join(reader.out).split())
+
+
+def test_the_tables_pages_read_the_same_with_a_second_extractor(spark):
+    d = "/root/testdata/sf0.01"
+    got = {r.page_id: r.text for r in queries.op8_main_text(spark, d).collect()}
+    html = {r.page_id: r.html for r in spark.read.parquet(f"{d}/pages.parquet").collect()}
+    assert set(got) == set(html)
+    other = [i for i, h in html.items() if plain_text(h or "") != got[i]]
+    assert other == []
+    assert all(got.values())
 
 
 def test_templates_of_a_host(spark):
@@ -47,15 +148,36 @@ def test_templates_of_a_host(spark):
 
 
 def test_templates_are_those_of_a_count(spark):
-    """Subtree counts per host against a plain dictionary."""
+    """Subtree counts per host against a plain dictionary; equal pages count once; large hosts need a lower share."""
     rows = [(i, f"https://h{i % 3}.example/{i}", f"<div><p>{'same' if i % 2 else i}</p></div><section>{i % 4}</section>") for i in range(60)]
+    rows += [(i, f"https://big.example/{i}", f"<div><p>page {i}</p></div><section>{'box' if i < 60 else i}</section><ul><li>{i % 6}</li></ul>") for i in range(300)]
+    rows += [(i, "https://copies.example/", "<div><p>a copy</p></div>") for i in range(20)]
     df = made(spark, rows).selectExpr("regexp_extract(url, '//([^/]*)', 1) as host", "html")
-    got = {(r.host, r.digest) for r in pages.templates(df, 0.4, 5).collect()}
-    on: dict = {}
+    got = {(r.host, r.digest) for r in pages.templates(df).collect()}
+    on: dict = Counter()
+    of_host = defaultdict(set)
     for _, url, html in rows:
-        for digest in pages.parse(html)[0]:
-            on.setdefault((re.search("//([^/]*)", url)[1], digest), []).append(1)
-    assert got == {k for k, v in on.items() if len(v) >= 5 and len(v) >= 0.4 * 20}
+        of_host[re.search("//([^/]*)", url)[1]].add(html)
+    for host, htmls in of_host.items():
+        for html in htmls:
+            on.update((host, digest) for digest in pages.digests(pages.parse(html)))
+    n = {host: len(htmls) for host, htmls in of_host.items()}
+    assert got == {(h, d) for (h, d), c in on.items() if n[h] >= 5 and c >= 5 and c >= min(0.4 * n[h], max(50, 0.01 * n[h]))}
+    assert any(h == "big.example" for h, _ in got)
+    assert not any(h == "copies.example" for h, _ in got)
+
+
+def test_a_template_that_holds_the_page_stays(spark):
+    rows = [(i, f"https://a.example/{i}", f"<body><div><h1>Same</h1><p>{LONG}</p></div><p>{i}</p></body>") for i in range(8)]
+    assert all(r.text == f"Same {LONG} {r.page_id}" for r in pages.main_text(made(spark, rows)).collect())
+
+
+def test_many_template_hashes_are_joined_by_shuffle(spark, monkeypatch):
+    box = "<div class='box'><p>Subscribe to our daily letter today</p></div>"
+    rows = [(i, f"https://a.example/p{i}", f"<body>{box}<p>Story number {i}</p></body>") for i in range(8)]
+    want = texts(pages.main_text(made(spark, rows)))
+    monkeypatch.setattr(pages, "MOST_BROADCAST", 0)
+    assert texts(pages.main_text(made(spark, rows))) == want == {i: f"Story number {i}" for i in range(8)}
 
 
 def test_query_over_the_small_table(spark, small):

@@ -119,23 +119,26 @@ FROM drawn
 """,
     "op5_nearest_neighbours": """
 WITH v AS (
-  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  SELECT row_number() OVER () AS n, vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x for x in embedding::DOUBLE[] if x IS NULL OR NOT isfinite(x)]) = 0
+    AND len([x for x in embedding::DOUBLE[] if x <> 0]) > 0
 ), pairs AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_distance(q.e, c.e) AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0
+  SELECT q.n, q.vec_id AS query_id, c.vec_id, list_distance(q.e, c.e) AS score
+  FROM v q JOIN v c ON len(q.e) = len(c.e) AND q.n <> c.n WHERE q.vec_id % 100 = 0
 ), ranked AS (
-  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER) AS rank FROM pairs
+  SELECT *, CAST(row_number() OVER (PARTITION BY n ORDER BY score, vec_id) AS INTEGER) AS rank FROM pairs
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 """,
     "op6_top_products": """
 WITH v AS (
-  SELECT vec_id, [floor(256 * x) for x in embedding::DOUBLE[]] AS e FROM embeddings
+  SELECT row_number() OVER () AS n, vec_id, [floor(256 * x) for x in embedding::DOUBLE[]] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x for x in embedding::DOUBLE[] if x IS NULL OR NOT isfinite(x)]) = 0
 ), pairs AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+  SELECT q.n, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON len(q.e) = len(c.e) AND q.n <> c.n WHERE q.vec_id % 50 = 0
 ), ranked AS (
-  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM pairs
+  SELECT *, CAST(row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM pairs
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """,

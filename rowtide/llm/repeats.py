@@ -6,14 +6,16 @@ falls. A stretch of consecutive windows with one anchor is a context, shipped on
 
 1. Blocks send their distinct anchors, as 32 bits within a cell of the hash range; cells answer which occur in other blocks.
 2. Blocks send the distinct contexts of the anchors that recur, with the least document of each. A cell builds the suffix
-   array of its distinct contexts by bucket-pointer refinement: buckets of 8 bytes are refined by sorting on the bucket
-   identifiers of later offsets (8, 16, then 18 bytes on), each round reusing the identifiers that the round before has
-   updated, and leaving alone buckets of one suffix; after three rounds a bucket holds the suffixes that agree on 50 bytes. The
-   cell answers, as one bit for each window, whether a smaller document has the window.
+   array of its distinct contexts by bucket-pointer refinement (see ``suffix_array``). Windows that are equal stand next to each
+   other in it, which is decided on their bytes; the cell answers, as one bit for each window, whether a smaller document has
+   the window.
 3. Blocks mark the windows and remove the bytes that they cover.
 
+Hashes only decide where contexts meet. Contexts of one hash are compared byte by byte before they count as one.
+
 Texts are shuffled once; what goes back and forth is about a third of a byte for each byte of text and the contexts. A hot
-passage or group of copies is one context for each block, whatever the number of its documents.
+passage or group of copies is one context for each block, whatever the number of its documents. Messages between a block and a
+cell are one row each; there are never more than anchors.
 """
 
 from __future__ import annotations
@@ -35,7 +37,9 @@ WINDOWS = LENGTH - GRAM + 1
 #: Window starts handled at once; positions within fit in POSITION bits, the rest of a key is hash.
 SEGMENT, POSITION = 1 << 20, np.uint64((1 << 21) - 1)
 #: Text of a block and anchors of a cell, about. Small inputs are cut finer, into ``LEAST_BLOCKS``.
-BLOCK_BYTES, CELL_ANCHORS, LEAST_BLOCKS = 8 << 20, 500_000, 48
+BLOCK_BYTES, CELL_ANCHORS, LEAST_BLOCKS, LEAST_BLOCK_BYTES = 8 << 20, 500_000, 48, 1 << 18
+#: Bytes of the first buckets' common prefix; suffixes of the buckets that are refined together.
+PREFIX, TOGETHER = 8, 1 << 17
 NO_ID = np.iinfo(np.int64).max
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9)]
 
@@ -68,6 +72,15 @@ class Runs:
         self.first, self.last, self.anchor, self.context = (np.concatenate(x) for x in zip(empty, *parts, strict=True))
         self.row = np.searchsorted(offsets, self.first, "right") - 1
 
+    def confirm(self, data: np.ndarray, order: np.ndarray, new: np.ndarray) -> None:
+        """Check on bytes that contexts are equal where ``new`` says so of neighbours in ``order``. An answer names a context by its
+        hash, so two contexts of one hash in a block cannot be told apart: that is an error (one in 2**64 pairs)."""
+        again = np.flatnonzero(~new)
+        a, b = order[again], order[again - 1]
+        sizes = self.last - self.first + LENGTH
+        if (sizes[a] != sizes[b]).any() or not equal_spans(data, self.first[a], data, self.first[b], sizes[a]).all():
+            raise RuntimeError("two contexts share a hash")
+
     @staticmethod
     def _segment(data: np.ndarray, ok: np.ndarray, s: int, contexts: bool) -> tuple[np.ndarray, ...]:
         part = np.ascontiguousarray(data[s : s + SEGMENT + LENGTH - 1])
@@ -146,7 +159,8 @@ def send_contexts(bits: int):
             chosen = np.flatnonzero((elsewhere | here)[np.searchsorted(keys, cut)])
             order = chosen[np.lexsort((doc[chosen], runs.context[chosen], runs.anchor[chosen]))]
             new = np.ones(len(order), bool)
-            new[1:] = runs.context[order[1:]] != runs.context[order[:-1]]
+            new[1:] = (runs.context[order[1:]] != runs.context[order[:-1]]) | (runs.anchor[order[1:]] != runs.anchor[order[:-1]])
+            runs.confirm(data, order, new)
             best = order[new]  # the least document of each context comes first
             at, size = runs.first[best], runs.last[best] - runs.first[best] + LENGTH
             ends = np.cumsum(size)
@@ -161,23 +175,74 @@ def send_contexts(bits: int):
     return send
 
 
-def bucket_pointers(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Bucket identifiers of the suffixes of the contexts: equal where suffixes agree on their first ``LENGTH`` bytes.
+def suffix_array(text: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Positions of ``text`` in the order of their next ``LENGTH`` bytes; ``left``: bytes to the end of each one's context.
 
-    Identifiers are defined at positions with ``LENGTH`` bytes left in their context.
+    Bucket-pointer refinement. Suffixes are dealt to buckets by ``PREFIX`` bytes (zeros beyond a context's end); a suffix's bucket
+    pointer is its bucket's place in the array, so pointers are in the order of the suffixes as far as that is known. Buckets
+    are taken from left to right. A bucket whose suffixes agree on ``depth`` bytes is sorted on the pointers of the suffixes
+    ``depth`` bytes later and falls into buckets of those with one pointer, which agree on as many bytes more as that
+    pointer's bucket does. The new pointers hold from then on, for the refinement of these buckets, which follows at once, and
+    for all buckets to come: the further to the right, the more bytes a pointer stands for. A bucket is final when it has
+    one suffix or agrees on ``LENGTH`` bytes.
     """
+    n = len(text)
+    first = words_at(np.concatenate((text, np.zeros(8, np.uint8))))[:n].byteswap()
+    short = np.flatnonzero(left < PREFIX)
+    shift = (8 * (PREFIX - left[short])).astype(np.uint64)
+    first[short] = first[short] >> shift << shift
+    order = np.argsort(first, kind="stable").astype(np.int32)
+    first = first[order]
+    edge = np.flatnonzero(np.concatenate(([True], first[1:] != first[:-1]))) if n else np.zeros(0, np.int64)
+    del first
+    sizes = np.diff(np.append(edge, n))
+    pointer, depth = np.empty(n, np.int32), np.full(n, PREFIX, np.int16)
+    pointer[order] = np.repeat(edge, sizes)
+    open_ = np.flatnonzero(np.repeat(sizes > 1, sizes))
+    at = 0
+    while at < len(open_):
+        to = min(at + TOGETHER, len(open_))
+        while to < len(open_) and pointer[order[open_[to]]] == pointer[order[open_[to - 1]]]:
+            to = int(np.searchsorted(open_, pointer[order[open_[to]]] + sizes[np.searchsorted(edge, pointer[order[open_[to]]])]))
+        place = open_[at:to]
+        at = to
+        while len(place):
+            suffix = order[place]
+            later = np.minimum(depth[suffix], LENGTH - PREFIX)
+            there = later < left[suffix]
+            target = np.where(there, suffix + later, 0)
+            key = pointer[suffix].astype(np.int64) << 32 | np.where(there, pointer[target] + 1, 0)
+            deep = later + np.where(there, depth[target], LENGTH)
+            by = np.argsort(key, kind="stable")
+            suffix, key = suffix[by], key[by]
+            starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            sizes_of = np.diff(np.append(starts, len(key)))
+            order[place] = suffix
+            pointer[suffix] = np.repeat(place[starts], sizes_of)
+            depth[suffix] = deep[by]
+            place = place[np.repeat(sizes_of > 1, sizes_of) & (deep[by] < LENGTH)]
+    return order
+
+
+def equal_windows(text: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the ``LENGTH`` bytes from ``a`` are those from ``b``."""
     words = words_at(text)
-    left = np.repeat(ends, ends - starts) - np.arange(len(text))
-    pointer = np.zeros(len(text), np.int64)
-    deep = np.flatnonzero(left >= 8)
-    _, pointer[deep] = np.unique(words[deep], return_inverse=True)
-    for depth, later in ((16, 8), (32, 16), (LENGTH, LENGTH - 32)):
-        sizes = np.bincount(pointer[deep])
-        deep = deep[left[deep] >= depth]
-        open_ = deep[sizes[pointer[deep]] > 1]  # a bucket of one suffix is final
-        _, refined = np.unique(pointer[open_] << 32 | pointer[open_ + later], return_inverse=True)
-        pointer[open_] = refined + (len(sizes) + 1)
-    return pointer
+    same = np.ones(len(a), bool)
+    for k in (*range(0, LENGTH - 8, 8), LENGTH - 8):
+        same[same] = words[a[same] + k] == words[b[same] + k]
+    return same
+
+
+def equal_spans(a_text: np.ndarray, a: np.ndarray, b_text: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether the bytes from ``a`` are those from ``b``, over ``sizes`` (at least one each)."""
+    out = np.ones(len(a), bool)
+    for s in range(0, len(a), 1 << 14):
+        n = sizes[s : s + (1 << 14)]
+        to = np.cumsum(n)
+        within = np.arange(to[-1]) - np.repeat(to - n, n)
+        same = a_text[np.repeat(a[s : s + (1 << 14)], n) + within] == b_text[np.repeat(b[s : s + (1 << 14)], n) + within]
+        out[s : s + (1 << 14)] = np.logical_and.reduceat(same, to - n)
+    return out
 
 
 def answer_contexts(cell: pa.Table) -> pa.Table:
@@ -202,7 +267,9 @@ def answer_contexts(cell: pa.Table) -> pa.Table:
         at = to
     order = np.lexsort((doc, key, anchor))
     new = np.ones(len(order), bool)
-    new[1:] = (key[order[1:]] != key[order[:-1]]) | (anchor[order[1:]] != anchor[order[:-1]])
+    new[1:] = (key[order[1:]] != key[order[:-1]]) | (anchor[order[1:]] != anchor[order[:-1]]) | (size[order[1:]] != size[order[:-1]])
+    again = np.flatnonzero(~new)
+    new[again] = ~equal_spans(text, starts[order[again]], text, starts[order[again - 1]], size[order[again]])
     one = order[new]  # a context of each kind, of the least document
     kind = np.empty(len(order), np.int64)
     kind[order] = np.cumsum(new) - 1
@@ -216,15 +283,13 @@ def answer_contexts(cell: pa.Table) -> pa.Table:
         s, n = starts[one[of]], size[one[of]]
         to = np.cumsum(n)
         own = text[np.repeat(s - (to - n), n) + np.arange(to[-1])]
-        pointer = bucket_pointers(own, to - n, to)
-        windows = n - LENGTH + 1
-        which = np.repeat(np.arange(len(of)), windows)
-        offset = np.arange(len(which)) - np.repeat(np.cumsum(windows) - windows, windows)
-        bucket, d = pointer[(to - n)[which] + offset], doc[one[of]][which]
-        by = np.argsort(bucket, kind="stable")
-        first = np.flatnonzero(np.concatenate(([True], bucket[by[1:]] != bucket[by[:-1]])))
-        low = np.empty(len(by), np.int64)
-        low[by] = np.repeat(np.minimum.reduceat(d[by], first), np.diff(np.append(first, len(by))))
+        end = np.repeat(to, n)
+        sorted_ = suffix_array(own, (end - np.arange(len(own))).astype(np.int32))
+        whole = sorted_[end[sorted_] - sorted_ >= LENGTH].astype(np.int64)
+        first = np.flatnonzero(np.concatenate(([True], ~equal_windows(own, whole[1:], whole[:-1]))))
+        which = np.searchsorted(to, whole, "right")
+        offset, d = whole - (to - n)[which], doc[one[of]][which]
+        low = np.repeat(np.minimum.reduceat(d, first), np.diff(np.append(first, len(d))))
         least[of[which], offset] = low
     mask = ((least[kind] < doc[:, None]).astype(np.uint64) << np.arange(WINDOWS, dtype=np.uint64)).sum(1, dtype=np.uint64)
     hit = np.flatnonzero(mask & ((np.uint64(1) << (size - LENGTH + 1).astype(np.uint64)) - np.uint64(1)))
@@ -247,7 +312,8 @@ def removed_bytes(data: np.ndarray, runs: Runs, doc: np.ndarray, keys: np.ndarra
     """True for the bytes that windows of smaller documents cover; ``keys`` and ``masks``: the cells' answers."""
     order = np.lexsort((doc, runs.context, runs.anchor))
     new = np.ones(len(order), bool)
-    new[1:] = runs.context[order[1:]] != runs.context[order[:-1]]
+    new[1:] = (runs.context[order[1:]] != runs.context[order[:-1]]) | (runs.anchor[order[1:]] != runs.anchor[order[:-1]])
+    runs.confirm(data, order, new)
     least = np.empty(len(order), np.int64)
     least[order] = doc[order[new]][np.cumsum(new) - 1] if len(order) else doc[:0]
     starts = np.zeros(len(data) + 1, np.int32)
@@ -305,7 +371,7 @@ def remove_repeats(docs: DataFrame, text: bool = False) -> DataFrame:
     and each row is treated on its own. An empty table gives an empty result.
     """
     total = docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
-    blocks = max(1, math.ceil(total / BLOCK_BYTES), min(LEAST_BLOCKS, math.ceil(total / (1 << 18))))
+    blocks = max(1, math.ceil(total / BLOCK_BYTES), min(LEAST_BLOCKS, math.ceil(total / LEAST_BLOCK_BYTES)))
     bits = max(3, min(28, math.ceil(math.log2(max(1, 2 * total / (WINDOWS + 1) / CELL_ANCHORS)))))
     # rows of one id, or without one, are spread by their texts
     block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))

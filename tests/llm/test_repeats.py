@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import random
 
+import numpy as np
+
 from rowtide.llm import repeats
 
 N = repeats.LENGTH
@@ -80,23 +82,49 @@ def test_segments_do_not_matter(documents, monkeypatch):
     assert covered(small) == covered(whole)
 
 
-def test_bucket_pointers_group_equal_suffixes():
-    import numpy as np
-
-    rng = random.Random(9)
-    contexts = [bytes(rng.choice(b"ab") for _ in range(rng.randint(50, 84))) for _ in range(20)]
-    contexts += [c[3:] for c in contexts if len(c) > 55]
-    text = np.frombuffer(b"".join(contexts), np.uint8)
-    ends = np.cumsum([len(c) for c in contexts])
-    starts = ends - np.array([len(c) for c in contexts])
-    pointer = repeats.bucket_pointers(text, starts, ends)
-    windows = [(pointer[s + k], c[k : k + N]) for s, c in zip(starts, contexts, strict=True) for k in range(len(c) - N + 1)]
-    assert len({p for p, _ in windows}) == len({w for _, w in windows}) == len(set(windows))
-
-
 def test_kept_text_and_empty_table(documents):
     passage = "one two three four five six seven eight nine ten eleven twelve"
     rows = [(1, passage), (2, "A " + passage + " Z")]
     kept = {r.doc_id: bytes(r.kept) for r in repeats.remove_repeats(documents(rows), text=True).collect()}
     assert kept == {1: passage.encode(), 2: b"A  Z"}
     assert repeats.remove_repeats(documents([])).collect() == []
+
+
+def test_suffix_array_sorts_and_groups_windows():
+    rng = random.Random(11)
+    contexts = []
+    for _ in range(60):
+        unit = "".join(rng.choice("ab\0é") for _ in range(rng.randint(1, 30)))
+        contexts.append((unit * 90).encode()[: rng.randint(N, N + repeats.WINDOWS - 1)])
+    contexts += [c[5:] + b"x" * 5 for c in contexts[:30]]
+    text = np.frombuffer(b"".join(contexts), np.uint8)
+    ends = np.repeat(np.cumsum([len(c) for c in contexts]), [len(c) for c in contexts])
+    left = (ends - np.arange(len(text))).astype(np.int32)
+    for together in (1, 50, 1 << 17):
+        repeats.TOGETHER, before = together, repeats.TOGETHER
+        order = repeats.suffix_array(text, left).tolist()
+        repeats.TOGETHER = before
+        assert sorted(order) == list(range(len(text)))
+        windows = [text[i : i + N].tobytes() for i in order if left[i] >= N]
+        assert windows == sorted(windows)
+    assert repeats.suffix_array(text[:0], left[:0]).tolist() == []
+
+
+def test_equality_is_decided_on_bytes():
+    text = np.frombuffer(b"a" * 60 + b"a" * 59 + b"b", np.uint8)
+    assert repeats.equal_windows(text, np.array([0, 0]), np.array([1, 70])).tolist() == [True, False]
+    assert repeats.equal_spans(text, np.array([0, 0]), text, np.array([60, 61]), np.array([59, 59])).tolist() == [True, False]
+
+
+def test_many_blocks_and_cells(spark, documents, monkeypatch):
+    """The driver's documents in tens of blocks and cells, against brute force."""
+    monkeypatch.setattr(repeats, "LEAST_BLOCK_BYTES", 20_000)
+    monkeypatch.setattr(repeats, "CELL_ANCHORS", 500)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    rows = [tuple(r) for r in docs.collect()]
+    assert sum(len((t or "").encode()) for _, t in rows) > 20 * 20_000
+    assert found(repeats.remove_repeats(docs)) == sorted(brute(rows), key=str)
+    rng = random.Random(8)
+    passages = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randint(40, 300))) for _ in range(30)]
+    rows = [(i, "".join(rng.choice(passages)[rng.randint(0, 30) :] for _ in range(rng.randint(1, 6)))) for i in range(300)]
+    assert found(repeats.remove_repeats(documents(rows))) == sorted(brute(rows), key=str)

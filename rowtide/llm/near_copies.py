@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from rowtide.llm.common import by_bytes, byte_view, mix64, span_hashes, word_spans
 from rowtide.llm.components import components
+from rowtide.llm.skew import MOST_COMMON, common, join_by
 from rowtide.sources.shared import cut
 
 COORDINATES = 128
@@ -49,6 +50,8 @@ SUBTREES = 3
 #: Share of equal bytes from which a pair is confirmed: 4.2 standard deviations below what a similarity of 0.8 gives.
 SHOWN = 0.65
 MISSED = 1e-4
+#: Pairs that one copy of a set is joined with, about: sets of many pairs are copied.
+PAIRS_OF_A_SET = 1024
 #: Ids up to this many are broadcast (8 bytes each).
 MOST_BROADCAST = 500_000
 _FOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -181,14 +184,21 @@ def deeper(nodes: DataFrame, classes: DataFrame, subtrees: int = 1) -> DataFrame
 
 def sized(nodes: DataFrame) -> DataFrame:
     """(node, member, size) of the nodes of two members at least; sizes are added up before their shuffle."""
-    return cut(nodes.join(nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "node"))
+    counts = cut(nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
+    return cut(join_by(nodes, "node", counts, "node", common(counts, "node", "size", _total(counts))))
 
 
 def divided(nodes: DataFrame) -> DataFrame:
     """Members (node, member, label) of the nodes that hold several components, with the node's size and its largest one, ``top``."""
+    nodes = nodes.select("node", "member", "label")
     parts = nodes.groupBy("node", "label").agg(F.count(F.lit(1)).alias("n"))
-    mixed = parts.groupBy("node").agg(F.sum("n").alias("size"), F.max("n").alias("most"), F.max_by("label", F.struct("n", "label")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    return cut(nodes.select("node", "member", "label").join(mixed.drop("parts"), "node"))
+    mixed = parts.groupBy("node").agg(F.sum("n").alias("size"), F.max("n").alias("most"), F.max_by("label", F.struct("n", "label")).alias("top"), F.count(F.lit(1)).alias("parts"))
+    mixed = cut(mixed.where("parts > 1").drop("parts"))
+    return cut(join_by(nodes, "node", mixed, "node", common(mixed, "node", "size", _total(mixed))))
+
+
+def _total(sizes: DataFrame) -> int:
+    return sizes.agg(F.sum("size").alias("n")).first().n or 0
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, pa.RecordBatch]]:
@@ -312,9 +322,15 @@ def _together(nodes: DataFrame, *key: str) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-    ids = cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
-    needed = F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids
+    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union. ``pairs`` is read several times.
+
+    A set that many pairs need is copied, and its pairs are dealt among the copies.
+    """
+    degrees = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).groupBy("id").agg(F.count(F.lit(1)).alias("n")))
+    size = degrees.agg(F.count(F.lit(1)).alias("ids"), F.coalesce(F.sum("n"), F.lit(0)).alias("pairs")).first()
+    often = degrees.where(F.col("n") > max(PAIRS_OF_A_SET, size.pairs // MOST_COMMON)).select("id", F.ceil(F.col("n") / PAIRS_OF_A_SET).alias("copies"))
+    ids = degrees.select(F.col("id").alias("doc_id"))
+    needed = F.broadcast(ids) if size.ids <= MOST_BROADCAST else ids
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -325,8 +341,13 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(raw, pa.large_binary()).cast(pa.binary())], ["id", "shingles"])
 
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(needed, "doc_id", "left_semi").mapInArrow(sets, "id long, shingles binary")
-    left = found.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
-    right = found.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
+    copied = found.join(F.broadcast(often), "id", "left").select("id", "shingles", F.explode(F.sequence(F.lit(1).cast("long"), F.coalesce("copies", F.lit(1).cast("long")))).alias("copy"))
+    left = copied.select(F.col("id").alias("a"), F.col("copy").alias("copy_a"), F.col("shingles").alias("x"))
+    right = copied.select(F.col("id").alias("b"), F.col("copy").alias("copy_b"), F.col("shingles").alias("y"))
+    dealt = pairs
+    for own, other in (("a", "b"), ("b", "a")):
+        of = F.broadcast(often.select(F.col("id").alias(own), F.col("copies").alias(f"_{own}")))
+        dealt = dealt.join(of, own, "left").withColumn(f"copy_{own}", F.pmod(F.xxhash64(other), F.coalesce(f"_{own}", F.lit(1).cast("long"))) + 1)
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -342,7 +363,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
                 good.append(100 * shared >= percent * (len(x) + len(y) - shared))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(confirm, "a long, b long").distinct()
+    return dealt.join(left, ["a", "copy_a"]).join(right, ["b", "copy_b"]).select("a", "b", "x", "y").mapInArrow(confirm, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -368,10 +389,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     found = cut(_together(keyed, "node").mapInArrow(best_partners, "a long, b long, shown double, node long"))
     best = found.where("a <> b").groupBy("b").agg(F.max_by("a", F.struct("shown", -F.col("a"))).alias("a"))
     first = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    large = blocks.where(F.col("size") > SMALL).select("node", "member", block_id.alias("block"))
+    large = blocks.where(F.col("size") > SMALL).select("node", "member", "size", block_id.alias("block"))
     candidates = found.where("a = b").select(F.col("node").alias("block"), F.col("a").alias("pivot"), "shown")
     pivots = large.select("node", "block").distinct().join(candidates, "block").groupBy("node").agg(F.max(F.struct("shown", "pivot")).alias("p"))
-    pivoted = large.join(pivots, "node").groupBy("member").agg(F.max("p")["pivot"].alias("pivot")).where("member <> pivot")
+    often = common(large.groupBy("node").agg(F.max("size").alias("size")), "node", "size", nodes.count())
+    pivoted = join_by(large.select("node", "member"), "node", cut(pivots), "node", often).groupBy("member").agg(F.max("p")["pivot"].alias("pivot")).where("member <> pivot")
     first = cut(first.union(pivoted.select(F.least("member", "pivot").alias("a"), F.greatest("member", "pivot").alias("b"))).distinct())
     links = cut(confirmed(first, docs, words, percent))
     labels = components(links)

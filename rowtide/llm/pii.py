@@ -51,16 +51,20 @@ FOLDED = 64
 MOST_BROADCAST = 100_000
 
 
+def _let(x: Column, use) -> Column:
+    """``use`` of the value of ``x``, which is computed once however often it is used."""
+    return F.transform(F.array(x), use)[0]
+
+
 def _located(text: Column, pattern: Column) -> Column:
     """Array of (start, end, value) of all matches, in code points, end exclusive.
 
     Matches are folded in chunks of about the root of their number, as a fold copies what it has gathered at each step.
     """
     steps = F.transform(F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("hit")), lambda x: F.struct(F.length(x["gap"]).alias("gap"), x["hit"].alias("hit")))
-    chunk = F.greatest(F.lit(FOLDED), F.ceil(F.sqrt(F.size(steps))).cast("int"))
 
-    def chunks(all_: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / chunk).cast("int")), lambda k: F.slice(all_, k * chunk + 1, chunk))
+    def chunks(all_: Column, size: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / size).cast("int")), lambda k: F.slice(all_, k * size + 1, size))
 
     def moved(at: Column, x: Column) -> Column:
         return at + x["gap"] + F.coalesce(F.length(x["hit"]), F.lit(0))
@@ -77,12 +81,15 @@ def _located(text: Column, pattern: Column) -> Column:
         empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
         return F.aggregate(part, F.struct(at.alias("at"), empty.alias("found")), step, lambda acc: acc["found"])
 
-    def whole(all_: Column) -> Column:
-        parts = chunks(all_)
+    def joined(parts: Column) -> Column:
         starts = F.aggregate(parts, F.array(F.lit(0)), begin)
         return F.flatten(F.zip_with(parts, F.slice(starts, F.lit(1), F.size(parts)), fold))
 
-    return F.when(F.size(steps) > chunk, whole(steps)).otherwise(fold(steps, F.lit(0)))
+    def located(all_: Column) -> Column:
+        size = F.greatest(F.lit(FOLDED), F.ceil(F.sqrt(F.size(all_))).cast("int"))
+        return F.when(F.size(all_) > FOLDED, _let(_let(size, lambda n: chunks(all_, n)), joined)).otherwise(fold(all_, F.lit(0)))
+
+    return _let(steps, located)
 
 
 def _luhn(value: Column) -> Column:
@@ -158,11 +165,9 @@ def _words(text: Column) -> Column:
 
 def copy_groups(held: DataFrame) -> DataFrame:
     """``held`` (_row, text and other columns) with ``_copy_of``, the first row of its group of near copies."""
-    words = _words(F.col("text"))
-    shingles = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - SHINGLE + 1)), lambda i: F.xxhash64(F.slice(words, i, SHINGLE)))
-    prints = held.select("_row", shingles.alias("_shingles"))
-    least = lambda k: F.array_min(F.transform("_shingles", _hashed(k)))
-    prints = prints.select("_row", F.explode(F.array(*(F.xxhash64(F.lit(k), *(least(k * HASHES + h) for h in range(HASHES))) for k in range(PRINTS)))).alias("print"))
+    least = lambda shingles, k: F.array_min(F.transform(shingles, _hashed(k)))
+    prints = lambda shingles: F.array(*(F.xxhash64(F.lit(k), *(least(shingles, k * HASHES + h) for h in range(HASHES))) for k in range(PRINTS)))
+    prints = held.select("_row", F.explode(_let(_let(_words(F.col("text")), _shingles), prints)).alias("print"))
     prints = cut(prints)
     first = cut(prints.groupBy("print").agg(F.min("_row").alias("first"), F.count(F.lit(1)).alias("n")))
     often = common(first, "print", "n", prints.count())
@@ -170,6 +175,10 @@ def copy_groups(held: DataFrame) -> DataFrame:
     return held.join(of_rows, "_row")
 
 
+def _shingles(words: Column) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - SHINGLE + 1)), lambda i: F.xxhash64(F.slice(words, i, SHINGLE)))
+
+
 def _hashed(k: int):
     return lambda x: F.xxhash64(F.lit(k), x)
 

@@ -32,9 +32,11 @@ from pyspark.sql import functions as F
 from rowtide.llm.common import by_bytes, byte_view, mix64, span_hashes, word_spans
 from rowtide.llm.components import components
 from rowtide.llm.skew import MOST_COMMON, common, join_by
-from rowtide.sources.shared import cut
+from rowtide.sources import shared
 
 COORDINATES = 128
+#: Rows that go to a Python worker at once: they carry texts and whole sets.
+AT_ONCE = 500
 #: Nodes of up to this many classes are compared exhaustively.
 SMALL = 32
 #: Members of the blocks that large nodes are cut into, about.
@@ -58,6 +60,17 @@ _FOLD = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = mix64(np.arange(1, COORDINATES + 1, dtype=np.uint64)) | np.uint64(1)
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder, with at most ``AT_ONCE`` rows at a time in Python workers."""
+    conf, rows = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(rows)
+    conf.set(rows, AT_ONCE)
+    try:
+        return shared.cut(df)
+    finally:
+        conf.set(rows, before)
+
+
 def shingle_sets(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Row and 64-bit hash of each distinct shingle, ordered by row and hash; A-Z lower-cased, a shorter text is one shingle."""
     data, offsets = byte_view(column)

@@ -20,6 +20,7 @@ of large nodes also have their ``FINE`` lowest shingle hashes: short sets are wh
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 from collections.abc import Iterator
@@ -37,6 +38,8 @@ from rowtide.sources import shared
 COORDINATES = 128
 #: Rows that go to a Python worker at once: they carry texts and whole sets.
 AT_ONCE = 500
+#: Bytes of text whose shingles are made at once (one longer text is taken alone).
+PIECE = 1 << 18
 #: Nodes of up to this many classes are compared exhaustively.
 SMALL = 32
 #: Members of the blocks that large nodes are cut into, about.
@@ -102,7 +105,7 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in by_bytes(batch, "text", 1 << 20):
+            for part in by_bytes(batch, "text", PIECE):
                 rows, shingles = shingle_sets(part.column("text"), words)
                 n = np.bincount(rows, minlength=part.num_rows)
                 has = n > 0
@@ -289,7 +292,7 @@ def finer(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
 
     def lowest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in by_bytes(batch, "text", 1 << 20):
+            for part in by_bytes(batch, "text", PIECE):
                 rows, shingles = shingle_sets(part.column("text"), words)
                 short = (mix64(shingles) >> np.uint64(32)).astype(np.uint32)
                 ends = np.searchsorted(rows, np.arange(part.num_rows + 1))
@@ -347,7 +350,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in by_bytes(batch, "text", 1 << 20):
+            for part in by_bytes(batch, "text", PIECE):
                 rows, shingles = shingle_sets(part.column("text"), words)
                 ends = np.searchsorted(rows, np.arange(part.num_rows + 1))
                 raw = [shingles[i:j].tobytes() for i, j in zip(ends, ends[1:], strict=False)]
@@ -413,23 +416,24 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
     known = labels.withColumnRenamed("node", "member")
     open_ = divided(nodes.join(known, "member", "left").select("node", "member", F.coalesce("label", "member").alias("label")))
-    pairs = fine = None
+    by_level: list[DataFrame] = []
+    fine = None
     for level in range(MORE_LEVELS + 1):
         few = F.col("size") - F.col("most") <= F.greatest(F.lit(SMALL), F.col("size") / 16)
         compared = _together(open_.where(F.col("size") <= SMALL).join(sketch, "member").select("node", "member", "bytes", "label"), "node").mapInArrow(apart, "a long, b long")
         dense = open_.where(F.col("size") > SMALL)
         if dense.isEmpty():
-            pairs = compared if pairs is None else pairs.union(compared)
+            by_level.append(cut(compared))
             break
         if fine is None:
             # children hold no other members
             fine = finer(docs, dense.select("member").distinct(), words)
         left = dense.where(~few) if level < MORE_LEVELS else dense.limit(0)
-        compared = compared.union(_others(dense.where(few) if level < MORE_LEVELS else dense, sketch, fine, percent))
-        pairs = compared if pairs is None else pairs.union(compared)
+        # each level is written by itself, so that no plan holds several
+        by_level.append(cut(compared.union(_others(dense.where(few) if level < MORE_LEVELS else dense, sketch, fine, percent)).distinct()))
         if level < MORE_LEVELS:
             open_ = divided(cut(deeper(left, classes, 1 if level else SUBTREES)))
-    second = cut(pairs.distinct().join(first, ["a", "b"], "left_anti"))
+    second = cut(functools.reduce(DataFrame.union, by_level).distinct().join(first, ["a", "b"], "left_anti"))
     more = cut(confirmed(second, docs, words, percent))
     if not more.isEmpty():
         # go on from the components that are known

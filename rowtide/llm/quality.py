@@ -29,7 +29,7 @@ MOST_ROWS = 32_000
 #: Shards at least, and bytes of text in each, about.
 SHARDS, SHARD_BYTES = 8, 16 << 20
 #: Bytes of text whose n-grams are held at once (about fifty times as much memory); one longer text is taken alone.
-PIECE = 1 << 20
+PIECE = 1 << 18
 _AGAIN, _AGAIN_BUT_ONE = mix64(np.array([1, 2], np.uint64))
 
 

@@ -357,6 +357,9 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(raw, pa.large_binary()).cast(pa.binary())], ["id", "shingles"])
 
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(needed, "doc_id", "left_semi").mapInArrow(sets, "id long, shingles binary")
+    if often.isEmpty():
+        both = pairs.join(found.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(found.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+        return both.select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a long, b long").distinct()
     copied = found.join(F.broadcast(often), "id", "left").select("id", "shingles", F.explode(F.sequence(F.lit(1).cast("long"), F.coalesce("copies", F.lit(1).cast("long")))).alias("copy"))
     left = copied.select(F.col("id").alias("a"), F.col("copy").alias("copy_a"), F.col("shingles").alias("x"))
     right = copied.select(F.col("id").alias("b"), F.col("copy").alias("copy_b"), F.col("shingles").alias("y"))
@@ -365,6 +368,10 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
         of = F.broadcast(often.select(F.col("id").alias(own), F.col("copies").alias(f"_{own}")))
         dealt = dealt.join(of, own, "left").withColumn(f"copy_{own}", F.pmod(F.xxhash64(other), F.coalesce(f"_{own}", F.lit(1).cast("long"))) + 1)
 
+    return dealt.join(left, ["a", "copy_a"]).join(right, ["b", "copy_b"]).select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a long, b long").distinct()
+
+
+def _confirm(percent: int):
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
@@ -379,7 +386,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
                 good.append(100 * shared >= percent * (len(x) + len(y) - shared))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return dealt.join(left, ["a", "copy_a"]).join(right, ["b", "copy_b"]).select("a", "b", "x", "y").mapInArrow(confirm, "a long, b long").distinct()
+    return confirm
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:

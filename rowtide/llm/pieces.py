@@ -130,7 +130,7 @@ class PieceModel:
 class PieceEncoder(dict):
     """Encodes whole texts: a word (with the space mark before it) -> its ids as decimals; ``shown``: -> its decoded bytes."""
 
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str, most: int = 400_000):
         super().__init__()
         self.most, self.model = most, PieceModel(path)
         self.small: dict[str, array] = {}
@@ -185,6 +185,9 @@ class PieceEncoder(dict):
         return n, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest(), ids
 
 
+#: Bytes of text that are encoded before they are handed on (one longer text is taken alone).
+PIECE = 1 << 19
+
 _encoders: dict[str, PieceEncoder] = {}
 
 
@@ -206,7 +209,7 @@ def encode_texts(docs: DataFrame, model: str, ids: bool = False) -> DataFrame:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = encoder(model)
         for batch in batches:
-            for part in by_bytes(batch, "text"):
+            for part in by_bytes(batch, "text", PIECE):
                 rows = [pieces.digest(x.decode()) for x in texts_of(part)]
                 made = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string()))]
                 if ids:

@@ -24,6 +24,7 @@ def arguments(args: list[str] | None = None) -> argparse.Namespace:
     p = argparse.ArgumentParser(prog="rowtide", description=__doc__)
     p.add_argument("step", choices=("build", "fit", "all"))
     p.add_argument("--force", action="store_true", help="build tables and scores anew")
+    p.add_argument("--force-rescore", action="store_true", help="score features anew")
     p.add_argument("--basic-features", type=int, default=260)
     p.add_argument("--extra-features", type=int, default=300)
     p.add_argument("--seq-features", type=int, default=240)
@@ -49,10 +50,11 @@ def build(spark: SparkSession, where: tables.Folders, families: dict[str, int],
     out = {}
     for part in ("train", "test"):
         history = tables.read_history(spark, f"{where.data}/{part}_data.parquet")
+        source = tables.mark(spark, f"{where.data}/{part}_data.parquet")
         for family in families:
             make = features.FAMILIES[family]
             path = f"{where.work}/{family}_{part}.parquet"
-            out[family, part] = tables.build_table(spark, path, f"{family}:{','.join(history.columns)}", lambda make=make, history=history: tables.as_float(make(history)), force)
+            out[family, part] = tables.build_table(spark, path, f"{family}:{source}:{','.join(history.columns)}", lambda make=make, history=history: tables.as_float(make(history)), force)
     return out
 
 
@@ -66,7 +68,9 @@ def select(spark: SparkSession, where: tables.Folders, built: dict, target: Data
             out = out.unionByName(x)
         return out
 
-    tall = tables.build_table(spark, f"{where.work}/scores.parquet", ",".join(families), scores, force)
+    # scores hold for these tables and labels only
+    sources = [f"{f}={tables.mark(spark, f'{where.work}/{f}_train.parquet')}" for f in families]
+    tall = tables.build_table(spark, f"{where.work}/scores.parquet", ",".join([*sources, tables.mark(spark, f"{where.data}/train_target.csv")]), scores, force)
     chosen: dict[str, list[str]] = {f: [] for f in families}
     for r in scoring.top_by_family(tall, families).orderBy("family", "place").collect():  # a few hundred names
         chosen[r.family].append(r.feature)
@@ -78,7 +82,7 @@ def fit(spark: SparkSession, where: tables.Folders, args: argparse.Namespace) ->
     families = wanted(args)
     built = build(spark, where, families, args.force)
     target = scoring.unique_target(tables.read_target(spark, f"{where.data}/train_target.csv"))
-    chosen = select(spark, where, built, target, families, args.force)
+    chosen = select(spark, where, built, target, families, args.force or args.force_rescore)
     lacking = {f: scoring.missing_columns(built[f, "train"], built[f, "test"]) for f in families}
     if any(lacking.values()):
         raise ValueError(f"the test tables lack {lacking}")

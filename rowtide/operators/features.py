@@ -175,23 +175,35 @@ def distribution(history: DataFrame) -> DataFrame:
     return whole.select("id", *(c for c in whole.columns if c.startswith(("d_cnt_", "dprop_"))), *last, *near, *(c for c in whole.columns if c.startswith("dcross")))
 
 
+#: Codes of one column in a tall key; all are smaller.
+WIDTH = 1000
+
+
+def _tall(history: DataFrame, codes: dict[str, Column]) -> DataFrame:
+    """(id, key, n): rows with each code that occurs. A key is a number, the column's place times ``WIDTH`` and the code."""
+    keys = F.array(*(F.coalesce(code.cast("int") + k * WIDTH, F.lit(-1)) for k, code in enumerate(codes.values())))
+    return history.where("id is not null").select("id", F.explode(keys).alias("key")).where("key >= 0").groupBy("id", "key").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _name_of(codes: dict[str, Column]) -> Column:
+    return F.element_at(F.array(*map(F.lit, codes)), F.floor(F.col("key") / WIDTH).cast("int") + 1)
+
+
 def tall_counts(history: DataFrame, buckets: dict[str, Iterable[int]]) -> DataFrame:
-    """(id, column, bucket, n) of the codes that occur: where nobody needs the wide form, a third of its cost."""
-    coded = history.where("id is not null").select("id", *(F.col(c).cast("int").alias(c) for c in buckets)).unpivot("id", list(buckets), "column", "bucket")
-    listed = " or ".join(f"(column = '{c}' and bucket in ({', '.join(map(str, codes))}))" for c, codes in buckets.items())
-    return coded.where(listed).groupBy("id", "column", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    """(id, column, bucket, n) of the codes that occur, in one aggregation by numbers: where nobody needs the wide form."""
+    codes = {c: F.when(F.col(c).isin(*known), F.col(c)) for c, known in buckets.items()}
+    return _tall(history, codes).select("id", _name_of(codes).alias("column"), (F.col("key") % WIDTH).alias("bucket"), "n")
 
 
 def tall_crosses(history: DataFrame, crosses: dict[str, tuple[str, int, str, int]]) -> DataFrame:
-    """(id, cross, code, n, share) of the pairs that occur within their vocabularies."""
-    codes = [
-        F.when(F.col(left).between(0, n - 1) & F.col(right).between(0, m - 1), scalar.cross_code(F.col(left), F.col(right))).alias(name)
+    """(id, cross, code, n, share) of the pairs that occur within their vocabularies; an entity's rows are counted in the same pass."""
+    codes = {
+        name: F.when(F.col(left).between(0, n - 1) & F.col(right).between(0, m - 1), scalar.cross_code(F.col(left), F.col(right)))
         for name, (left, n, right, m) in crosses.items()
-    ]
-    known = history.where("id is not null")
-    tall = known.select("id", *codes).unpivot("id", list(crosses), "cross", "code").where("code is not null")
-    n = tall.groupBy("id", "cross", "code").agg(F.count(F.lit(1)).alias("n"))
-    return n.join(entity_counts(known, "rows"), "id").select("id", "cross", "code", "n", (F.col("n") / F.col("rows")).alias("share"))
+    } | {"": F.lit(0)}  # every row
+    tall = _tall(history, codes).withColumn("cross", _name_of(codes))
+    rows = F.max(F.when(F.col("cross") == "", F.col("n"))).over(Window.partitionBy("id"))
+    return tall.withColumn("rows", rows).where("cross <> ''").select("id", "cross", (F.col("key") % WIDTH).alias("code"), "n", (F.col("n") / F.col("rows")).alias("share"))
 
 
 FAMILIES = {"basic": basic, "extra": extra, "seq": sequence, "dist": distribution}

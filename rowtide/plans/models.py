@@ -125,11 +125,11 @@ def predict(model: PipelineModel, table: DataFrame, name: str = "p") -> DataFram
     return model.transform(table).withColumn(name, vector_to_array("probability")[1]).drop(*made)
 
 
-def validate(spark: SparkSession, labelled: DataFrame, config, seed: int, share: float = 0.2) -> DataFrame:
-    """One row: model, validation rows, whether its AUC is a proper one."""
+def validate(spark: SparkSession, labelled: DataFrame, config, seed: int, share: float = 0.2, least: float = 0.8) -> DataFrame:
+    """One row: model, validation rows, whether its AUC on them reaches ``least``."""
     features = [c for c in labelled.columns if c not in ("id", "flag")]
     parts = sampling.split(labelled, int(sum(sampling.class_sizes(labelled)) * share), seed).withColumn("is_validation", F.col("part") == "val")
     model = fit(parts, features, config, seed)
     scored = predict(model, parts.where("is_validation").drop("weight"), "score")
     auc = ensemble.roc_auc(scored.select("flag", "score"))
-    return auc.crossJoin(F.broadcast(scored.agg(F.count(F.lit(1)).alias("rows")))).select(F.lit(config.name).alias("model"), "rows", F.col("auc").between(0, 1).alias("valid"))
+    return auc.crossJoin(F.broadcast(scored.agg(F.count(F.lit(1)).alias("rows")))).select(F.lit(config.name).alias("model"), "rows", (F.col("auc") >= least).alias("valid"))

@@ -1,11 +1,13 @@
 """Named queries over the driver tables, and hand-written SQL that gives the same rows.
 
-Wide families are checked on slices of a few columns and in tall form; doubles are rounded where engines add in different orders.
+Every query takes all columns of its operator; doubles are rounded where engines add in different orders.
 The SQL shares the input view with the queries, and nothing else.
 """
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,11 +18,8 @@ from rowtide.sources import adapter
 from rowtide.streaming import running
 
 SEED = 807
-STATS_OF = ["pre_util", "pre_over2limit", "pre_loans_credit_limit", "pre_loans_credit_cost_rate"]
-SEQ_OF = ["pre_loans_credit_limit", "pre_util", "enc_loans_credit_status"]
-COUNT_OF = {c: vocab.BASIC_BUCKETS[c] for c in ("enc_loans_credit_status", "enc_loans_credit_type", "pre_loans_outstanding", "pre_loans_max_overdue_sum")}
-SHARE_OF = {c: vocab.EXTRA_BUCKETS[c] for c in ("enc_paym_0", "enc_paym_24", "pre_pterm")}
-LAST_OF = {c: vocab.DIST_BUCKETS[c] for c in ("enc_loans_credit_status", "pre_util", "pre_loans5")}
+STATS_OF = SEQ_OF = vocab.HISTORY
+COUNT_OF, SHARE_OF, LAST_OF = vocab.BASIC_BUCKETS, vocab.EXTRA_BUCKETS, vocab.DIST_BUCKETS
 MUST = ("pre_util_mean", "pre_util_last")
 
 
@@ -61,7 +60,7 @@ def bucket_props(spark: SparkSession, d: str) -> DataFrame:
 
 
 def recent_stats_k(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(features.recent_stats(adapter.history(spark, d), ["pre_util", "enc_loans_credit_type"]))
+    return rounded(features.recent_stats(adapter.history(spark, d)))
 
 
 def payment_agg(spark: SparkSession, d: str) -> DataFrame:
@@ -70,7 +69,7 @@ def payment_agg(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cross_counts(spark: SparkSession, d: str) -> DataFrame:
-    return features.by_entity(adapter.history(spark, d), features.cross_counts({"type_cur": vocab.EXTRA_CROSSES["type_cur"]}, "xcnt"))
+    return features.by_entity(adapter.history(spark, d), features.cross_counts(vocab.EXTRA_CROSSES, "xcnt"))
 
 
 def cross_counts_tall(spark: SparkSession, d: str) -> DataFrame:
@@ -86,7 +85,7 @@ def last_onehot(spark: SparkSession, d: str) -> DataFrame:
 
 
 def recent_props_k(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(features.latest(adapter.history(spark, d), 7).groupBy("id").agg(*features.recent_shares(["enc_loans_credit_status", "pre_loans530"])))
+    return rounded(features.latest(adapter.history(spark, d), 7).groupBy("id").agg(*features.recent_shares()))
 
 
 def seq_pivot(spark: SparkSession, d: str) -> DataFrame:
@@ -99,7 +98,24 @@ def seq_delta(spark: SparkSession, d: str) -> DataFrame:
 
 
 def id_norm(spark: SparkSession, d: str) -> DataFrame:
-    return adapter.target(spark, d).select("id", F.round(F.col("id").cast("double") / vocab.ID_SCALE, 9).alias("id_norm"))
+    return adapter.target(spark, d).select("id", features.id_norm().cast("double").alias("id_norm"))
+
+
+def family_basic(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(features.basic(adapter.history(spark, d))).withColumn("id_norm", F.col("id_norm").cast("double"))
+
+
+def family_extra(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(features.extra(adapter.history(spark, d)))
+
+
+def family_sequence(spark: SparkSession, d: str) -> DataFrame:
+    wide = features.sequence(adapter.history(spark, d))
+    return wide.select("id", *(F.col(c).cast("int").alias(c) for c in wide.columns[1:]))
+
+
+def family_distribution(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(features.distribution(adapter.history(spark, d)))
 
 
 def target_join(spark: SparkSession, d: str) -> DataFrame:
@@ -112,7 +128,7 @@ def _labelled(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _recent(spark: SparkSession, d: str) -> DataFrame:
-    return features.recent_stats(adapter.history(spark, d), ["pre_util", "enc_loans_credit_type"], (3,))
+    return features.recent_stats(adapter.history(spark, d), rows=(3,))
 
 
 def _scores(spark: SparkSession, d: str) -> DataFrame:
@@ -243,12 +259,18 @@ def stream_counts(spark: SparkSession, d: str) -> DataFrame:
     return running.event_counts(spark, d)
 
 
+def _signalled(spark: SparkSession, d: str) -> DataFrame:
+    """Statistics with a noisy trace of the label among them, which a model has to find: by itself it has an AUC of 0.94."""
+    stats = features.by_entity(adapter.history(spark, d), features.column_stats(["pre_util", "pre_over2limit", "pre_loans_credit_limit", "pre_loans_credit_cost_rate"]))
+    return scoring.attach_target(stats, adapter.target(spark, d)).withColumn("signal", F.col("flag") + F.pmod(F.xxhash64("id"), F.lit(1000)) * 0.0015)
+
+
 def logistic_baseline(spark: SparkSession, d: str) -> DataFrame:
-    return models.validate(spark, _labelled(spark, d), models.LOGISTIC, SEED)
+    return models.validate(spark, _signalled(spark, d), models.LOGISTIC, SEED)
 
 
 def boosted_model(spark: SparkSession, d: str) -> DataFrame:
-    return models.validate(spark, _labelled(spark, d), models.CONFIGS["hgb_baseline"].scaled(rounds=8, depth=3), SEED)
+    return models.validate(spark, _signalled(spark, d), replace(models.CONFIGS["hgb_baseline"].scaled(rounds=8, depth=3), least_rows=5), SEED)
 
 
 _H = f"h AS ({adapter.HISTORY_SQL.format(lineitem='lineitem', orders='orders')})"
@@ -271,7 +293,7 @@ def _round(columns: list[str], digits: int = 6) -> str:
 
 _STATS = f"stats AS (SELECT id, {_stat_columns()} FROM h GROUP BY id)"
 _STAT_NAMES = [f"{c}_{s}" for c in STATS_OF for s in ("mean", "max", "std", "last")]
-_RECENT_OF = ["pre_util", "enc_loans_credit_type"]
+_RECENT_OF = vocab.RECENT_COLUMNS
 _R = "r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY rn DESC) - 1 AS pos FROM h)"
 
 
@@ -285,9 +307,8 @@ def _recent_columns(ks: tuple[int, ...], digits: int | None = 6) -> str:
 def _effect(table: str, names: list[str], population: bool, family: str | None = None) -> str:
     spread = "sqrt(greatest(var_pop({c}), 1e-12))" if population else "nullif(stddev_samp({c}), 0)"
     own = f"'{family}' AS family, " if family else ""
-    return " UNION ALL ".join(
-        f"SELECT {own}'{c}' AS feature, round(coalesce(abs(avg({c}) FILTER (WHERE flag = 1) - avg({c}) FILTER (WHERE flag = 0)) / {spread.format(c=c)}, 0), 6) AS score FROM {table} JOIN t USING (id)" for c in names
-    )
+    score = f"round(coalesce(abs(avg(x) FILTER (WHERE flag = 1) - avg(x) FILTER (WHERE flag = 0)) / {spread.format(c='x')}, 0), 6)"
+    return f"SELECT {own}feature, {score} AS score FROM (UNPIVOT (SELECT id, {', '.join(names)} FROM {table}) ON {', '.join(names)} INTO NAME feature VALUE x) JOIN t USING (id) GROUP BY feature"
 
 
 _RECENT3 = [f"xrecent3_{c}_{s}" for c in _RECENT_OF for s in ("mean", "max", "min")]
@@ -347,6 +368,15 @@ def _count_if(name: str, test: str) -> str:
     return f"count(*) FILTER (WHERE {test})::DOUBLE AS {name}"
 
 
+def _wide_counts(buckets, prefix: str, share: bool) -> str:
+    return ", ".join(f"round(count(*) FILTER (WHERE {c} = {v}) / count(*)::DOUBLE, 6) AS {prefix}_{c}_{v}" if share else _count_if(f"{prefix}_{c}_{v}", f"{c} = {v}") for c, codes in buckets.items() for v in codes)
+
+
+def _wide_crosses(crosses, prefix: str, share: bool) -> str:
+    codes = [(f"{prefix}_{k}_{i * 10 + j}", f"{a} * 10 + {b} = {i * 10 + j}") for k, (a, x, b, y) in crosses.items() for i in range(x) for j in range(y)]
+    return ", ".join(f"round(count(*) FILTER (WHERE {test}) / count(*)::DOUBLE, 6) AS {name}" if share else _count_if(name, test) for name, test in codes)
+
+
 _SUBMITTED = f"WITH {_H}, {_T}, counts AS (SELECT id, count(*)::DOUBLE / 200 AS flag FROM h GROUP BY id), s AS (SELECT t.id AS ord, t.id, counts.flag FROM t LEFT JOIN counts USING (id))"
 
 ORACLE = {
@@ -366,12 +396,12 @@ ORACLE = {
         f"round(avg({c})::DOUBLE, 6) + 0.0 AS x{c}_mean, round(max({c})::DOUBLE, 6) + 0.0 AS x{c}_max, round(coalesce(stddev_samp({c}), 0), 6) AS x{c}_std, round(sum({c})::DOUBLE, 6) + 0.0 AS x{c}_sum, round({_last(c)}, 6) + 0.0 AS x{c}_last" for c in features.MEASURES
     )
     + " FROM m GROUP BY id",
-    "cross_counts": f"WITH {_H} SELECT id, " + ", ".join(_count_if(f"xcnt_type_cur_{a * 10 + b}", f"enc_loans_credit_type * 10 + enc_loans_account_cur = {a * 10 + b}") for a in range(8) for b in range(4)) + " FROM h GROUP BY id",
+    "cross_counts": f"WITH {_H} SELECT id, {_wide_crosses(vocab.EXTRA_CROSSES, 'xcnt', False)} FROM h GROUP BY id",
     "cross_counts_tall": f"WITH {_H} {_crosses(vocab.EXTRA_CROSSES)}",
     "cross_props": f"WITH {_H}, c AS ({_crosses(vocab.DIST_CROSSES)}), n AS (SELECT id, count(*) AS total FROM h GROUP BY id) SELECT id, \"cross\", code, n, round(n / total::DOUBLE, 6) AS share FROM c JOIN n USING (id)",
     "last_onehot": f"WITH {_H}, {_R} SELECT id, " + ", ".join(f"CASE WHEN {c} = {v} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS dlast_{c}_{v}" for c, codes in LAST_OF.items() for v in codes) + " FROM r WHERE pos = 0",
     "recent_props_k": f"WITH {_H}, {_R} SELECT id, "
-    + ", ".join(f"round(count(*) FILTER (WHERE pos < {k} AND {c} = {v}) / count(*) FILTER (WHERE pos < {k})::DOUBLE, 6) AS dr{k}prop_{c}_{v}" for k in (3, 7) for c in ("enc_loans_credit_status", "pre_loans530") for v in vocab.DIST_BUCKETS[c])
+    + ", ".join(f"round(count(*) FILTER (WHERE pos < {k} AND {c} = {v}) / count(*) FILTER (WHERE pos < {k})::DOUBLE, 6) AS dr{k}prop_{c}_{v}" for k in (3, 7) for c in vocab.DIST_RECENT for v in vocab.DIST_BUCKETS[c])
     + " FROM r GROUP BY id",
     "seq_pivot": f"WITH {_H}, {_R} SELECT id, " + ", ".join(f"coalesce(max(CASE WHEN pos = {p} THEN least(greatest({c}, 0), 255) END), 255)::INT AS seq{p}_{c}" for p in range(14) for c in SEQ_OF) + " FROM r GROUP BY id",
     "seq_delta": f"WITH {_H}, {_R}, s AS (SELECT id, "
@@ -379,7 +409,7 @@ ORACLE = {
     + " FROM r GROUP BY id) SELECT id, "
     + ", ".join(f"least(greatest({n}0 - {n}1 + 128, 0), 255)::INT AS seq_delta0_1_{n}" for n in vocab.DELTAS)
     + " FROM s",
-    "id_norm": f"WITH {_T} SELECT id, round(id::DOUBLE / 3000000.0::DOUBLE, 9) AS id_norm FROM t",
+    "id_norm": f"WITH {_T} SELECT id, (id::FLOAT / 3000000.0::FLOAT)::DOUBLE AS id_norm FROM t",
     "target_join": f"WITH {_H}, {_T}, c AS (SELECT id, count(*)::DOUBLE AS loan_count FROM h GROUP BY id) SELECT id, loan_count, flag FROM c LEFT JOIN t USING (id)",
     "effect_size_sample": f"WITH {_H}, {_T}, {_STATS} {_effect('stats', _STAT_NAMES, False)}",
     "effect_size_pop": f"WITH {_H}, {_T}, {_STATS} {_effect('stats', _STAT_NAMES, True)}",
@@ -416,12 +446,29 @@ ORACLE = {
     "stream_counts": "SELECT user_id AS id, count(*) AS n, " + ", ".join(f"count(*) FILTER (WHERE event_type = '{e}') AS n_{e}" for e in ("click", "error", "purchase", "signup", "view")) + " FROM events GROUP BY user_id",
 }
 
+def _joined(*parts: str) -> str:
+    """SQL for a whole family: its parts, which are checked one by one too, joined by id."""
+    first, *rest = (f"({ORACLE.get(p, p)})" for p in parts)
+    return f"SELECT * FROM {first} p0 " + " ".join(f"JOIN {x} p{k} USING (id)" for k, x in enumerate(rest, 1))
+
+
+_OWN = f"WITH {_H} SELECT id, {{}} FROM h GROUP BY id"
+ORACLE |= {
+    "family_basic": _joined("basic_stats", "loan_count", "paym_status_counts", "paym_summary", "bucket_counts", "id_norm"),
+    "family_extra": _joined(_OWN.format(_wide_counts(vocab.EXTRA_BUCKETS, "xcnt", False) + ", count(*)::DOUBLE AS xloan_count_check"), "bucket_props", "recent_stats_k", "payment_agg", "cross_counts"),
+    "family_sequence": _joined("seq_pivot", "seq_delta"),
+    "family_distribution": _joined(
+        _OWN.format(", ".join(_wide_counts(vocab.DIST_BUCKETS, p, s) for p, s in (("d_cnt", False), ("dprop", True)))), "last_onehot", "recent_props_k",
+        _OWN.format(", ".join(_wide_crosses(vocab.DIST_CROSSES, p, s) for p, s in (("dcross", False), ("dcrossprop", True)))),
+    ),
+}
+
 QUERIES = {
     f.__name__: f
     for f in (
         basic_stats, loan_count, paym_status_counts, paym_summary, bucket_counts, bucket_counts_tall, dist_counts_tall, bucket_props, recent_stats_k, payment_agg, cross_counts, cross_counts_tall, cross_props,
         last_onehot, recent_props_k, seq_pivot, seq_delta, id_norm, target_join, effect_size_sample, effect_size_pop, top_n_must_keep, joint_top_n, family_top_n, stratified_split, training_sample, neg_undersample,
         bounded_sample, id_tail_split, class_weights, roc_auc, logit_blend, weight_grid2, weight_grid3, calibrate_prior, family_join, semi_join_sample, submission_left_join, submission_checks, submission_format,
-        missing_columns, event_stats, stream_counts, logistic_baseline, boosted_model,
+        missing_columns, event_stats, stream_counts, family_basic, family_extra, family_sequence, family_distribution, logistic_baseline, boosted_model,
     )
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -54,6 +55,16 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def mark(spark: SparkSession, path: str) -> str:
+    """A digest of the names, sizes and times of the files below ``path``: it changes when they do."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files, out = p.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(p, True), []
+    while files.hasNext():
+        f = files.next()
+        out.append(f"{f.getPath()}:{f.getLen()}:{f.getModificationTime()}")
+    return hashlib.md5("\n".join(sorted(out)).encode()).hexdigest()
+
+
 def write_table(table: DataFrame, path: str) -> None:
     table.write.mode("overwrite").option("compression", "zstd").parquet(path)
 
@@ -80,8 +91,3 @@ def write_submission(submitted: DataFrame, path: str) -> None:
 def write_report(spark: SparkSession, report: dict, path: str) -> None:
     """A small report as JSON, on any file system."""
     spark.createDataFrame([(json.dumps(report, ensure_ascii=False),)], "value string").coalesce(1).write.mode("overwrite").text(path)
-
-
-def write_scores(scores: DataFrame, path: str) -> None:
-    """(family, feature, score), to be read again instead of scoring anew."""
-    scores.coalesce(1).write.mode("overwrite").parquet(path)

@@ -1,8 +1,10 @@
 """Command line: build feature families, score and select features, train, predict and check a submission.
 
 ``python -m rowtide.cli STEP``; inputs and results lie in DATA_DIR, WORK_DIR and OUTPUT_DIR (any URI that Spark reads).
-``build`` writes the families of the training and test histories; ``fit`` scores, samples, trains the model set, blends,
-calibrates and writes the checked submission and a report.
+``build`` writes the families of the training and test histories; ``first``, ``improved`` and ``sequence`` train those models and
+``fit`` the final one: features are scored and selected, entities sampled, models trained, blended and calibrated, and a checked
+submission and a report written (below OUTPUT_DIR, in a folder of the step's name; those of ``fit`` in OUTPUT_DIR itself).
+``all`` runs first, improved, the sequence and distribution families, and fit.
 """
 
 from __future__ import annotations
@@ -14,28 +16,44 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowtide.functions import scalar
-from rowtide.operators import ensemble, features, sampling, scoring
-from rowtide.plans import models
+from rowtide.operators import ensemble, sampling, scoring
+from rowtide.plans import flows, models
+from rowtide.plans.families import best, build, matrices, scores
 from rowtide.sources import tables
 from rowtide.sources.shared import cut
 
+# Flags and their defaults, and what the step "all" gives to "fit".
+ALL_FIT = ["--basic-features", "260", "--extra-features", "240", "--seq-features", "180", "--dist-features", "220", "--max-train", "720000", "--val-size", "240000", "--seed", "807", "--model-set", "rankish", "--pos-scale-mult", "0.45"]
+
 
 def arguments(args: list[str] | None = None) -> argparse.Namespace:
-    p = argparse.ArgumentParser(prog="rowtide", description=__doc__)
-    p.add_argument("step", choices=("build", "fit", "all"))
-    p.add_argument("--force", action="store_true", help="build tables and scores anew")
-    p.add_argument("--force-rescore", action="store_true", help="score features anew")
-    p.add_argument("--basic-features", type=int, default=260)
-    p.add_argument("--extra-features", type=int, default=300)
-    p.add_argument("--seq-features", type=int, default=240)
-    p.add_argument("--dist-features", type=int, default=0)
-    p.add_argument("--max-train", type=int, default=950_000)
-    p.add_argument("--val-size", type=int, default=260_000)
-    p.add_argument("--seed", type=int, default=1701)
-    p.add_argument("--model-set", choices=sorted(models.MODEL_SETS), default="all")
-    p.add_argument("--pos-scale-mult", type=float, default=0.45)
-    p.add_argument("--rounds", type=int, help="boosting rounds, instead of the candidates' own")
-    p.add_argument("--depth", type=int, help="tree depth, instead of the candidates' own")
+    p = argparse.ArgumentParser(prog="rowtide", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
+    steps = p.add_subparsers(dest="step", required=True)
+    step = {name: steps.add_parser(name) for name in ("build", "first", "improved", "sequence", "fit", "all")}
+    step["first"].add_argument("--force-features", action="store_true", help="build the basic family anew")
+    step["first"].add_argument("--skip-baseline", action="store_true", help="without the linear baseline")
+    step["improved"].add_argument("--force-extra", action="store_true", help="build the extra family anew")
+    step["improved"].add_argument("--top-n", type=int, default=flows.IMPROVED_FEATURES)
+    step["improved"].add_argument("--skip-extra-trees", action="store_true", help="without the forest")
+    for name in ("build", "fit"):
+        q = step[name]
+        q.add_argument("--force", action="store_true", help="build tables and scores anew")
+        q.add_argument("--basic-features", type=int, default=260)
+        q.add_argument("--extra-features", type=int, default=300)
+        q.add_argument("--seq-features", type=int, default=240)
+        q.add_argument("--dist-features", type=int, default=0)
+    q = step["fit"]
+    q.add_argument("--force-rescore", action="store_true", help="score features anew")
+    q.add_argument("--max-train", type=int, default=950_000)
+    q.add_argument("--val-size", type=int, default=260_000)
+    q.add_argument("--seed", type=int, default=1701)
+    q.add_argument("--model-set", choices=sorted(models.MODEL_SETS), default="all")
+    q.add_argument("--pos-scale-mult", type=float, default=0.45)
+    for name in ("first", "improved", "sequence", "all"):
+        step[name].add_argument("--val-size", type=int, help="validation rows, instead of the step's own")
+    for name in ("first", "improved", "sequence", "fit", "all"):
+        step[name].add_argument("--rounds", type=int, help="boosting rounds (or trees), instead of the candidates' own")
+        step[name].add_argument("--depth", type=int, help="tree depth, instead of the candidates' own")
     return p.parse_args(args)
 
 
@@ -45,49 +63,64 @@ def wanted(args: argparse.Namespace) -> dict[str, int]:
     return {k: n for k, n in all_.items() if n > 0}
 
 
-def build(spark: SparkSession, where: tables.Folders, families: dict[str, int], force: bool = False) -> dict[tuple[str, str], DataFrame]:
-    """(family, part) -> table, built where it is absent."""
-    out = {}
-    for part in ("train", "test"):
-        history = tables.read_history(spark, f"{where.data}/{part}_data.parquet")
-        source = tables.mark(spark, f"{where.data}/{part}_data.parquet")
-        for family in families:
-            make = features.FAMILIES[family]
-            path = f"{where.work}/{family}_{part}.parquet"
-            out[family, part] = tables.build_table(spark, path, f"{family}:{source}:{','.join(history.columns)}", lambda make=make, history=history: tables.as_float(make(history)), force)
-    return out
+def labels(spark: SparkSession, where: tables.Folders) -> DataFrame:
+    return scoring.unique_target(tables.read_target(spark, f"{where.data}/train_target.csv"))
 
 
-def select(spark: SparkSession, where: tables.Folders, built: dict, target: DataFrame, families: dict[str, int], force: bool) -> dict[str, list[str]]:
-    """The names of the best features of each family, by the effect size on the training entities."""
+def deliver(spark: SparkSession, where: tables.Folders, folder: str, predicted: DataFrame, report: dict, seven_digits: bool = True) -> dict:
+    """Write the submission in the sample's order, and the report, to ``folder``; fails if an entity of the sample has no valid
+    prediction."""
+    sample = cut(tables.read_sample(spark, f"{where.data}/sample_submission.csv"))
+    submitted = cut(ensemble.submission(sample, predicted))
+    report = report | {"submission": ensemble.require(ensemble.checked(sample, submitted))}
+    tables.write_submission(submitted, f"{folder}/submission", seven_digits)
+    tables.write_report(spark, report, f"{folder}/report")
+    return report
 
-    def scores() -> DataFrame:
-        parts = [scoring.effect_sizes(scoring.attach_target(built[f, "train"], target), True, f) for f in families]
-        out = parts[0]
-        for x in parts[1:]:
-            out = out.unionByName(x)
-        return out
 
-    # scores hold for these tables and labels only
-    sources = [f"{f}={tables.mark(spark, f'{where.work}/{f}_train.parquet')}" for f in families]
-    tall = tables.build_table(spark, f"{where.work}/scores.parquet", ",".join([*sources, tables.mark(spark, f"{where.data}/train_target.csv")]), scores, force)
-    chosen: dict[str, list[str]] = {f: [] for f in families}
-    for r in scoring.top_by_family(tall, families).orderBy("family", "place").collect():  # a few hundred names
-        chosen[r.family].append(r.feature)
-    return chosen
+def first(spark: SparkSession, where: tables.Folders, args: argparse.Namespace) -> dict:
+    """The first model: basic features, a boosted model and a linear baseline; predictions are not moved to the prior."""
+    target = labels(spark, where)
+    built = build(spark, where, ["basic"], args.force_features)
+    chosen = best(scores(spark, where, "scores_first", built, target, ["basic"], population=False), {"basic": flows.FIRST_FEATURES})
+    matrix = matrices(built, chosen)
+    report = {}
+    if not args.skip_baseline:
+        report["baseline"] = flows.run(flows.BASELINE.scaled(None, None, args.val_size), {"train": matrix["train"]}, target)[1]
+    predicted, own = flows.run(flows.FIRST.scaled(args.rounds, args.depth, args.val_size), matrix, target)
+    return deliver(spark, where, f"{where.output}/first", predicted, report | own | {"chosen": chosen}, seven_digits=False)
+
+
+def improved(spark: SparkSession, where: tables.Folders, args: argparse.Namespace) -> dict:
+    """The improved model: the best of basic and extra features together, two boosted models and a forest."""
+    target = labels(spark, where)
+    built = build(spark, where, ["basic", "extra"], ["extra"] if args.force_extra else [])
+    scored = scores(spark, where, "scores_improved", built, target, ["basic", "extra"])
+    chosen = best(scored, {"basic": 0, "extra": 0}, joint=args.top_n)
+    flow = flows.IMPROVED.scaled(args.rounds, args.depth, args.val_size)
+    if args.skip_extra_trees:
+        flow = replace(flow, members=flow.members[:2])
+    predicted, report = flows.run(flow, matrices(built, chosen), target)
+    return deliver(spark, where, f"{where.output}/improved", predicted, report | {"chosen": {f: len(x) for f, x in chosen.items()}})
+
+
+def sequence(spark: SparkSession, where: tables.Folders, args: argparse.Namespace) -> dict:
+    """The sequence model: the best features of three families, two boosted models that predict as they were validated."""
+    target, quota = labels(spark, where), flows.SEQUENCE_FEATURES
+    built = build(spark, where, quota)
+    chosen = best(scores(spark, where, "scores_sequence", built, target, quota), quota)
+    predicted, report = flows.run(flows.SEQUENCE.scaled(args.rounds, args.depth, args.val_size), matrices(built, chosen), target)
+    return deliver(spark, where, f"{where.output}/sequence", predicted, report | {"chosen": {f: len(x) for f, x in chosen.items()}})
 
 
 def fit(spark: SparkSession, where: tables.Folders, args: argparse.Namespace) -> dict:
     """Train the model set, write the submission and the report; the report."""
     families = wanted(args)
     built = build(spark, where, families, args.force)
-    target = scoring.unique_target(tables.read_target(spark, f"{where.data}/train_target.csv"))
-    chosen = select(spark, where, built, target, families, args.force or args.force_rescore)
-    lacking = {f: scoring.missing_columns(built[f, "train"], built[f, "test"]) for f in families}
-    if any(lacking.values()):
-        raise ValueError(f"the test tables lack {lacking}")
+    target = labels(spark, where)
+    chosen = best(scores(spark, where, "scores", built, target, families, force=args.force or args.force_rescore), families)
+    matrix = matrices(built, chosen)
     ids = cut(sampling.training_sample(target, args.val_size, args.max_train, args.seed))
-    matrix = {part: sampling.join_families({f: built[f, part].select("id", *chosen[f]) for f in families}) for part in ("train", "test")}
     names = [c for c in matrix["train"].columns if c != "id"]
     rows = cut(matrix["train"].join(ids, "id").withColumn("is_validation", F.col("part") == "val"))
     columns, fitted, aucs, valid = [], [], {}, rows.where("is_validation").select("id", "flag", *names)
@@ -103,21 +136,23 @@ def fit(spark: SparkSession, where: tables.Folders, args: argparse.Namespace) ->
     valid = cut(valid.select("flag", *columns))
     for c, name in zip(columns, models.MODEL_SETS[args.model_set], strict=True):
         aucs[name] = ensemble.roc_auc(valid.select("flag", F.col(c).alias("score"))).first().auc
-    weights = [1.0]
-    if len(columns) == 2:
-        best = ensemble.best_weights(valid, columns, ensemble.pair_grid(41)).first()
-        weights, aucs["blend"] = [best.w1, best.w2], best.auc
+    weights, aucs["blend"] = flows.weigh(valid, columns, 41)
     scored = matrix["test"]
     for c, model in zip(columns, fitted, strict=True):
         scored = models.predict(model, scored, c)
     prior = target.agg(F.avg("flag").alias("prior")).first().prior
     predicted = scored.select("id", *columns).transform(lambda df: ensemble.calibrated(df, columns, weights, F.lit(prior)))
-    sample = cut(tables.read_sample(spark, f"{where.data}/sample_submission.csv"))
-    submitted = cut(ensemble.submission(sample, predicted))
-    report = {"model_set": args.model_set, "auc": aucs, "weights": weights, "prior": prior, "features": {f: len(x) for f, x in chosen.items()}, "submission": ensemble.require(ensemble.checked(sample, submitted))}
-    tables.write_submission(submitted, f"{where.output}/submission")
-    tables.write_report(spark, report, f"{where.output}/report")
-    return report
+    report = {"model_set": args.model_set, "auc": aucs, "weights": weights, "prior": prior, "features": {f: len(x) for f, x in chosen.items()}}
+    return deliver(spark, where, where.output, predicted, report)
+
+
+def every(spark: SparkSession, where: tables.Folders, args: argparse.Namespace) -> dict:
+    """All steps that lead to the final submission; its report."""
+    own = [x for name in ("rounds", "depth", "val_size") if (v := getattr(args, name)) for x in (f"--{name.replace('_', '-')}", str(v))]
+    first(spark, where, arguments(["first", "--skip-baseline", *own]))
+    improved(spark, where, arguments(["improved", "--skip-extra-trees", *own]))
+    build(spark, where, ["seq", "dist"])
+    return fit(spark, where, arguments(["fit", *ALL_FIT, *own]))
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -126,7 +161,7 @@ def main(argv: list[str] | None = None) -> None:
     if args.step == "build":
         build(spark, where, wanted(args), args.force)
     else:
-        fit(spark, where, args)
+        {"first": first, "improved": improved, "sequence": sequence, "fit": fit, "all": every}[args.step](spark, where, args)
 
 
 if __name__ == "__main__":

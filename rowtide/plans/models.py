@@ -87,11 +87,14 @@ class Forest:
     name = "extra_trees"
     most_weight, multiplier = None, None
 
-    def __init__(self, trees: int = 260, columns: float = 0.55, least_rows: int = 25, first: int = 420):
-        self.trees, self.columns, self.least_rows, self.first = trees, columns, least_rows, first
+    def __init__(self, trees: int = 260, columns: float = 0.55, least_rows: int = 25, first: int = 420, depth: int = 15):
+        self.trees, self.columns, self.least_rows, self.first, self.depth = trees, columns, least_rows, first, depth
+
+    def scaled(self, trees: int | None = None, depth: int | None = None) -> Forest:
+        return Forest(trees or self.trees, self.columns, self.least_rows, self.first, depth or self.depth)
 
     def stages(self, seed: int) -> list:
-        return [RandomForestClassifier(labelCol="flag", weightCol="weight", numTrees=self.trees, featureSubsetStrategy=str(self.columns), minInstancesPerNode=self.least_rows, maxDepth=15, seed=seed)]
+        return [RandomForestClassifier(labelCol="flag", weightCol="weight", numTrees=self.trees, featureSubsetStrategy=str(self.columns), minInstancesPerNode=self.least_rows, maxDepth=self.depth, seed=seed)]
 
 
 LOGISTIC = Logistic()

@@ -8,10 +8,12 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from os import environ
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
+from rowtide.operators.totals import running_totals
+
 TARGET = StructType([StructField("id", LongType()), StructField("flag", IntegerType())])
 SAMPLE = StructType([StructField("id", LongType()), StructField("flag", DoubleType())])
 
@@ -39,9 +41,9 @@ def read_target(spark: SparkSession, path: str) -> DataFrame:
 
 def read_sample(spark: SparkSession, path: str) -> DataFrame:
     """(ord, id): the sample's ids with their place in the file, which Spark does not keep by itself."""
-    lines = spark.read.schema(SAMPLE).option("header", True).csv(path).withColumn("_at", F.monotonically_increasing_id())
-    # one sequence number for each row of a submission; files are read in order
-    return lines.withColumn("ord", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("_at")).cast("long")).select("ord", "id")
+    # files are read in order; places in the file come from a distributed running total
+    lines = spark.read.schema(SAMPLE).option("header", True).csv(path).select("id", F.monotonically_increasing_id().alias("_at"), F.lit(1).alias("_one"))
+    return running_totals(lines, [F.col("_at")], {"_before": "_one"}).select((F.col("_before") + 1).cast("long").alias("ord"), "id")
 
 
 def as_float(table: DataFrame) -> DataFrame:
@@ -82,9 +84,9 @@ def build_table(spark: SparkSession, path: str, fingerprint: str, build: Callabl
     return spark.read.parquet(path)
 
 
-def write_submission(submitted: DataFrame, path: str) -> None:
-    """id, flag with seven digits, in the sample's order, as one CSV file with a header."""
-    lines = submitted.orderBy("ord").select("id", F.format_string("%.7f", "flag").alias("flag"))
+def write_submission(submitted: DataFrame, path: str, seven_digits: bool = True) -> None:
+    """id, flag (with seven digits, or as it is), in the sample's order, as one CSV file with a header."""
+    lines = submitted.orderBy("ord").select("id", F.format_string("%.7f", "flag").alias("flag") if seven_digits else "flag")
     lines.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowtide.operators.totals import seeded_rank
+from rowtide.operators.totals import running_totals, seeded_rank
 
 
 def class_sizes(target: DataFrame) -> tuple[int, int]:
@@ -62,7 +64,12 @@ def training_sample(target: DataFrame, validation: int, most: int, seed: int) ->
 
 def id_tail(target: DataFrame, share: float = 0.82, most: int | None = None, seed: int = 555) -> DataFrame:
     """Rows whose id lies above the exact ``share`` quantile (interpolated) of ids; of them ``most`` by seeded hash."""
-    cutoff = target.agg(F.percentile("id", F.lit(share)).alias("cutoff"))
+    ids = target.where("id is not null").select("id", F.lit(1).alias("_one"))
+    place = share * (ids.count() - 1)
+    low, part = math.floor(place), place - math.floor(place)
+    # the two ids that the quantile lies between, by their places in the distributed order of ids
+    near = running_totals(ids, [F.col("id")], {"_at": "_one"}).where(F.col("_at").isin(low, low + 1))
+    cutoff = near.agg(F.sum(F.col("id") * F.when(F.col("_at") == low, 1 - part).otherwise(part)).alias("cutoff"))
     tail = target.crossJoin(F.broadcast(cutoff)).where(F.col("id") > F.col("cutoff")).drop("cutoff")  # one row
     if most is None:
         return tail

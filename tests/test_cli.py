@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rowtide import cli
 from rowtide.functions import vocab
-from rowtide.operators import features
+from rowtide.operators import features, sampling
 from rowtide.plans import families, flows
 from rowtide.sources import adapter, tables
 
@@ -137,3 +137,10 @@ def test_folders_come_from_the_environment(monkeypatch):
     monkeypatch.delenv("WORK_DIR", raising=False)
     monkeypatch.setenv("OUTPUT_DIR", "/c")
     assert tables.Folders.from_environment() == tables.Folders("/a", "work", "/c")
+
+
+@pytest.mark.parametrize("ids", [[], [5], [1, 2], [1, 1, 1, 9], [None, 3, 4, 8, 20, 21]])
+def test_id_tail_lies_above_the_exact_quantile(spark, ids):
+    table = spark.createDataFrame([(i, 0) for i in ids], "id long, flag int")
+    cutoff = table.agg(F.percentile("id", F.lit(0.82))).first()[0]
+    assert sorted(r.id for r in sampling.id_tail(table).collect()) == sorted(i for i in ids if i is not None and i > cutoff)

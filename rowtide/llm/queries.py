@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowtide.llm import bit_slices, mixing, near_copies, neighbours, pages, pieces, pii, quality, repeats, token_store
+from rowtide.llm import bit_slices, hard_negatives, lines, mixing, near_copies, neighbours, pages, pieces, pii, quality, repeats, token_store, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,7 +82,27 @@ def _of_kind(kind: str):
     return lambda s: s["kind"] == kind
 
 
-QUERIES = {f.__name__: f for f in (op1_repeat_removal, op2_mix_sources, op3_quality_classifier, op4_piece_encoding, op5_nearest_neighbours, op6_top_products, op7_near_duplicates, op8_main_text, op9_token_store, op10_pii)}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), 8)
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = lines.drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cleaned.select("row.doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_repeat_removal, op2_mix_sources, op3_quality_classifier, op4_piece_encoding, op5_nearest_neighbours, op6_top_products, op7_near_duplicates,
+        op8_main_text, op9_token_store, op10_pii, op11_hard_negatives, op12_whitening, op13_line_dedup,
+    )
+}
 
 ORACLE = {
     "op2_mix_sources": """
@@ -141,5 +161,39 @@ WITH v AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM pairs
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+""",
+    "op11_hard_negatives": """
+WITH v AS (
+  SELECT row_number() OVER () AS n, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * x) for x in embedding::DOUBLE[]] AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len([x for x in embedding::DOUBLE[] if x IS NULL OR NOT isfinite(x)]) = 0
+), scored AS (
+  SELECT a.n, a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score
+  FROM v a JOIN v b ON len(a.e) = len(b.e) AND a.n <> b.n WHERE a.vec_id % 100 = 0
+), positives AS (
+  SELECT *, row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id) AS place FROM scored WHERE same
+), ranked AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+         CAST(row_number() OVER (PARTITION BY p.n, p.place ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank
+  FROM positives p JOIN scored s ON p.n = s.n AND NOT s.same AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score
+  WHERE p.place <= 5
+)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 5
+""",
+    "op13_line_dedup": """
+WITH d AS (
+  SELECT row_number() OVER () AS n, doc_id, coalesce(doc_id, 9223372036854775807) AS doc, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+), l AS (
+  SELECT n, doc, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM d
+), k AS (
+  SELECT n, doc, pos, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l
+), f AS (
+  SELECT key, min(doc) AS first FROM k WHERE length(key) >= 10 GROUP BY key
+), t AS (
+  SELECT k.n, count(*) AS n_lines, count(*) FILTER (WHERE k.doc > f.first) AS n_dropped,
+         coalesce(string_agg(k.line, chr(10) ORDER BY k.pos) FILTER (WHERE f.first IS NULL OR k.doc <= f.first), '') AS kept
+  FROM k LEFT JOIN f ON k.key = f.key GROUP BY k.n
+)
+SELECT d.doc_id, t.n_lines, t.n_dropped, sha256(t.kept) AS kept_sha256 FROM t JOIN d USING (n)
 """,
 }

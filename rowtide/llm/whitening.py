@@ -153,6 +153,7 @@ def eigen(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     x = x[:, ::-1].astype(np.longdouble)
     r = np.eye(len(v), dtype=np.longdouble) - x.T @ x
     s = x.T @ v @ x
+    r, s = (r + r.T) / 2, (s + s.T) / 2  # rounding would be divided by small gaps
     values = np.diag(s) / (1 - np.diag(r))
     gap = values[None, :] - values[:, None]
     near = np.abs(gap) <= 1e-10 * max(np.abs(values).max(initial=0), np.longdouble(1e-300))

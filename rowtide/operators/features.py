@@ -15,42 +15,46 @@ from pyspark.sql import functions as F
 from rowtide.functions import scalar, vocab
 
 
-def _value(x: Column) -> Column:
-    return F.coalesce(x.cast("double"), F.lit(0.0))
+#: Rows of an entity, as SQL: what shares are shares of.
+ROWS = "count(1)"
 
 
-def _equals(column: str, code: int) -> Column:
-    return F.col(column) == code
+def counts(buckets: dict[str, Iterable[int]], prefix: str, of: str | None = None) -> list[Column]:
+    """Rows with each code of each column, or their share of ``of`` (SQL); codes that are not listed count nowhere.
 
+    Wide families are made of SQL strings: hundreds of expressions are parsed within a second, where as many Python objects take
+    the driver half a minute.
+    """
+    return [_counted(f"`{c}` = {v}", f"{prefix}_{c}_{v}", of) for c, codes in buckets.items() for v in codes]
 
-def counts(buckets: dict[str, Iterable[int]], prefix: str, of: Column | None = None) -> list[Column]:
-    """Rows with each code of each column, or their share of ``of``; codes that are not listed count nowhere."""
-    n = [(f"{prefix}_{c}_{v}", F.count_if(_equals(c, v))) for c, codes in buckets.items() for v in codes]
-    return [(x.cast("double") if of is None else x / of).alias(name) for name, x in n]
 
+def _counted(test: str, name: str, of: str | None) -> Column:
+    n = f"count_if({test})"
+    return F.expr(f"CAST({n} AS DOUBLE) AS `{name}`" if of is None else f"{n} / {of} AS `{name}`")
 
-def cross_counts(crosses: dict[str, tuple[str, int, str, int]], prefix: str, of: Column | None = None) -> list[Column]:
-    """Rows with each pair of codes (left * 10 + right), or their share of ``of``."""
+
+def cross_counts(crosses: dict[str, tuple[str, int, str, int]], prefix: str, of: str | None = None) -> list[Column]:
+    """Rows with each pair of codes (left * 10 + right), or their share of ``of`` (SQL)."""
     out = []
     for name, (left, n_left, right, n_right) in crosses.items():
-        code = scalar.cross_code(F.col(left), F.col(right))
-        for v in (a * 10 + b for a in range(n_left) for b in range(n_right)):
-            x = F.count_if(code == v)
-            out.append((x.cast("double") if of is None else x / of).alias(f"{prefix}_{name}_{v}"))
+        code = f"CAST(`{left}` AS INT) * 10 + CAST(`{right}` AS INT)"
+        out += [_counted(f"{code} = {v}", f"{prefix}_{name}_{v}", of) for v in (a * 10 + b for a in range(n_left) for b in range(n_right))]
     return out
 
 
+_STATS = {
+    "mean": "avg({c})", "max": "max({c})", "min": "min({c})", "std": "stddev_samp({c})", "sum": "sum({c})",
+    "last": "max_by({c}, CASE WHEN {c} IS NOT NULL THEN rn END)",
+}
+
+
 def column_stats(columns: Iterable[str], stats: Iterable[str] = ("mean", "max", "std", "last"), prefix: str = "") -> list[Column]:
     """Statistics over an entity's rows that skip nulls (``last``: the latest non-null); without a value, 0."""
-    make = {
-        "mean": lambda c: F.avg(c),
-        "max": lambda c: F.max(c),
-        "min": lambda c: F.min(c),
-        "std": lambda c: F.stddev_samp(c),
-        "sum": lambda c: F.sum(c),
-        "last": lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("rn"))),
-    }
-    return [_value(make[s](c)).alias(f"{prefix}{c}_{s}") for c in columns for s in stats]
+    return [F.expr(f"coalesce(CAST({_STATS[s].format(c=f'`{c}`')} AS DOUBLE), 0D) AS `{prefix}{c}_{s}`") for c in columns for s in stats]
+
+
+def _value(x: Column) -> Column:
+    return F.coalesce(x.cast("double"), F.lit(0.0))
 
 
 def payment_counts() -> list[Column]:
@@ -113,9 +117,14 @@ def by_entity(history: DataFrame, columns: list[Column]) -> DataFrame:
 
 def recent_stats(history: DataFrame, columns: Iterable[str] = vocab.RECENT_COLUMNS, rows: Iterable[int] = vocab.RECENT_ROWS) -> DataFrame:
     """Mean, max and min over the latest k rows."""
-    kinds = {"mean": F.avg, "max": F.max, "min": F.min}
-    out = [_value(f(F.when(F.col("pos") < k, F.col(c)))).alias(f"xrecent{k}_{c}_{s}") for k in rows for c in columns for s, f in kinds.items()]
-    return latest(history.select("id", "rn", *columns), max(rows)).groupBy("id").agg(*out)
+    columns, rows = list(columns), list(rows)
+    return latest(history.select("id", "rn", *columns), max(rows)).groupBy("id").agg(*_recent_stats(columns, rows))
+
+
+def _recent_stats(columns: list[str], rows: list[int], held: str = "") -> list[Column]:
+    """The statistics as aggregates over rows with ``pos``; ``held``: what the columns' names begin with there."""
+    kinds = {"mean": "avg", "max": "max", "min": "min"}
+    return [F.expr(f"coalesce(CAST({f}(CASE WHEN pos < {k} THEN `{held}{c}` END) AS DOUBLE), 0D) AS `xrecent{k}_{c}_{s}`") for k in rows for c in columns for s, f in kinds.items()]
 
 
 def id_norm(column: Column | None = None) -> Column:
@@ -129,45 +138,50 @@ def basic(history: DataFrame) -> DataFrame:
 
 
 def extra(history: DataFrame) -> DataFrame:
-    """1066 features: bucket counts and shares, statistics of the latest rows, payment measures, crosses, row count."""
-    n = F.count(F.lit(1))
-    buckets = [*counts(vocab.EXTRA_BUCKETS, "xcnt"), *counts(vocab.EXTRA_BUCKETS, "xprop", n)]
-    payments = column_stats(MEASURES, ("mean", "max", "std", "sum", "last"), "x")
-    whole = by_entity(payment_measures(history), [*buckets, *payments, *cross_counts(vocab.EXTRA_CROSSES, "xcnt"), n.cast("double").alias("xloan_count_check")])
-    return whole.join(recent_stats(history), "id")
-
-
-def sequence(history: DataFrame, columns: Iterable[str] = vocab.HISTORY, rows: int = vocab.SEQUENCE_ROWS) -> DataFrame:
-    """Value of each column at each of the latest positions, 0..255, 255 for none, as short, and changes of the last step."""
+    """1066 features: bucket counts and shares, statistics of the latest rows, payment measures, crosses, row count.
+
+    All rows, and once more the latest ones with names of their own, are one table and one aggregation. A join of two such wide
+    aggregations would not do: the planner derives constraints from the payment measures and does not end in minutes.
+    """
+    recent = vocab.RECENT_COLUMNS
+    used = dict.fromkeys([*vocab.EXTRA_BUCKETS, *(c for a, _, b, _ in vocab.EXTRA_CROSSES.values() for c in (a, b))])
+    whole = payment_measures(history.where("id is not null")).select("id", "rn", F.lit(1).alias("every"), *used, *MEASURES)
+    last = latest(history.select("id", "rn", *recent), max(vocab.RECENT_ROWS)).select("id", "pos", *(F.col(c).alias(f"recent_{c}") for c in recent))
+    n = "count(every)"
+    columns = [
+        *counts(vocab.EXTRA_BUCKETS, "xcnt"), *counts(vocab.EXTRA_BUCKETS, "xprop", n), *column_stats(MEASURES, ("mean", "max", "std", "sum", "last"), "x"),
+        *cross_counts(vocab.EXTRA_CROSSES, "xcnt"), F.expr(f"CAST({n} AS DOUBLE) AS xloan_count_check"), *_recent_stats(recent, list(vocab.RECENT_ROWS), "recent_"),
+    ]
+    return whole.unionByName(last, allowMissingColumns=True).groupBy("id").agg(*columns)
+
+
+def sequence(history: DataFrame, columns: Iterable[str] = vocab.HISTORY, rows: int = vocab.SEQUENCE_ROWS, kind: str = "SHORT") -> DataFrame:
+    """Value of each column at each of the latest positions, 0..255, 255 for none, as ``kind``, and changes of the last step."""
     columns = list(columns)
     packed = latest(history.select("id", *({"rn", *columns, *(c for c in vocab.DELTAS.values() if c in columns)})), rows)
     rows_of = F.array_sort(F.collect_list(F.struct("pos", *columns)))
     held = packed.groupBy("id").agg(rows_of.alias("h"))
-    cell = lambda p, c: scalar.clip(F.coalesce(F.get("h", F.lit(p))[c].cast("int"), F.lit(255)), 0, 255).cast("short")
-    wide = held.select("id", *(cell(p, c).alias(f"seq{p}_{c}") for p in range(rows) for c in columns))
-    step = {n: scalar.clip(F.col(f"seq0_{c}").cast("int") - F.col(f"seq1_{c}") + 128, 0, 255).cast("short") for n, c in vocab.DELTAS.items() if c in columns}
-    return wide.withColumns({f"seq_delta0_1_{n}": x for n, x in step.items()})
+    clipped = lambda x: f"least(greatest({x}, 0), 255)"
+    cell = lambda p, c: clipped(f"coalesce(CAST(get(h, {p}).`{c}` AS INT), 255)")
+    cells = [f"CAST({cell(p, c)} AS {kind}) AS `seq{p}_{c}`" for p in range(rows) for c in columns]
+    steps = [f"CAST({clipped(f'{cell(0, c)} - {cell(1, c)} + 128')} AS {kind}) AS `seq_delta0_1_{n}`" for n, c in vocab.DELTAS.items() if c in columns]
+    return held.selectExpr("id", *cells, *steps)
 
 
 def last_one_hot(buckets: dict[str, Iterable[int]] = vocab.DIST_BUCKETS) -> list[Column]:
     """1 for the code that the very last row has (aggregates over rows with ``pos``); a null there is no code."""
-    return [F.max(F.when((F.col("pos") == 0) & _equals(c, v), 1.0).otherwise(0.0)).alias(f"dlast_{c}_{v}") for c, codes in buckets.items() for v in codes]
+    return [F.expr(f"max(CASE WHEN pos = 0 AND `{c}` = {v} THEN 1D ELSE 0D END) AS `dlast_{c}_{v}`") for c, codes in buckets.items() for v in codes]
 
 
 def recent_shares(columns: Iterable[str] = vocab.DIST_RECENT, rows: Iterable[int] = vocab.DIST_RECENT_ROWS) -> list[Column]:
     """Share of each code among the latest k rows, or as many as there are (aggregates over rows with ``pos``)."""
-    out = []
-    for k in rows:
-        n = F.count_if(F.col("pos") < k)
-        out += [(F.count_if((F.col("pos") < k) & _equals(c, v)) / n).alias(f"dr{k}prop_{c}_{v}") for c in columns for v in vocab.DIST_BUCKETS[c]]
-    return out
+    return [_counted(f"pos < {k} AND `{c}` = {v}", f"dr{k}prop_{c}_{v}", f"count_if(pos < {k})") for k in rows for c in columns for v in vocab.DIST_BUCKETS[c]]
 
 
 def distribution(history: DataFrame) -> DataFrame:
     """1998 features: counts and shares, last codes, shares among the latest rows, crosses as counts and shares."""
-    n = F.count(F.lit(1))
-    shares = [*counts(vocab.DIST_BUCKETS, "d_cnt"), *counts(vocab.DIST_BUCKETS, "dprop", n)]
-    crosses = [*cross_counts(vocab.DIST_CROSSES, "dcross"), *cross_counts(vocab.DIST_CROSSES, "dcrossprop", n)]
+    shares = [*counts(vocab.DIST_BUCKETS, "d_cnt"), *counts(vocab.DIST_BUCKETS, "dprop", ROWS)]
+    crosses = [*cross_counts(vocab.DIST_CROSSES, "dcross"), *cross_counts(vocab.DIST_CROSSES, "dcrossprop", ROWS)]
     used = list(vocab.DIST_BUCKETS)
     recent = latest(history.select("id", "rn", *used), max(vocab.DIST_RECENT_ROWS)).groupBy("id").agg(*last_one_hot(), *recent_shares())
     whole = by_entity(history, [*shares, *crosses]).join(recent, "id")
@@ -181,8 +195,8 @@ WIDTH = 1000
 
 def _tall(history: DataFrame, codes: dict[str, Column]) -> DataFrame:
     """(id, key, n): rows with each code that occurs. A key is a number, the column's place times ``WIDTH`` and the code."""
-    keys = F.array(*(F.coalesce(code.cast("int") + k * WIDTH, F.lit(-1)) for k, code in enumerate(codes.values())))
-    return history.where("id is not null").select("id", F.explode(keys).alias("key")).where("key >= 0").groupBy("id", "key").agg(F.count(F.lit(1)).alias("n"))
+    keys = F.array_compact(F.array(*(code.cast("int") + k * WIDTH for k, code in enumerate(codes.values()))))
+    return history.where("id is not null").select("id", F.explode(keys).alias("key")).groupBy("id", "key").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _name_of(codes: dict[str, Column]) -> Column:

@@ -24,7 +24,7 @@ MUST = ("pre_util_mean", "pre_util_last")
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    return df.select(*(F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+    return df.selectExpr(*(f"round(`{c}`, {digits}) AS `{c}`" if t == "double" else f"`{c}`" for c, t in df.dtypes))
 
 
 def basic_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -56,7 +56,7 @@ def dist_counts_tall(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bucket_props(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(features.by_entity(adapter.history(spark, d), features.counts(SHARE_OF, "xprop", F.count(F.lit(1)))))
+    return rounded(features.by_entity(adapter.history(spark, d), features.counts(SHARE_OF, "xprop", features.ROWS)))
 
 
 def recent_stats_k(spark: SparkSession, d: str) -> DataFrame:
@@ -89,12 +89,12 @@ def recent_props_k(spark: SparkSession, d: str) -> DataFrame:
 
 
 def seq_pivot(spark: SparkSession, d: str) -> DataFrame:
-    wide = features.sequence(adapter.history(spark, d), SEQ_OF)
-    return wide.select("id", *(F.col(c).cast("int").alias(c) for c in wide.columns if c.startswith("seq") and not c.startswith("seq_delta")))
+    wide = features.sequence(adapter.history(spark, d), SEQ_OF, kind="INT")
+    return wide.drop(*(f"seq_delta0_1_{n}" for n in vocab.DELTAS))
 
 
 def seq_delta(spark: SparkSession, d: str) -> DataFrame:
-    return features.sequence(adapter.history(spark, d), SEQ_OF).select("id", *(F.col(f"seq_delta0_1_{n}").cast("int").alias(f"seq_delta0_1_{n}") for n in vocab.DELTAS))
+    return features.sequence(adapter.history(spark, d), SEQ_OF, kind="INT").select("id", *(f"seq_delta0_1_{n}" for n in vocab.DELTAS))
 
 
 def id_norm(spark: SparkSession, d: str) -> DataFrame:
@@ -110,8 +110,7 @@ def family_extra(spark: SparkSession, d: str) -> DataFrame:
 
 
 def family_sequence(spark: SparkSession, d: str) -> DataFrame:
-    wide = features.sequence(adapter.history(spark, d))
-    return wide.select("id", *(F.col(c).cast("int").alias(c) for c in wide.columns[1:]))
+    return features.sequence(adapter.history(spark, d), kind="INT")
 
 
 def family_distribution(spark: SparkSession, d: str) -> DataFrame:

@@ -128,11 +128,11 @@ def fit(spark: SparkSession, where: tables.Folders, args: argparse.Namespace) ->
         config = models.CONFIGS[name].scaled(args.rounds, args.depth)
         if config.multiplier is not None and name == "gbdt_rankish":
             config = replace(config, multiplier=args.pos_scale_mult)
-        model = models.fit(rows.select("flag", "is_validation", *names), names, config, args.seed)
+        model = models.fit(rows.select("id", "flag", "is_validation", *names), names, config, args.seed)
         columns.append(f"p{k + 1}")
         valid = models.predict(model, valid, columns[-1])
         # the last fit takes the validation rows too, and as many rounds as the first one kept
-        fitted.append(models.fit(rows.select("flag", *names), names, config.scaled(model.stages[-1].getNumTrees), args.seed + 100))
+        fitted.append(models.fit(rows.select("id", "flag", *names), names, config.scaled(max(1, model.rounds)), args.seed + 100))
     valid = cut(valid.select("flag", *columns))
     for c, name in zip(columns, models.MODEL_SETS[args.model_set], strict=True):
         aucs[name] = ensemble.roc_auc(valid.select("flag", F.col(c).alias("score"))).first().auc

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -96,18 +95,20 @@ def _auc(scored: DataFrame, score) -> float | None:
     return ensemble.roc_auc(scored.select("flag", score.alias("score"))).first().auc
 
 
-def _fit(member: Member, rows: DataFrame, names: list[str]) -> PipelineModel:
+def _fit(member: Member, rows: DataFrame, names: list[str]) -> models.Model:
     """A fit that stops early, on rows with ``part``."""
     if member.negatives:
         rows = sampling.semi_sample(rows, sampling.sample_negatives(rows.select("id", "flag"), member.negatives[0], member.seed))
-    return models.fit(rows.select("flag", (F.col("part") == "stop").alias("is_validation"), *names), names, member.config, member.seed)
+    # other models learn from the rows too that boosting stops by
+    stops = (F.col("part") == "stop") if isinstance(member.config, models.Boosted) else F.lit(False)
+    return models.fit(rows.select("id", "flag", stops.alias("is_validation"), *names), names, member.config, member.seed)
 
 
-def _rounds(model: PipelineModel, member: Member) -> int:
-    return max(member.least_rounds, model.stages[-1].getNumTrees)
+def _rounds(model: models.Model, member: Member) -> int:
+    return max(member.least_rounds, model.rounds)
 
 
-def _last(member: Member, model: PipelineModel, labelled: DataFrame, names: list[str]) -> PipelineModel:
+def _last(member: Member, model: models.Model, labelled: DataFrame, names: list[str]) -> models.Model:
     """The fit that predicts: on as many rounds as the first one kept, over a sample of all labelled rows."""
     ids = labelled.select("id", "flag")
     if member.negatives:
@@ -116,10 +117,10 @@ def _last(member: Member, model: PipelineModel, labelled: DataFrame, names: list
         chosen, config = sampling.sample_rows(ids, member.most, member.sample_seed), member.config.scaled(_rounds(model, member))
     else:
         return model
-    return models.fit(sampling.semi_sample(labelled, chosen).select("flag", *names), names, config, member.last_seed)
+    return models.fit(sampling.semi_sample(labelled, chosen).select("id", "flag", *names), names, config, member.last_seed)
 
 
-def _tail_auc(flow: Flow, labelled: DataFrame, names: list[str], fitted: list[PipelineModel], weights: list[float]) -> float | None:
+def _tail_auc(flow: Flow, labelled: DataFrame, names: list[str], fitted: list[models.Model], weights: list[float]) -> float | None:
     """ROC-AUC on the greatest ids; None if they are of one class."""
     ids = labelled.select("id", "flag")
     tail = cut(sampling.semi_sample(labelled, sampling.id_tail(ids, TAIL_FROM, flow.tail, flow.tail_seed)))

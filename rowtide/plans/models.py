@@ -1,28 +1,31 @@
-"""Candidate models on Spark's own trees and linear models, their validation and final fit.
-
-Trees grow by level up to a depth here, not leaf by leaf, and no candidate samples by gradient: parameters are carried over
-where they have a counterpart (learning rate, rounds, least rows in a leaf, column and row shares, bins, class weights).
-"""
+"""Candidate models, their validation and final fit: leaf-wise boosting and randomised trees over a binned matrix, and Spark's
+logistic regression."""
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass, replace
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowtide.functions import scalar
+from rowtide.learn.binning import Matrix
+from rowtide.learn.boosting import Boosting, boost
+from rowtide.learn.forest import RandomisedTrees, randomised_trees
+from rowtide.learn.trees import Rule
 from rowtide.operators import ensemble, sampling
+from rowtide.sources.shared import cut, remove
 
 
 @dataclass(frozen=True)
 class Boosted:
-    """A boosted candidate. ``most_weight`` and ``multiplier`` give the positive class's weight, or class weights if None."""
+    """A boosted candidate. ``most_weight`` and ``multiplier`` give the positive class's weight, or class weights if None; ``goss``:
+    shares of the greatest gradients and of the others that a round takes; ``patience``: rounds without a better AUC (or, with
+    ``by_auc`` off, loss) of the validation rows that end the boosting."""
 
     name: str
     rate: float
@@ -34,96 +37,35 @@ class Boosted:
     bins: int = 127
     most_weight: float | None = None
     multiplier: float | None = None
+    l1: float = 0.0
+    l2: float = 0.0
+    goss: tuple[float, float] | None = None
+    patience: int = 180
+    by_auc: bool = True
 
     def scaled(self, rounds: int | None = None, depth: int | None = None) -> Boosted:
         return replace(self, rounds=rounds or self.rounds, leaves=2**depth if depth else self.leaves)
 
-    def stage(self, seed: int, stops_early: bool = True) -> GBTClassifier:
-        depth = max(1, math.ceil(math.log2(self.leaves)))
-        stage = GBTClassifier(
-            labelCol="flag", weightCol="weight", maxIter=self.rounds, stepSize=self.rate, maxDepth=depth, maxBins=max(32, self.bins), minInstancesPerNode=self.least_rows, subsamplingRate=self.rows,
-            featureSubsetStrategy="all" if self.columns >= 1 else str(self.columns), seed=seed,
-        )
-        return stage.setValidationIndicatorCol("is_validation") if stops_early else stage
-
-
-# The candidates' parameters.
-CONFIGS = {
-    c.name: c
-    for c in (
-        Boosted("gbdt_balanced", 0.030, 3200, 96, 90, 0.82, 0.84, 127, 24.0),
-        Boosted("gbdt_rankish", 0.038, 2600, 64, 140, 0.76, 0.78, 127, 13.0, 0.45),
-        Boosted("goss", 0.035, 3000, 80, 120, 0.80, 1.0, 127, 13.0, 0.55),
-        Boosted("rankish_deeper_seed", 0.034, 3000, 80, 115, 0.80, 0.80, 127, 13.0, 0.45),
-        Boosted("hgb_baseline", 0.055, 230, 31, 80, bins=64),
-        Boosted("hgb_wide_leaf63", 0.042, 360, 63, 55, bins=128, multiplier=0.95),
-        Boosted("hgb_regular_leaf31", 0.050, 310, 31, 90, bins=128, multiplier=1.0),
-        Boosted("seq_hgb_leaf63", 0.042, 300, 63, 55, bins=128, multiplier=0.95),
-        Boosted("seq_hgb_leaf31", 0.052, 240, 31, 90, bins=128, multiplier=1.0),
-    )
-}
-MODEL_SETS = {
-    "all": ("gbdt_balanced", "gbdt_rankish"),
-    "balanced": ("gbdt_balanced",),
-    "rankish": ("gbdt_rankish",),
-    "goss": ("goss",),
-    "rankish_ensemble": ("gbdt_rankish", "rankish_deeper_seed"),
-}
-
-
-class Logistic:
-    """Standardised elastic-net logistic regression with balanced classes."""
-
-    name = "logistic_baseline"
-    most_weight = multiplier = None
-
-    def stages(self, seed: int) -> list:
-        return [StandardScaler(inputCol="raw", outputCol="features", withMean=True), LogisticRegression(labelCol="flag", weightCol="weight", regParam=2e-5, elasticNetParam=0.08)]
-
-
-class Forest:
-    """The randomised forest: best splits of bootstrap samples stand in for random cuts."""
-
-    name = "extra_trees"
-    most_weight, multiplier = None, None
-
-    def __init__(self, trees: int = 260, columns: float = 0.55, least_rows: int = 25, first: int = 420, depth: int = 15):
-        self.trees, self.columns, self.least_rows, self.first, self.depth = trees, columns, least_rows, first, depth
-
-    def scaled(self, trees: int | None = None, depth: int | None = None) -> Forest:
-        return Forest(trees or self.trees, self.columns, self.least_rows, self.first, depth or self.depth)
-
-    def stages(self, seed: int) -> list:
-        return [RandomForestClassifier(labelCol="flag", weightCol="weight", numTrees=self.trees, featureSubsetStrategy=str(self.columns), minInstancesPerNode=self.least_rows, maxDepth=self.depth, seed=seed)]
-
-
-LOGISTIC = Logistic()
-FOREST = Forest()
-
-
-def weighted(train: DataFrame, config) -> DataFrame:
-    """``train`` with ``weight``, by the class sizes of its own rows."""
-    one, zero = sampling.class_sizes(train)
-    if config.most_weight is not None:
-        w = F.when(F.col("flag") == 1, scalar.positive_weight(F.lit(one), F.lit(zero), config.most_weight, config.multiplier)).otherwise(1.0)
-    else:
-        w = scalar.class_weight(F.col("flag"), F.lit(one / max(1, one + zero)), config.multiplier or 1.0)
-    return train.withColumn("weight", w)
+    Model = Boosting | RandomisedTrees | PipelineModel
 
 
-def fit(train: DataFrame, features: list[str], config, seed: int) -> PipelineModel:
-    """Fit on rows with ``flag`` (and ``is_validation``, which stops boosting early)."""
-    if isinstance(config, Boosted):
-        stages = [VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep"), config.stage(seed, "is_validation" in train.columns)]
-    elif isinstance(config, Forest):
-        stages = [VectorAssembler(inputCols=features[: config.first], outputCol="features", handleInvalid="keep"), *config.stages(seed)]
-    else:
-        stages = [VectorAssembler(inputCols=features, outputCol="raw", handleInvalid="keep"), *config.stages(seed)]
-    return Pipeline(stages=stages).fit(weighted(train, config))
+def fit(train: DataFrame, features: list[str], config, seed: int) -> Model:
+    """Fit on rows with ``id``, ``flag`` (and ``is_validation``, which stops boosting early; other models leave those rows out)."""
+    rows = weighted(train, config)
+    if isinstance(config, Logistic):
+        rows = rows.where(~F.col("is_validation")) if "is_validation" in train.columns else rows
+        return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="raw", handleInvalid="keep"), *config.stages(seed)]).fit(rows)
+    matrix = Matrix.write(rows, features[: config.first] if isinstance(config, Forest) else features, config.bins)
+    try:
+        return config.fit(matrix, seed)
+    finally:
+        remove(train.sparkSession, matrix.folder)
 
 
-def predict(model: PipelineModel, table: DataFrame, name: str = "p") -> DataFrame:
+def predict(model: Model, table: DataFrame, name: str = "p") -> DataFrame:
     """``table`` with the probability of flag 1 as ``name``."""
+    if not isinstance(model, PipelineModel):
+        return model.predict(table, name)
     made = ("raw", "features", "rawPrediction", "probability", "prediction")
     return model.transform(table).withColumn(name, vector_to_array("probability")[1]).drop(*made)
 
@@ -131,7 +73,7 @@ def predict(model: PipelineModel, table: DataFrame, name: str = "p") -> DataFram
 def validate(spark: SparkSession, labelled: DataFrame, config, seed: int, share: float = 0.2, least: float = 0.8) -> DataFrame:
     """One row: model, validation rows, whether its AUC on them reaches ``least``."""
     features = [c for c in labelled.columns if c not in ("id", "flag")]
-    parts = sampling.split(labelled, int(sum(sampling.class_sizes(labelled)) * share), seed).withColumn("is_validation", F.col("part") == "val")
+    parts = cut(sampling.split(labelled, int(sum(sampling.class_sizes(labelled)) * share), seed).withColumn("is_validation", F.col("part") == "val"))
     model = fit(parts, features, config, seed)
     scored = predict(model, parts.where("is_validation").drop("weight"), "score")
     auc = ensemble.roc_auc(scored.select("flag", "score"))

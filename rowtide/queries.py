@@ -6,18 +6,22 @@ The SQL shares the input view with the queries, and nothing else.
 
 from __future__ import annotations
 
-from dataclasses import replace
-
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowtide.functions import scalar, vocab
+from rowtide.learn import trees
+from rowtide.learn.binning import Matrix
 from rowtide.operators import ensemble, features, sampling, scoring
 from rowtide.plans import models
 from rowtide.sources import adapter
+from rowtide.sources.shared import cut
 from rowtide.streaming import running
 
 SEED = 807
+#: Bins of the first boosted model's matrix.
+BINS = 64
 STATS_OF = SEQ_OF = vocab.HISTORY
 COUNT_OF, SHARE_OF, LAST_OF = vocab.BASIC_BUCKETS, vocab.EXTRA_BUCKETS, vocab.DIST_BUCKETS
 MUST = ("pre_util_mean", "pre_util_last")
@@ -245,7 +249,7 @@ def submission_format(spark: SparkSession, d: str) -> DataFrame:
 
 
 def missing_columns(spark: SparkSession, d: str) -> DataFrame:
-    lacking = scoring.missing_columns(spark.read.parquet(f"{d}/lineitem.parquet"), spark.read.parquet(f"{d}/lineitem.parquet").drop("l_tax", "l_discount"))
+    lacking = scoring.missing_columns(adapter.history(spark, d), adapter.event_history(spark, d))
     return spark.createDataFrame([(c,) for c in lacking], "column_name string")
 
 
@@ -258,18 +262,52 @@ def stream_counts(spark: SparkSession, d: str) -> DataFrame:
     return running.event_counts(spark, d)
 
 
+def _matrix(spark: SparkSession, d: str) -> Matrix:
+    """The statistics of every column as codes, with balanced class weights."""
+    return Matrix.write(models.weighted(cut(rounded(_labelled(spark, d))), models.CONFIGS["hgb_baseline"]), _STAT_NAMES, BINS)
+
+
+def _root(matrix: Matrix) -> np.ndarray:
+    """The histogram of all rows before the first tree: (features, codes) sums of gradients and hessians, and rows."""
+    one = trees.Tree()
+    one.add()
+    halves = lambda b: (trees.units(b.weights * (0.5 - b.flags)), trees.units(b.weights * 0.25), ~b.stop)
+    width = len(matrix.features)
+    return trees.histograms(matrix.rows, width, np.arange(width), matrix.codes, halves, [(one, {0: 0})], 1, tasks=matrix.files)[0][0]
+
+
+def feature_bins(spark: SparkSession, d: str) -> DataFrame:
+    """Rows in each bin of each feature of the binned matrix."""
+    matrix = _matrix(spark, d)
+    n = len(matrix.features)
+    digits = matrix.rows.select(F.hex("bins").alias("x"))
+    codes = digits.selectExpr(f"posexplode(transform(sequence(0, {n - 1}), k -> CAST(conv(substr(x, 2 * k + 1, 2), 16, 10) AS INT))) AS (f, code)")
+    tall = codes.groupBy("f", "code").agg(F.count(F.lit(1)).alias("rows"))
+    return tall.select(F.element_at(F.array(*map(F.lit, matrix.features)), F.col("f") + 1).alias("feature"), "code", "rows")
+
+
+def first_splits(spark: SparkSession, d: str) -> DataFrame:
+    """For each feature, the best gain that the first split of the first boosted model can have on it; 0 if it cannot split."""
+    matrix = _matrix(spark, d)
+    config, root = models.CONFIGS["hgb_baseline"], _root(matrix)
+    rule = trees.Rule(config.least_rows, config.l1, config.l2)
+    found = [(f, rule.best(root[:, k : k + 1])) for k, f in enumerate(matrix.features)]
+    return rounded(spark.createDataFrame([(f, float(x[0]) if x else 0.0) for f, x in found], "feature string, gain double"))  # one row for each feature
+
+
 def _signalled(spark: SparkSession, d: str) -> DataFrame:
-    """Statistics with a noisy trace of the label among them, which a model has to find: by itself it has an AUC of 0.94."""
-    stats = features.by_entity(adapter.history(spark, d), features.column_stats(["pre_util", "pre_over2limit", "pre_loans_credit_limit", "pre_loans_credit_cost_rate"]))
-    return scoring.attach_target(stats, adapter.target(spark, d)).withColumn("signal", F.col("flag") + F.pmod(F.xxhash64("id"), F.lit(1000)) * 0.0015)
+    """All statistics and three noisy traces of the label, each with an AUC of about 0.82: only together do they reach 0.9."""
+    traces = {f"trace_{k}": F.col("flag") + F.pmod(F.xxhash64("id", F.lit(k)), F.lit(1000)) * 0.0025 for k in range(3)}
+    return _labelled(spark, d).withColumns(traces)
 
 
 def logistic_baseline(spark: SparkSession, d: str) -> DataFrame:
-    return models.validate(spark, _signalled(spark, d), models.LOGISTIC, SEED)
+    return models.validate(spark, _signalled(spark, d), models.LOGISTIC, SEED, least=0.85)
 
 
 def boosted_model(spark: SparkSession, d: str) -> DataFrame:
-    return models.validate(spark, _signalled(spark, d), replace(models.CONFIGS["hgb_baseline"].scaled(rounds=8, depth=3), least_rows=5), SEED)
+    """The first boosted model with its own parameters."""
+    return models.validate(spark, _signalled(spark, d), models.CONFIGS["hgb_baseline"], SEED, least=0.85)
 
 
 _H = f"h AS ({adapter.HISTORY_SQL.format(lineitem='lineitem', orders='orders')})"
@@ -437,7 +475,7 @@ ORACLE = {
     "submission_left_join": f"{_SUBMITTED} SELECT ord, id, round(flag, 6) AS flag FROM s",
     "submission_checks": f"{_SUBMITTED} SELECT count(*) AS rows, 0::BIGINT AS unmatched, 0::BIGINT AS out_of_order, count(*) FILTER (WHERE flag IS NULL) AS nulls, count(*) FILTER (WHERE NOT flag BETWEEN 0 AND 1) AS out_of_range, round(min(flag), 6) AS min, round(max(flag), 6) AS max, round(avg(flag), 6) AS mean FROM s",
     "submission_format": f"WITH {_T}, {_P} SELECT id, printf('%.7f', p1) AS flag FROM v",
-    "missing_columns": "SELECT * FROM (VALUES ('l_discount'), ('l_tax')) v(column_name)",
+    "missing_columns": f"SELECT unnest({sorted(set(vocab.HISTORY) - {'rn'})}) AS column_name",
     "event_stats": "WITH h AS (SELECT user_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn, event_type, floor(value / 50)::INT AS value_bucket FROM events) "
     f"SELECT id, round(avg(value_bucket), 6) AS value_bucket_mean, max(value_bucket)::DOUBLE AS value_bucket_max, round(coalesce(stddev_samp(value_bucket), 0), 6) AS value_bucket_std, {_last('value_bucket')} AS value_bucket_last, "
     + ", ".join(_count_if(f"cnt_event_code_{v}", f"event_type = '{e}'") for v, e in enumerate(("click", "error", "purchase", "signup", "view")))
@@ -445,6 +483,21 @@ ORACLE = {
     "stream_counts": "SELECT user_id AS id, count(*) AS n, " + ", ".join(f"count(*) FILTER (WHERE event_type = '{e}') AS n_{e}" for e in ("click", "error", "purchase", "signup", "view")) + " FROM events GROUP BY user_id",
 }
 
+_CODES = (
+    f"WITH {_H}, {_T}, {_STATS}, x AS (SELECT id, feature, value FROM (UNPIVOT (SELECT id, {_round(_STAT_NAMES)} FROM stats) ON {', '.join(_STAT_NAMES)} INTO NAME feature VALUE value)), "
+    f"q AS (SELECT feature, list_distinct(quantile_disc(value, [{', '.join(f'{i / BINS}' for i in range(1, BINS))}])) AS e, max(value) AS m FROM x GROUP BY feature), edges AS (SELECT feature, [v for v in e if v < m] AS e FROM q), "
+    "codes AS (SELECT x.id, x.feature, 1 + len([v for v in e if v < x.value]) AS code FROM x JOIN edges USING (feature))"
+)
+ORACLE |= {
+    "feature_bins": f"{_CODES} SELECT feature, code::INT AS code, count(*) AS rows FROM codes GROUP BY ALL",
+    "first_splits": f"{_CODES}, {_SIZES}, w AS (SELECT id, CASE WHEN flag = 1 THEN 0.5 / (one / total::DOUBLE) ELSE 0.5 / (1 - one / total::DOUBLE) END AS w, flag FROM t, n), "
+    "s AS (SELECT feature, code, sum(round(w * (0.5 - flag) * 1048576)) / 1048576 AS g, sum(round(w * 0.25 * 1048576)) / 1048576 AS h, count(*) AS m FROM codes JOIN w USING (id) GROUP BY ALL), "
+    "c AS (SELECT feature, sum(g) OVER o AS gl, sum(h) OVER o AS hl, sum(m) OVER o AS ml, sum(g) OVER p AS gt, sum(h) OVER p AS ht, sum(m) OVER p AS mt FROM s WINDOW o AS (PARTITION BY feature ORDER BY code), p AS (PARTITION BY feature)), "
+    "b AS (SELECT feature, max(gl * gl / (hl + 0.05) + (gt - gl) * (gt - gl) / (ht - hl + 0.05) - gt * gt / (ht + 0.05)) FILTER (WHERE ml >= 80 AND mt - ml >= 80) AS gain FROM c GROUP BY feature) "
+    "SELECT feature, round(CASE WHEN gain > 1e-12 THEN gain ELSE 0 END, 6) AS gain FROM b",
+}
+
+
 def _joined(*parts: str) -> str:
     """SQL for a whole family: its parts, which are checked one by one too, joined by id."""
     first, *rest = (f"({ORACLE.get(p, p)})" for p in parts)
@@ -468,6 +521,6 @@ QUERIES = {
         basic_stats, loan_count, paym_status_counts, paym_summary, bucket_counts, bucket_counts_tall, dist_counts_tall, bucket_props, recent_stats_k, payment_agg, cross_counts, cross_counts_tall, cross_props,
         last_onehot, recent_props_k, seq_pivot, seq_delta, id_norm, target_join, effect_size_sample, effect_size_pop, top_n_must_keep, joint_top_n, family_top_n, stratified_split, training_sample, neg_undersample,
         bounded_sample, id_tail_split, class_weights, roc_auc, logit_blend, weight_grid2, weight_grid3, calibrate_prior, family_join, semi_join_sample, submission_left_join, submission_checks, submission_format,
-        missing_columns, event_stats, stream_counts, family_basic, family_extra, family_sequence, family_distribution, logistic_baseline, boosted_model,
+        missing_columns, event_stats, stream_counts, family_basic, family_extra, family_sequence, family_distribution, feature_bins, first_splits, logistic_baseline, boosted_model,
     )
 }

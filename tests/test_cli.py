@@ -28,8 +28,10 @@ def where(spark, tmp_path_factory):
 
 
 @pytest.fixture(autouse=True)
-def small_families(monkeypatch):
-    """A few features of each family: whole families have queries of their own."""
+def small_families(monkeypatch, request):
+    """A few features of each family: one test builds the whole ones."""
+    if "whole" in request.node.name:
+        return
     few = ["pre_util", "pre_loans530"]
     small = {
         "basic": lambda h: features.by_entity(h, [*features.column_stats(few), F.count(F.lit(1)).cast("double").alias("loan_count")]).withColumn("id_norm", features.id_norm()),
@@ -59,6 +61,25 @@ def test_final_model(spark, where):
     assert all(len(x[1].split(".")[1]) == 7 for x in submitted(where.output))
 
 
+def test_whole_families_are_built(spark, where, tmp_path):
+    """All four real families from plain Parquet histories, by the command line's builder; every plan is made within seconds."""
+    import time
+
+    at = tables.Folders(where.data, f"{tmp_path}/work", f"{tmp_path}/out")
+    history = tables.read_history(spark, f"{where.data}/train_data.parquet")
+    for name, make in features.FAMILIES.items():
+        began = time.time()
+        make(history)._jdf.queryExecution().executedPlan()
+        assert time.time() - began < 25, name
+    args = cli.arguments("build --dist-features 1".split())
+    built = families.build(spark, at, cli.wanted(args), args.force)
+    n = history.select("id").distinct().count()
+    for (family, part), df in built.items():
+        assert (part, df.count()) == (part, n)
+        assert len(df.columns) - 1 == {"basic": 469, "extra": 1066, "seq": 843, "dist": 1998}[family]
+    assert built["extra", "train"].where("xrecent2_pre_util_max > xrecent10_pre_util_max OR xloan_count_check = 0").count() == 0
+
+
 def test_first_model(spark, where, monkeypatch):
     monkeypatch.setattr(flows, "FIRST_FEATURES", 5)
     report = cli.first(spark, where, cli.arguments("first --rounds 2 --depth 2 --val-size 30".split()))

@@ -99,7 +99,7 @@ def test_rows_that_stop_boosting_do_not_shape_bins(spark):
 def test_boosting_is_the_plain_version_tree_by_tree(spark, rule, leaves):
     x, y, w = made(3)
     m = Matrix.write(table(spark, x, y, w), FEATURES, 16)
-    model = boosting.boost(m, rule, 0.2, 4, leaves, seed=5)
+    model = boosting.boost(m, rule, 0.2, 3, leaves, seed=5)
     codes = plain_codes(x, m.edges)
     margin = np.full(len(x), math.log(w[y == 1].sum() / w[y == 0].sum()))
     for tree in model.trees:
@@ -112,14 +112,14 @@ def test_boosting_is_the_plain_version_tree_by_tree(spark, rule, leaves):
             assert abs(tree.value[own[leaf.rows[0]]] - 0.2 * leaf.value) < 1e-12
         assert len(set(own)) == len(want)
         margin += tree.values(codes)
-    assert model.rounds == 4
+    assert model.rounds == 3
     assert np.abs(model.margins(codes) - margin).max() < 1e-12
 
 
 def test_partitions_and_small_jobs_do_not_matter(spark, monkeypatch):
     x, y, w = made(4)
     stop = np.arange(len(x)) % 4 == 0
-    fit = lambda n: boosting.boost(Matrix.write(table(spark, x, y, w, stop).repartition(n), FEATURES, 12), Rule(5), 0.3, 6, 12, 0.8, 0.7, patience=3, seed=9)
+    fit = lambda n: boosting.boost(Matrix.write(table(spark, x, y, w, stop).repartition(n), FEATURES, 12), Rule(5), 0.3, 4, 8, 0.8, 0.7, patience=3, seed=9)
     one = fit(1)
     monkeypatch.setattr(trees, "JOB_BYTES", 3 * 5 * 14 * 24)
     monkeypatch.setattr(trees, "FEW_TASKS", 0)
@@ -136,7 +136,7 @@ def test_interaction_beats_trees_of_one_level(spark):
     stop = np.arange(len(x)) % 3 == 0
     df = table(spark, x, y, w, stop)
     m = Matrix.write(df, FEATURES, 32)
-    deep, flat = (boosting.boost(m, Rule(10, 0, 1.0), 0.1, 40, n, patience=15, seed=1) for n in (16, 2))
+    deep, flat = (boosting.boost(m, Rule(10, 0, 1.0), 0.4, 10, n, patience=5, seed=1) for n in (16, 2))
     auc = lambda model: ensemble.roc_auc(model.predict(df.where("is_validation"), "score").select("flag", "score")).first().auc
     assert auc(deep) > 0.8
     assert auc(deep) > auc(flat) + 0.1
@@ -148,8 +148,8 @@ def test_early_stopping_goes_back_to_the_best_round(spark, by_auc):
     stop = np.arange(len(x)) % 2 == 0
     df = table(spark, x, y, w, stop)
     m = Matrix.write(df, FEATURES, 16)
-    fitted = boosting.boost(m, Rule(3), 0.5, 60, 20, patience=6, by_auc=by_auc, seed=2)
-    every = boosting.boost(m, Rule(3), 0.5, 60, 20, patience=None, seed=2)
+    fitted = boosting.boost(m, Rule(3), 0.9, 16, 12, patience=4, by_auc=by_auc, seed=2)
+    every = boosting.boost(m, Rule(3), 0.9, 16, 12, patience=None, seed=2)
     codes, margin, scores = plain_codes(x, m.edges), np.full(len(x), every.base), []
     for tree in [None, *every.trees]:
         margin = margin + (tree.values(codes) if tree else 0)
@@ -163,9 +163,9 @@ def test_early_stopping_goes_back_to_the_best_round(spark, by_auc):
     for n, s in enumerate(scores):
         if s > scores[best] + 1e-9:
             best = n
-        if n - best >= 6:
+        if n - best >= 4:
             break
-    assert fitted.rounds == best < 60
+    assert fitted.rounds == best < 16
     assert fitted.trees == every.trees[:best]
     assert np.abs(np.array(fitted.history) - scores[: len(fitted.history)]).max() < 1e-4
 
@@ -182,7 +182,7 @@ def test_one_side_sampling_sizes_and_sums(spark):
     g = w * (1 / (1 + np.exp(-margin)) - y)
     batch = trees.Batch(np.arange(len(x)), y, w, stop, np.zeros(len(x)), codes)
     total, sums = 1800, []
-    for n in range(3, 43):
+    for n in range(3, 23):
         factor = fit.sample(n)(batch, g)
         top, other = int(total * 0.24), int(total * 0.12)
         assert (factor == 1).sum() == top
@@ -193,7 +193,7 @@ def test_one_side_sampling_sizes_and_sums(spark):
         sums.append((factor * g).sum())
     spread = np.std(sums) / math.sqrt(len(sums))
     assert abs(np.mean(sums) - g[~stop].sum()) < 4 * spread
-    assert boosting.boost(m, Rule(5), 0.5, 12, 8, goss=(0.24, 0.12), patience=12, seed=3).history[-1] > 0.7
+    assert boosting.boost(m, Rule(5), 0.5, 4, 8, goss=(0.24, 0.12), patience=9, seed=3).history[-1] > 0.7
 
 
 @pytest.mark.parametrize("keys", [[], [5], [7, 7, 7], [0, 0, 1, 1 << 63, (1 << 64) - 1], list(range(0, 1 << 20, 4099))])

@@ -44,9 +44,9 @@ def test_rows_are_the_sql_s(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(core.QUERIES) - set(core.ORACLE)))
 def test_models_validate(spark, name):
-    row = core.QUERIES[name](spark, SMALL).first()
+    row = core.QUERIES[name](spark, "/root/testdata/sf0.01").first()
     assert row.valid
-    assert row.rows == 30
+    assert row.rows == 300
 
 
 def test_entry(spark):

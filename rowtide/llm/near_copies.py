@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowtide.llm.common import by_bytes, byte_view, mix64, span_hashes, word_spans
@@ -100,8 +100,13 @@ def shingle_sets(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
     return rows[new], folded[new]
 
 
+def text_id() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_id")
+
+
 def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit key of the set (key, key2) and its minwise bytes; no key and bytes for an empty set."""
+    """doc_id, text_id (a hash of the text), n_shingles, a 128-bit key of the set (key, key2) and its minwise bytes; no key and bytes
+    for an empty set."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,10 +125,10 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
                 raw: list = [None] * part.num_rows
                 for i, j in enumerate(np.flatnonzero(has).tolist()):
                     raw[j] = low[i].tobytes()
-                made = [part.column("doc_id"), pa.array(n, pa.int64()), *(pa.array(k, mask=~has) for k in keys), pa.array(raw, pa.binary())]
-                yield pa.RecordBatch.from_arrays(made, ["doc_id", "n_shingles", "key", "key2", "bytes"])
+                made = [part.column("doc_id"), part.column("text_id"), pa.array(n, pa.int64()), *(pa.array(k, mask=~has) for k in keys), pa.array(raw, pa.binary())]
+                yield pa.RecordBatch.from_arrays(made, ["doc_id", "text_id", "n_shingles", "key", "key2", "bytes"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sketch, "doc_id long, n_shingles long, key long, key2 long, bytes binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_id(), "text").mapInArrow(sketch, "doc_id long, text_id long, n_shingles long, key long, key2 long, bytes binary")
 
 
 def branched(node: np.ndarray, member: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -397,6 +402,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     trees are laid out for that. An empty table gives an empty result. Nothing is capped: the one step that can grow with
     a node's square is between its largest component and the members outside it, where branching on did not part them.
     """
+    return _marked(docs, words, percent).drop("text_id")
+
+
+def _marked(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """The rows of :func:`near_duplicates` with their text_id."""
     sketched = cut(sketches(docs, words))
     usable = sketched.where("doc_id is not null and n_shingles > 0")
     classes = cut(usable.groupBy("key", "key2", "n_shingles").agg(F.min("doc_id").alias("member"), F.min("bytes").alias("bytes")))
@@ -446,17 +456,29 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         # go on from the components that are known
         labels = components(more.union(labels.select(F.col("node").alias("a"), F.col("label").alias("b"))))
     of_class = classes.join(labels.withColumnRenamed("node", "member"), "member", "left").select("key", "key2", "n_shingles", F.coalesce("label", "member").alias("component_id"))
-    whole = sketched.select("doc_id", "n_shingles", "key", "key2").join(of_class, ["key", "key2", "n_shingles"], "left")
+    whole = sketched.select("doc_id", "text_id", "n_shingles", "key", "key2").join(of_class, ["key", "key2", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return whole.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return whole.select("doc_id", "text_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def without_near_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` without the rows that :func:`near_duplicates` does not keep; all columns as they were."""
-    gone = cut(near_duplicates(docs, words, percent).where(~F.col("kept")).select("doc_id").distinct())
-    if gone.count() <= MOST_BROADCAST:
-        gone = F.broadcast(gone)
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")
+    """``docs`` without the rows that :func:`near_duplicates` does not keep; all columns as they were.
+
+    Rows are told by id and text: of rows that share an id, only the text that has a copy elsewhere goes. Of rows with the same id and
+    text one stays; rows without an id all stay.
+    """
+    marked = cut(_marked(docs, words, percent).groupBy("doc_id", "text_id").agg(F.min("kept").alias("kept"), F.count(F.lit(1)).alias("n")).where("doc_id is not null and (not kept or n > 1)"))
+    keys = [F.col(f"_m.{c}").eqNullSafe(F.col(f"_d.{c}")) for c in ("doc_id", "text_id")]
+    # all columns of the caller in one, so that none can clash
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_id())
+    few = F.broadcast if marked.count() <= MOST_BROADCAST else lambda x: x
+    left = rows.alias("_d").join(few(marked).alias("_m"), keys, "left_anti")
+    again = marked.where("kept")
+    if not again.isEmpty():
+        repeated = rows.alias("_d").join(few(again).alias("_m"), keys, "left_semi")
+        # equal in id and text: any one of them, but the same one each time
+        left = left.unionByName(repeated.groupBy("doc_id", "text_id").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row", "doc_id", "text_id"))
+    return left.select("row.*")
 
 
 def _others(nodes: DataFrame, sketch: DataFrame, fine: DataFrame, percent: int) -> DataFrame:

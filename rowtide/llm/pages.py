@@ -5,9 +5,10 @@ pages of a host each hash stands; container elements whose subtree recurs on man
 text (paragraphs, headings, an article's own lists and tables) is never deleted for recurring: articles quote and copy each
 other.
 
-Structure: scripts, styles, menus and the like go by their tags. Forms, roles, hidden elements and class names only hint at
+Structure: scripts, styles, menus and the like go by their tags. Forms, asides, roles, hidden elements and class names only hint at
 what an element is: it stays if it holds half of the page's running text and no heading, ``main`` or ``article`` lies outside
-it. What is left of the ``article`` elements is the text if that is most of what is left of ``main`` (or of the page), or if
+it. Within an article or ``main``, names and asides need a second hint before they take text away, and lines of running text
+never go by a name. What is left of the ``article`` elements is the text if that is most of what is left of ``main`` (or of the page), or if
 the article has the heading; else what is left of ``main``, or of the page.
 """
 
@@ -39,14 +40,16 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noembed noframes iframe".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img button math mi mo mn ms mtext mrow msup msub mfrac msqrt".split())
 #: Elements whose subtrees can be template, and those that can be it within an article too.
 CONTAINERS = frozenset("div section ul ol dl table aside form figure nav header footer menu details fieldset center".split())
 BOXES = frozenset("div section aside form nav header footer menu fieldset".split())
 #: Elements without text of the page.
-DROPPED = frozenset("head script style noscript template nav footer aside button select datalist textarea iframe object svg canvas audio video noembed noframes title math".split())
+DROPPED = frozenset("head script style template nav footer button select datalist textarea iframe object svg canvas audio video noembed noframes title".split())
 #: Elements that are no part of an article, unless they hold the page.
-HINTED = frozenset("form dialog menu".split())
+HINTED = frozenset("form dialog menu noscript aside".split())
+#: Elements of running text: within an article they never go by their names, nor does what stands in their lines.
+LINES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre td th figcaption caption".split())
 FOREIGN = frozenset(("svg", "math"))
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 COMMENTS = frozenset("comment comments respond reply replies discussion disqus".split())
@@ -56,6 +59,9 @@ NAMES = COMMENTS | frozenset(
     "banner cookie cookies consent gdpr notice notices alert popup modal overlay share sharing social related recommended "
     "breadcrumb breadcrumbs pagination pager newsletter subscribe signup login search widget copyright".split()
 )
+#: Names that need no second hint within an article, if the whole class or id says nothing else but where or how it is put.
+PLAIN_NAMES = COMMENTS | frozenset("nav navbar navigation submenu sidebar footer ad ads adv advert adverts advertisement advertising sponsor sponsored promo breadcrumb breadcrumbs pagination pager newsletter subscribe".split())
+PUT = frozenset("box area block container wrapper list section bar unit slot links panel inner outer top bottom left right".split())
 #: A name with one of these words tells what state the page is in ("has-sidebar", "comments-open"), not what the element is.
 STATES = frozenset("has no with without is not open opened closed enabled disabled active inactive sticky fixed free".split())
 #: What an opening tag closes if it is the innermost block.
@@ -63,13 +69,15 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 
 
 class Element:
-    """An element with what it holds: texts and elements in order, characters of running text, main and article elements, h1."""
+    """An element with what it holds: texts and elements in order, characters of running text and of all text, main and article
+    elements, h1, headings; ``inside``: an article holds it, ``within``: an article or main, ``line``: an element of running text."""
 
-    __slots__ = ("attributes", "children", "digest", "headings", "inside", "marks", "running", "tag", "titles", "trace")
+    __slots__ = ("attributes", "chars", "children", "digest", "headings", "inside", "line", "marks", "running", "tag", "titles", "trace", "within")
 
-    def __init__(self, tag: str, attributes: dict[str, str], inside: bool):
-        self.tag, self.attributes, self.inside = tag, attributes, inside
+    def __init__(self, tag: str, attributes: dict[str, str], inside: bool, within: bool = False, line: bool = False):
+        self.tag, self.attributes, self.inside, self.within, self.line = tag, attributes, inside, within, line
         self.children: list = []
+        self.chars = 0
         self.trace: list[str] = [tag, attributes.get("class", "")]
         self.digest = self.running = 0
         self.marks = int(tag in ("article", "main") or attributes.get("role") == "main")
@@ -93,17 +101,40 @@ def _named(attributes: dict[str, str]) -> str | None:
     return None
 
 
+def _only_names(attributes: dict[str, str]) -> bool:
+    """Whether a class or id says nothing but that this is no article: a plain name, or several names."""
+    for key in ("class", "id"):
+        for name in attributes.get(key, "").split():
+            words = _WORDS.findall(_CAMEL.sub(" ", name).lower())
+            rest = [w for w in words if w not in PUT]
+            if rest and all(w in NAMES for w in rest) and (len(rest) > 1 or rest[0] in PLAIN_NAMES):
+                return True
+    return False
+
+
 def _goes(x: Element, root: Element) -> bool:
-    """Whether an element of the page ``root`` is no part of the article."""
+    """Whether an element of the page ``root`` is no part of the article.
+
+    Within an article or main, a name alone takes no running text away: it needs a second hint (an element or role of the kind, or
+    text that is mostly links), or must say nothing else.
+    """
     if x.tag in ("html", "body", "main"):
         return False
     if x.tag in DROPPED:
-        return True
-    a, own_header = x.attributes, x.inside and x.titles > 0
+        return not (x.tag == "button" and x.within and x.line)
+    a, own_header = x.attributes, x.inside and x.headings > 0
     name = _named(a) if a else None
-    hinted = x.tag in HINTED or x.tag == "header" and not own_header or name is not None and not (name == "header" and own_header)
-    hinted = hinted or bool(a) and ("hidden" in a or a.get("aria-hidden") == "true" or a.get("role", "").lower() in ROLES or "display:none" in a.get("style", "").replace(" ", "").lower())
-    return hinted and not _holds_all(x, root, name)
+    if name == "header" and own_header:
+        name = None
+    tagged = x.tag in HINTED or x.tag == "header" and not own_header
+    role = bool(a) and a.get("role", "").lower() in ROLES
+    hidden = bool(a) and ("hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "").lower())
+    hinted = tagged or role or name is not None
+    if hinted and x.within:
+        linked = x.chars > 2 * x.running
+        named = name is not None and not x.line and x.tag not in LINES and (linked or tagged or role or _only_names(a))
+        hinted = named or role or tagged and (x.tag != "aside" or linked)
+    return (hinted or hidden) and not _holds_all(x, root, name)
 
 
 def _holds_all(x: Element, root: Element, name: str | None = None) -> bool:
@@ -119,22 +150,25 @@ def parse(page: str) -> Element:
     import xxhash
 
     root = Element("", {}, False)
-    stack, articles, foreign = [root], 0, 0
+    stack, articles, mains, lines, foreign = [root], 0, 0, 0, 0
     open_: Counter[str] = Counter()
 
     def close() -> None:
-        nonlocal articles, foreign
+        nonlocal articles, mains, lines, foreign
         x = stack.pop()
         up = stack[-1]
         open_[x.tag] -= 1
         articles -= x.tag == "article"
+        mains -= x.tag == "main" or x.attributes.get("role") == "main"
+        lines -= x.tag in LINES
         foreign -= x.tag in FOREIGN
         x.digest = xxhash.xxh64_intdigest("\0".join(x.trace)) - (1 << 63)
         x.trace = []
         up.trace.append(str(x.digest))
         up.children.append(x)
-        if x.tag in DROPPED:
+        if x.tag in DROPPED or x.tag == "aside" and not x.within:
             return
+        up.chars += x.chars
         if x.tag != "a":
             up.running += x.running
         up.headings += x.headings
@@ -148,7 +182,9 @@ def parse(page: str) -> Element:
             words = shown.split()
             stack[-1].children.append(shown)
             stack[-1].trace.append(" ".join(words))
-            stack[-1].running += sum(map(len, words))
+            n = sum(map(len, words))
+            stack[-1].running += n
+            stack[-1].chars += n
 
     at = 0
     while m := _TAG.search(page, at):
@@ -181,9 +217,11 @@ def parse(page: str) -> Element:
             stack[-1].children.append("" if tag in INLINE else " ")
             stack[-1].trace.append(tag)
             continue
-        stack.append(Element(tag, _attributes(m[3]), articles > 0))
+        stack.append(Element(tag, _attributes(m[3]), articles > 0, articles + mains > 0, lines > 0))
         open_[tag] += 1
         articles += tag == "article"
+        mains += tag == "main" or stack[-1].attributes.get("role") == "main"
+        lines += tag in LINES
         foreign += tag in FOREIGN
         ended = m[3].endswith("/")
         if tag in RAW and not foreign:

@@ -9,11 +9,14 @@ documents that hold term t and df(e,t) groups that hold both, wherever they stan
 A term discloses e if PMI(e; t) >= ``threshold`` * IC(e): it then tells a reader at least that share of what the value itself
 would. Such terms are spans of their own (kind ``term``) wherever they stand in a document with e, and are generalised with
 the values when a text is sanitised. A pair that fewer than ``min_documents`` groups hold is thin evidence: in one document,
-every rare word stands with every value. There df(e,t) is smoothed to how near they stand at best: 1 for the two words next to
-the value on either side (a name in full), 1/2, 1/3 and so on for the words beyond, up to ``NEAR`` words away. So a rare name beside an address is found in a single document.
+every rare word stands with every value. There only words count that begin with a capital letter, as names do, and df(e,t) is
+smoothed to how near they stand at best: 1 for the two words next to the value on either side (a name in full), 1/2, 1/3 and so on
+for the words beyond, up to ``NEAR`` words away. So a rare name beside an address is found in a single document, and a rare word is
+not.
 
 Groups of near copies are found by minwise hashes of a document's shingles of five words, ``PRINTS`` times ``HASHES`` of them
-together. A document is in the group of the first document that shares one of these prints: but for one in 5,000, near copies
+together. A document is in the group of the document, of those that share one of these prints, whose text has the least hash: groups
+do not hang on the order of rows, and equal texts are in one group. But for one in 5,000, near copies
 of similarity 0.8 do, documents of similarity 0.1 in one of 80 cases. Documents of less than five words have one shingle.
 
 All of it is DataFrame work: patterns run on the JVM, a document's spans are found within its own row, and only counts and
@@ -160,16 +163,20 @@ def _common(spread: DataFrame) -> DataFrame:
 
 
 def _words(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
+    return _in_case(F.lower(text))
+
+
+def _in_case(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(TERM), F.lit(0))
 
 
 def copy_groups(held: DataFrame) -> DataFrame:
-    """``held`` (_row, text and other columns) with ``_copy_of``, the first row of its group of near copies."""
+    """``held`` (_row, text and other columns) with ``_copy_of``, which is the same in a group of near copies."""
     least = lambda shingles, k: F.array_min(F.transform(shingles, _hashed(k)))
     prints = lambda shingles: F.array(*(F.xxhash64(F.lit(k), *(least(shingles, k * HASHES + h) for h in range(HASHES))) for k in range(PRINTS)))
-    prints = held.select("_row", F.explode(_let(_let(_words(F.col("text")), _shingles), prints)).alias("print"))
+    prints = held.select("_row", F.xxhash64("text").alias("own"), F.explode(_let(_let(_words(F.col("text")), _shingles), prints)).alias("print"))
     prints = cut(prints)
-    first = cut(prints.groupBy("print").agg(F.min("_row").alias("first"), F.count(F.lit(1)).alias("n")))
+    first = cut(prints.groupBy("print").agg(F.min("own").alias("first"), F.count(F.lit(1)).alias("n")))
     often = common(first, "print", "n", prints.count())
     of_rows = join_by(prints, "print", first.select("print", "first"), "print", often).groupBy("_row").agg(F.min("first").alias("_copy_of"))
     return held.join(of_rows, "_row")
@@ -184,28 +191,31 @@ def _hashed(k: int):
 
 
 def _near(held: DataFrame) -> DataFrame:
-    """(entity, term, nearness) of the words around each value: 1, 1, 1/2, 1/3 and so on by their place."""
+    """(entity, term, nearness) of the capitalised words around each value: 1, 1, 1/2, 1/3 and so on by their place."""
     span = F.explode("_base").alias("s")
     rows = held.select("text", span)
     left = F.least(F.col("s.start"), F.lit(NEAR_CHARACTERS))
-    before = F.reverse(_words(F.substr("text", F.col("s.start") - left + 1, left)))
+    before = F.reverse(_in_case(F.substr("text", F.col("s.start") - left + 1, left)))
     # a word that begins at the border may be cut
     before = F.when(F.col("s.start") > NEAR_CHARACTERS, F.slice(before, F.lit(1), F.greatest(F.size(before) - 1, F.lit(0)))).otherwise(before)
-    after = _words(F.substr("text", F.col("s.end") + 1, F.lit(NEAR_CHARACTERS)))
+    after = _in_case(F.substr("text", F.col("s.end") + 1, F.lit(NEAR_CHARACTERS)))
     cut_off = F.length("text") > F.col("s.end") + NEAR_CHARACTERS
     after = F.when(cut_off, F.slice(after, F.lit(1), F.greatest(F.size(after) - 1, F.lit(0)))).otherwise(after)
     entity = _entity(F.col("s")).alias("entity")
-    sides = [rows.select(entity, F.posexplode(F.slice(x, 1, NEAR)).alias("at", "term")) for x in (before, after)]
-    return sides[0].unionByName(sides[1]).groupBy("entity", "term").agg((1 / F.greatest(F.min("at"), F.lit(1))).alias("nearness"))
+    sides = [rows.select(entity, F.posexplode(F.slice(x, 1, NEAR)).alias("at", "word")) for x in (before, after)]
+    words = sides[0].unionByName(sides[1]).where(F.col("word").rlike(r"^\p{Lu}")).select("entity", "at", F.lower("word").alias("term"))
+    return words.groupBy("entity", "term").agg((1 / F.greatest(F.min("at"), F.lit(1))).alias("nearness"))
 
 
 def disclosing_terms(docs: DataFrame, held: DataFrame, threshold: float, min_documents: int) -> DataFrame:
     """(entity, terms): the terms that disclose each entity. ``held``: the documents with spans, as _row, text, ``_base`` and
     ``_copy_of``, the group of near copies.
 
-    As df(e,t) is neither above df(e) nor, but for copies, above df(t), ln N / max(df(e), df(t)) bounds PMI(e; t):
-    common terms, whose list is broadcast, are left out of the pairs with the entities that they cannot disclose before
-    pairs are made. That loses nothing; the pairs that stay are added up before their shuffle.
+    As df(e,t) is neither above df(e) nor, but for copies, above df(t), ln N / max(df(e), df(t)) bounds PMI(e; t), so a term t can
+    disclose e only if df(t) <= N (df(e) / N)**threshold. A document's words are held against the widest such limit of its entities
+    before pairs are made: common words by a broadcast list, the rest by a join that also leaves out the words of fewer than
+    ``min_documents`` documents. What stays meets the document's entities within their own limits. That loses nothing; pairs are added
+    up before their shuffle.
     """
     n = F.lit(float(docs.count()))
     enough = F.lit(threshold) * F.ln(n / F.col("with_entity"))
@@ -217,13 +227,18 @@ def disclosing_terms(docs: DataFrame, held: DataFrame, threshold: float, min_doc
     spread = cut(docs.select(F.explode(distinct_words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("with_term")).where("with_term > 1"))
     several = entities.where(F.col("with_entity") >= min_documents).select("entity", "with_entity")
     wanted = join_by(of_rows.select("_row", "entity"), "entity", several, "entity", often)
-    wanted = wanted.groupBy("_row").agg(F.collect_list(F.struct("entity", "with_entity")).alias("_wanted"))
-    pairs = held.join(wanted, "_row").select("_copy_of", distinct_words.alias("_words"), F.explode("_wanted").alias("e"))
-    pairs = pairs.select("_copy_of", "e.entity", "e.with_entity", F.explode("_words").alias("term"))
+    limit = n * F.pow(F.col("with_entity") / n, F.lit(threshold)) * (1 + 1e-9)
+    wanted = cut(wanted.withColumn("limit", F.greatest(limit, F.col("with_entity").cast("double"))))
+    widest = wanted.groupBy("_row").agg(F.max("limit").alias("widest"))
+    words = held.join(widest, "_row").select("_row", "_copy_of", "widest", F.explode(distinct_words).alias("term"))
     # groups may count several documents for a term, so only what lies below even then goes
     seldom = _common(spread).withColumnRenamed("with_term", "_often")
-    bound = F.ln(n / F.greatest("with_entity", F.coalesce("_often", F.lit(1))))
-    pairs = pairs.join(F.broadcast(seldom), "term", "left").where(bound >= enough - 1e-9)
+    words = words.join(F.broadcast(seldom), "term", "left")
+    listed = words.where(F.col("_often") <= F.col("widest")).withColumnRenamed("_often", "with_term")
+    others = words.where("_often is null").drop("_often").join(spread.where(F.col("with_term") >= min_documents), "term", "inner" if min_documents > 1 else "left")
+    others = others.withColumn("with_term", F.coalesce("with_term", F.lit(1))).where(F.col("with_term") <= F.col("widest"))
+    kept = listed.unionByName(others).select("_row", "_copy_of", "term", "with_term")
+    pairs = kept.join(wanted, "_row").where(F.col("with_term") <= F.col("limit")).select("_copy_of", "entity", "with_entity", "term")
     together = pairs.groupBy("entity", "with_entity", "term", "_copy_of").agg(F.count(F.lit(1)).alias("n"))
     together = together.groupBy("entity", "with_entity", "term").agg(F.count(F.lit(1)).cast("double").alias("both")).where(F.col("both") >= min_documents)
     near = join_by(_near(held), "entity", entities.select("entity", "with_entity"), "entity", often).select("entity", "with_entity", "term", F.col("nearness").alias("both"))

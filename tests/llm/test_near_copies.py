@@ -200,3 +200,19 @@ def test_lowest_hashes_rule_out_no_link():
             assert not near_copies.likely(lowest(one), far, 80).any()
     assert near_copies.likely(None, [None, one[:1]], 80).all()
     assert near_copies.likely(lowest(one), [None], 80).all()
+
+
+def test_rows_are_told_by_id_and_text(documents):
+    """Texts that share an id are rows of their own; repeated rows leave one; a text never vanishes."""
+    a, b = ("one two three four five six seven eight", "other words than those of the first text at all")
+    left = near_copies.without_near_copies(documents([(3, a), (5, a), (5, b), (6, b), (6, b)]))
+    assert sorted((r.doc_id, r.text) for r in left.collect()) == [(3, a), (5, b)]
+    left = near_copies.without_near_copies(documents([(1, a), (1, a), (1, a), (2, ""), (2, ""), (2, None), (None, a), (None, a)]))
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted([(1, a), (2, ""), (None, a), (None, a)], key=str) or sorted(((r.doc_id, r.text or "") for r in left.collect()), key=str) == sorted([(1, a), (2, ""), (None, a), (None, a)], key=str)
+
+
+def test_clashing_columns_stay(documents):
+    docs = documents([(1, "a b c d e f"), (2, "a b c d e f")]).selectExpr("*", "1 as text_id", "2 as `row`", "3 as key")
+    left = near_copies.without_near_copies(docs)
+    assert left.columns == docs.columns
+    assert [(r.doc_id, r.text_id, r.row) for r in left.collect()] == [(1, 1, 2)]

@@ -86,6 +86,48 @@ def test_long_comments_go():
     assert keep(f"<body><div class='masthead'><h1>Site</h1></div><div><p>{LONG}</p></div></body>") == LONG
 
 
+@pytest.mark.parametrize(
+    ("inner", "kept"),
+    [
+        ("<div class='social-history'><p>History of it</p></div>", "History of it"),
+        ("<section class='research-notice'><p>A notice on research</p></section>", "A notice on research"),
+        ("<section id='related-work'><h2>Related work</h2><p>Others did it</p></section>", "Related work Others did it"),
+        ("<p class='alert'>Mind this</p>", "Mind this"),
+        ("<aside>A pull quote</aside>", "A pull quote"),
+        ("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p>", "so x=2 holds"),
+        ("<p>press <button>Save</button> now</p>", "press Save now"),
+        ("<ul><li class='menu'>soup</li></ul>", "soup"),
+        ("<header><h2>Part two</h2></header>", "Part two"),
+        ("<div class='related-posts'><a href='1'>One</a> <a href='2'>Two</a></div>", ""),
+        ("<aside class='related'><p>More of this</p></aside>", ""),
+        ("<aside><a href='1'>One</a> <a href='2'>Two</a></aside>", ""),
+        ("<div class='advert'><p>Buy</p></div>", ""),
+        ("<div class='ad-box'><p>Buy</p></div>", ""),
+        ("<div class='cookie-notice'><p>We use them</p></div>", ""),
+        ("<div id='comments'><p>First!</p></div>", ""),
+        ("<form><p>Your mail</p></form>", ""),
+        ("<button>Share</button>", ""),
+        ("<div role='navigation'><p>Up</p></div>", ""),
+        ("<noscript><p>Turn it on</p></noscript>", ""),
+    ],
+)
+@pytest.mark.parametrize("around", ["article", "main"])
+def test_names_alone_take_nothing_from_an_article(inner, kept, around):
+    if around == "main" and "<header>" in inner:
+        return
+    html = f"<body><nav>top</nav><{around}><h1>Title</h1><p>{LONG}</p>{inner}<p>End.</p></{around}></body>"
+    assert keep(html) == " ".join(f"Title {LONG} {kept} End.".split())
+
+
+def test_an_article_in_noscript():
+    assert keep(f"<body><div id='root'></div><noscript><article><h1>T</h1><p>{LONG}</p></article></noscript></body>") == f"T {LONG}"
+
+
+#: What the second extractor leaves out by name and role: it shares nothing with the operator.
+JUNK = set("nav menu sidebar footer header ad ads advert advertisement sponsored promo banner cookie cookies consent notice notices alert popup modal share social related recommended comment comments breadcrumb breadcrumbs pagination newsletter subscribe search widget copyright".split())
+JUNK_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert"}
+
+
 class Plain(HTMLParser):
     """A second extractor for well-formed pages, on the standard library's parser: a stack of flags and nothing else."""
 
@@ -100,10 +142,10 @@ class Plain(HTMLParser):
         a = dict(attrs)
         names = {w for k in ("class", "id") for n in (a.get(k) or "").lower().split() for w in (re.split("[-_]", n)[0], re.split("[-_]", n)[-1])}
         inside = any(t == self.root for t, _ in self.stack)
-        gone = tag in self.GONE or tag == "header" and not inside or "hidden" in a or (a.get("role") or "") in pages.ROLES or bool(names & pages.NAMES) and tag not in ("html", "body", "main")
+        gone = tag in self.GONE or tag == "header" and not inside or "hidden" in a or (a.get("role") or "") in JUNK_ROLES or bool(names & JUNK) and tag not in ("html", "body", "main")
         if tag not in self.FLOWS:
             self.out.append(" ")
-        if tag not in pages.VOID:
+        if tag not in ("br", "img", "hr", "input", "meta", "link", "source", "wbr", "col", "area", "base", "embed", "param", "track"):
             self.stack.append((tag, gone))
 
     def handle_endtag(self, tag):

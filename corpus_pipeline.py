@@ -14,28 +14,36 @@ from rowtide.sources.shared import new_folder, remove
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject."""
-    return queries.quality_scores(spark, docs, sf_dir, "_quality").where(F.col("_quality") >= queries.GOOD_FROM).select(*docs.columns)
+    """Documents that the quality classifier does not reject.
+
+    Null and empty texts score what the model's bias says; rows without an id are scored like others; repeated rows share a score.
+    """
+    name = "_quality"
+    while name in docs.columns:
+        name += "_"
+    return queries.quality_scores(spark, docs, sf_dir, name).where(F.col(name) >= queries.GOOD_FROM).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: shingles of five words, similarity 0.8."""
+    """One document of each group of near copies: shingles of five words, similarity 0.8. Documents without words, and those without an
+    id, stay; of rows with the same id and text one stays."""
     return near_copies.without_near_copies(docs, words=5, percent=80)
 
 
 def remove_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data and the terms that disclose it, generalised; n_chars follows the text."""
+    """Personal data and the terms that disclose it, generalised; n_chars follows the text. Null texts stay null, all rows stay."""
     clean = pii.sanitise(docs)
     return clean.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else clean
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated or left out so that sources have their weights."""
+    """Documents repeated or left out so that sources have their weights; a null source is one, texts without words add nothing and are
+    taken a whole number of times."""
     return mixing.repeat_rows(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of every document of the mix."""
+    """Piece ids of every document of the mix, repeats included; a null or empty text is its end id alone."""
     coded = pieces.encode_texts(docs.select("doc_id", "source", "text"), queries.tokenizer_path("piece_bpe_32k.model"), ids=True)
     return coded.drop("text")
 

@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 from rowtide.functions import scalar, vocab
 from rowtide.learn import trees
 from rowtide.learn.binning import Matrix
-from rowtide.operators import ensemble, features, sampling, scoring
+from rowtide.operators import ensemble, features, sampling, scoring, state
 from rowtide.plans import models
 from rowtide.sources import adapter
-from rowtide.sources.shared import cut
+from rowtide.sources.shared import cut, new_folder
 from rowtide.streaming import running
 
 SEED = 807
@@ -121,6 +121,27 @@ def family_distribution(spark: SparkSession, d: str) -> DataFrame:
     return rounded(features.distribution(adapter.history(spark, d)))
 
 
+def _state(spark: SparkSession, d: str) -> state.FeatureState:
+    """The state after two batches that interleave."""
+    kept, h = state.FeatureState(spark, new_folder(spark, "state")), adapter.history(spark, d)
+    kept.add("thirds", h.where("rn % 3 = 0"))
+    kept.add("others", h.where("rn % 3 <> 0"))
+    return kept
+
+
+def state_extra(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(_state(spark, d).family("extra"))
+
+
+def state_distribution(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(_state(spark, d).family("dist"))
+
+
+def state_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Scores of all positions and changes, without their wide table."""
+    return rounded(_state(spark, d).scores("seq", adapter.target(spark, d)))
+
+
 def target_join(spark: SparkSession, d: str) -> DataFrame:
     return scoring.attach_target(features.entity_counts(adapter.history(spark, d)), adapter.target(spark, d))
 
@@ -515,12 +536,18 @@ ORACLE |= {
     ),
 }
 
+ORACLE |= {
+    "state_extra": ORACLE["family_extra"],
+    "state_distribution": ORACLE["family_distribution"],
+    "state_scores": f"WITH {_T} {_effect('(' + ORACLE['family_sequence'] + ')', list(state.FAMILIES['seq']()), True)}",
+}
+
 QUERIES = {
     f.__name__: f
     for f in (
         basic_stats, loan_count, paym_status_counts, paym_summary, bucket_counts, bucket_counts_tall, dist_counts_tall, bucket_props, recent_stats_k, payment_agg, cross_counts, cross_counts_tall, cross_props,
         last_onehot, recent_props_k, seq_pivot, seq_delta, id_norm, target_join, effect_size_sample, effect_size_pop, top_n_must_keep, joint_top_n, family_top_n, stratified_split, training_sample, neg_undersample,
         bounded_sample, id_tail_split, class_weights, roc_auc, logit_blend, weight_grid2, weight_grid3, calibrate_prior, family_join, semi_join_sample, submission_left_join, submission_checks, submission_format,
-        missing_columns, event_stats, stream_counts, family_basic, family_extra, family_sequence, family_distribution, feature_bins, first_splits, logistic_baseline, boosted_model,
+        missing_columns, event_stats, stream_counts, family_basic, family_extra, family_sequence, family_distribution, state_extra, state_distribution, state_scores, feature_bins, first_splits, logistic_baseline, boosted_model,
     )
 }

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from rowtide.functions import scalar
 from rowtide.learn.binning import Matrix
 from rowtide.learn.boosting import Boosting, boost
+from rowtide.learn.descent import LinearModel, stochastic_descent
 from rowtide.learn.forest import RandomisedTrees, randomised_trees
 from rowtide.learn.trees import Rule
 from rowtide.operators import ensemble, sampling
@@ -91,6 +92,23 @@ class Logistic:
         return [StandardScaler(inputCol="raw", outputCol="features", withMean=True), LogisticRegression(labelCol="flag", weightCol="weight", regParam=2e-5, elasticNetParam=0.08)]
 
 
+@dataclass(frozen=True)
+class Stochastic:
+    """The same model by mini-batch stochastic descent."""
+
+    alpha: float = 2e-5
+    l1_ratio: float = 0.08
+    epochs: int = 18
+    tolerance: float = 1e-4
+    batches: int = 16
+    name: str = "sgd_baseline"
+    most_weight: float | None = None
+    multiplier: float | None = None
+
+    def fit(self, rows: DataFrame, features: list[str], seed: int) -> LinearModel:
+        return stochastic_descent(rows, features, self.alpha, self.l1_ratio, self.epochs, seed, self.batches, tolerance=self.tolerance)
+
+
 @dataclass(frozen=True)
 class Forest:
     """Extremely randomised trees over the first ``first`` features; ``depth``: None for as deep as they grow."""
@@ -113,6 +131,7 @@ class Forest:
 
 
 LOGISTIC = Logistic()
+STOCHASTIC = Stochastic()
 FOREST = Forest()
 
 
@@ -126,14 +145,16 @@ def weighted(train: DataFrame, config) -> DataFrame:
     return train.withColumn("weight", w)
 
 
-Model = Boosting | RandomisedTrees | PipelineModel
+Model = Boosting | RandomisedTrees | LinearModel | PipelineModel
 
 
 def fit(train: DataFrame, features: list[str], config, seed: int) -> Model:
     """Fit on rows with ``id``, ``flag`` (and ``is_validation``, which stops boosting early; other models leave those rows out)."""
     rows = weighted(train, config)
-    if isinstance(config, Logistic):
+    if isinstance(config, Logistic | Stochastic):
         rows = rows.where(~F.col("is_validation")) if "is_validation" in train.columns else rows
+        if isinstance(config, Stochastic):
+            return config.fit(rows, features, seed)
         return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="raw", handleInvalid="keep"), *config.stages(seed)]).fit(rows)
     matrix = Matrix.write(rows, features[: config.first] if isinstance(config, Forest) else features, config.bins)
     try:

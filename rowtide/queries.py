@@ -326,6 +326,10 @@ def logistic_baseline(spark: SparkSession, d: str) -> DataFrame:
     return models.validate(spark, _signalled(spark, d), models.LOGISTIC, SEED, least=0.85)
 
 
+def stochastic_baseline(spark: SparkSession, d: str) -> DataFrame:
+    return models.validate(spark, _signalled(spark, d), models.STOCHASTIC, SEED, least=0.85)
+
+
 def boosted_model(spark: SparkSession, d: str) -> DataFrame:
     """The first boosted model with its own parameters."""
     return models.validate(spark, _signalled(spark, d), models.CONFIGS["hgb_baseline"], SEED, least=0.85)
@@ -548,6 +552,6 @@ QUERIES = {
         basic_stats, loan_count, paym_status_counts, paym_summary, bucket_counts, bucket_counts_tall, dist_counts_tall, bucket_props, recent_stats_k, payment_agg, cross_counts, cross_counts_tall, cross_props,
         last_onehot, recent_props_k, seq_pivot, seq_delta, id_norm, target_join, effect_size_sample, effect_size_pop, top_n_must_keep, joint_top_n, family_top_n, stratified_split, training_sample, neg_undersample,
         bounded_sample, id_tail_split, class_weights, roc_auc, logit_blend, weight_grid2, weight_grid3, calibrate_prior, family_join, semi_join_sample, submission_left_join, submission_checks, submission_format,
-        missing_columns, event_stats, stream_counts, family_basic, family_extra, family_sequence, family_distribution, state_extra, state_distribution, state_scores, feature_bins, first_splits, logistic_baseline, boosted_model,
+        missing_columns, event_stats, stream_counts, family_basic, family_extra, family_sequence, family_distribution, state_extra, state_distribution, state_scores, feature_bins, first_splits, logistic_baseline, stochastic_baseline, boosted_model,
     )
 }

@@ -13,8 +13,9 @@ Small nodes are compared exhaustively by their bytes; what may be similar is con
 the components they make, which saves most of them. First each class confirms its best partner, and members of large nodes
 their node's pivot, the member most like the node's average: large nodes are cut into blocks for that, each names its best
 candidate and the best of these is the pivot. Then only pairs that still lie in different components are looked at: all
-of them in small nodes; in large nodes where nearly all is one component, the few others against all; other large nodes
-branch on. Large groups of texts just below the similarity give many pairs that 128 bytes cannot tell from links, so members
+of them in small nodes; in large nodes where nearly all is one component, the few others against all; in large nodes whose
+members agree so much that branching would leave no less to compare, all outside the largest component against all; other large
+nodes branch on. Large groups of texts just below the similarity give many pairs that 128 bytes cannot tell from links, so members
 of large nodes also have their ``FINE`` lowest shingle hashes: short sets are whole in them, longer ones well estimated.
 """
 
@@ -272,6 +273,34 @@ def _likeness(low: np.ndarray) -> np.ndarray:
     return same / COORDINATES
 
 
+def agreements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, agree, pairs) of each block: equal bytes and pairs of its members, from how often each byte occurs."""
+    for starts, sizes, rows in _groups(batches):
+        low, node = _bytes(rows.column("bytes")), rows.column("node").to_numpy()
+        at = np.arange(COORDINATES) << 8
+        agree = [int((n * (n - 1)).sum()) / 2 / COORDINATES for n in (np.bincount((low[i : i + size] + at).ravel()) for i, size in zip(starts, sizes, strict=True))]
+        yield pa.RecordBatch.from_arrays([pa.array(node[starts]), pa.array(agree), pa.array(sizes * (sizes - 1) // 2)], ["node", "agree", "pairs"])
+
+
+def branching(nodes: DataFrame, sketch: DataFrame, level: int) -> DataFrame:
+    """``nodes`` (node, member, size ...) with ``branch``: whether to branch on leaves less to compare than the node itself has.
+
+    Members that agree in a share s of their bytes meet SUBTREES (5/4 s)^L times on average below a node with L levels to come.
+    Members of one large group agree in most, so branching would only multiply their rows. s is the mean over the pairs of the
+    node's blocks of about ``BLOCK`` members, each member in one.
+    """
+    blocks = F.floor(F.col("size") / BLOCK) + 1
+    block = F.xxhash64("node", F.pmod(F.xxhash64("member", "node"), blocks))
+    keyed = nodes.join(sketch, "member").select(block.alias("node"), "member", "bytes")
+    found = _together(keyed, "node").mapInArrow(agreements, "node long, agree double, pairs long")
+    large = nodes.select("node", "size", block.alias("block")).distinct().join(found.withColumnRenamed("node", "block"), "block")
+    share = F.coalesce(F.try_divide(F.sum("agree"), F.sum("pairs")), F.lit(0.0))
+    times = (SUBTREES if level == 0 else 1) * F.pow(1.25 * share, F.lit(MORE_LEVELS - level))
+    judged = cut(large.groupBy("node").agg(F.max("size").alias("size"), (times < 1).alias("branch")))
+    often = common(judged, "node", "size", _total(judged))
+    return join_by(nodes, "node", judged.select("node", "branch"), "node", often)
+
+
 def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pairs within nodes that look similar and have different labels."""
     for starts, sizes, rows in _groups(batches):
@@ -436,7 +465,6 @@ def _marked(docs: DataFrame, words: int, percent: int) -> DataFrame:
     by_level: list[DataFrame] = []
     fine = None
     for level in range(MORE_LEVELS + 1):
-        few = F.col("size") - F.col("most") <= F.greatest(F.lit(SMALL), F.col("size") / 16)
         compared = _together(open_.where(F.col("size") <= SMALL).join(sketch, "member").select("node", "member", "bytes", "label"), "node").mapInArrow(apart, "a long, b long")
         dense = open_.where(F.col("size") > SMALL)
         if dense.isEmpty():
@@ -445,11 +473,15 @@ def _marked(docs: DataFrame, words: int, percent: int) -> DataFrame:
         if fine is None:
             # children hold no other members
             fine = finer(docs, dense.select("member").distinct(), words)
-        left = dense.where(~few) if level < MORE_LEVELS else dense.limit(0)
+        many = F.col("size") - F.col("most") > F.greatest(F.lit(SMALL), F.col("size") / 16)
+        judged = cut(branching(dense.where(many), sketch, level)) if level < MORE_LEVELS else dense.limit(0).withColumn("branch", F.lit(False))
+        direct = dense.where(~many).unionByName(judged.where("not branch").drop("branch")) if level < MORE_LEVELS else dense
         # each level is written by itself, so that no plan holds several
-        by_level.append(cut(compared.union(_others(dense.where(few) if level < MORE_LEVELS else dense, sketch, fine, percent)).distinct()))
-        if level < MORE_LEVELS:
-            open_ = divided(cut(deeper(left, classes, 1 if level else SUBTREES)))
+        by_level.append(cut(compared.union(_others(direct, sketch, fine, percent)).distinct()))
+        left = judged.where("branch").drop("branch")
+        if left.isEmpty():
+            break
+        open_ = divided(cut(deeper(left, classes, 1 if level else SUBTREES)))
     second = cut(functools.reduce(DataFrame.union, by_level).distinct().join(first, ["a", "b"], "left_anti"))
     more = cut(confirmed(second, docs, words, percent))
     if not more.isEmpty():

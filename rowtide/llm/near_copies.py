@@ -245,7 +245,8 @@ def _starts(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, pa.RecordBatch]:
 
 
 def best_partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each member's best partner in its block (a, b, shown), and each block's candidate for its node's pivot (a = b)."""
+    """Each member's best partner in its block (a, b, shown), and each block's candidate for its node's pivot (a = b), with the number
+    of the block's pairs and their shares of equal bytes, added up (``agree``)."""
     for starts, sizes, rows in _groups(batches):
         ids, low, node = rows.column("member").to_numpy(), _bytes(rows.column("bytes")), rows.column("node").to_numpy()
         out: list[tuple] = []
@@ -260,9 +261,10 @@ def best_partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 to = like.argmax(2)
                 x, y, shown = np.take_along_axis(members, to, 1).ravel(), members.ravel(), like.max(2).ravel()
                 keep = shown >= SHOWN
-                out.append((ids[x[keep]], ids[y[keep]], shown[keep], node[y[keep]]))
-                out.append((ids[pivot], ids[pivot], total.max(1) / size, node[pivot]))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["a", "b", "shown", "node"])
+                none = np.zeros(int(keep.sum()))
+                out.append((ids[x[keep]], ids[y[keep]], shown[keep], node[y[keep]], none, none.astype(np.int64)))
+                out.append((ids[pivot], ids[pivot], total.max(1) / size, node[pivot], (total.sum(1) - size) / 2, np.full(len(at), size * (size - 1) // 2, np.int64)))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["a", "b", "shown", "node", "agree", "pairs"])
 
 
 def _likeness(low: np.ndarray) -> np.ndarray:
@@ -273,32 +275,14 @@ def _likeness(low: np.ndarray) -> np.ndarray:
     return same / COORDINATES
 
 
-def agreements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, agree, pairs) of each block: equal bytes and pairs of its members, from how often each byte occurs."""
-    for starts, sizes, rows in _groups(batches):
-        low, node = _bytes(rows.column("bytes")), rows.column("node").to_numpy()
-        at = np.arange(COORDINATES) << 8
-        agree = [int((n * (n - 1)).sum()) / 2 / COORDINATES for n in (np.bincount((low[i : i + size] + at).ravel()) for i, size in zip(starts, sizes, strict=True))]
-        yield pa.RecordBatch.from_arrays([pa.array(node[starts]), pa.array(agree), pa.array(sizes * (sizes - 1) // 2)], ["node", "agree", "pairs"])
-
+def branches(agree: Column, pairs: Column) -> Column:
+    """Whether to branch on below a large node leaves less to compare than the node itself has.
 
-def branching(nodes: DataFrame, sketch: DataFrame, level: int) -> DataFrame:
-    """``nodes`` (node, member, size ...) with ``branch``: whether to branch on leaves less to compare than the node itself has.
-
-    Members that agree in a share s of their bytes meet SUBTREES (5/4 s)^L times on average below a node with L levels to come.
-    Members of one large group agree in most, so branching would only multiply their rows. s is the mean over the pairs of the
-    node's blocks of about ``BLOCK`` members, each member in one.
+    Pairs that agree in a share s of their bytes meet SUBTREES (5/4 s)^MORE_LEVELS times on average at the deepest level; s is the
+    mean over the pairs of the node's blocks. Members of one large group agree in most, so branching would only multiply them.
     """
-    blocks = F.floor(F.col("size") / BLOCK) + 1
-    block = F.xxhash64("node", F.pmod(F.xxhash64("member", "node"), blocks))
-    keyed = nodes.join(sketch, "member").select(block.alias("node"), "member", "bytes")
-    found = _together(keyed, "node").mapInArrow(agreements, "node long, agree double, pairs long")
-    large = nodes.select("node", "size", block.alias("block")).distinct().join(found.withColumnRenamed("node", "block"), "block")
-    share = F.coalesce(F.try_divide(F.sum("agree"), F.sum("pairs")), F.lit(0.0))
-    times = (SUBTREES if level == 0 else 1) * F.pow(1.25 * share, F.lit(MORE_LEVELS - level))
-    judged = cut(large.groupBy("node").agg(F.max("size").alias("size"), (times < 1).alias("branch")))
-    often = common(judged, "node", "size", _total(judged))
-    return join_by(nodes, "node", judged.select("node", "branch"), "node", often)
+    share = F.coalesce(F.try_divide(F.sum(agree), F.sum(pairs)), F.lit(0.0))
+    return SUBTREES * F.pow(1.25 * share, F.lit(MORE_LEVELS)) < 1
 
 
 def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -448,14 +432,15 @@ def _marked(docs: DataFrame, words: int, percent: int) -> DataFrame:
     # the blocks of one node need not stay together, but each must
     block_id = F.when(F.col("size") <= BLOCK, F.col("node")).otherwise(F.xxhash64("node", "block"))
     keyed = blocks.join(sketch, "member").select(block_id.alias("node"), "member", "bytes")
-    found = cut(_together(keyed, "node").mapInArrow(best_partners, "a long, b long, shown double, node long"))
+    found = cut(_together(keyed, "node").mapInArrow(best_partners, "a long, b long, shown double, node long, agree double, pairs long"))
     best = found.where("a <> b").groupBy("b").agg(F.max_by("a", F.struct("shown", -F.col("a"))).alias("a"))
     first = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     large = blocks.where(F.col("size") > SMALL).select("node", "member", "size", block_id.alias("block"))
-    candidates = found.where("a = b").select(F.col("node").alias("block"), F.col("a").alias("pivot"), "shown")
-    pivots = large.select("node", "block").distinct().join(candidates, "block").groupBy("node").agg(F.max(F.struct("shown", "pivot")).alias("p"))
-    often = common(large.groupBy("node").agg(F.max("size").alias("size")), "node", "size", nodes.count())
-    pivoted = join_by(large.select("node", "member"), "node", cut(pivots), "node", often).groupBy("member").agg(F.max("p")["pivot"].alias("pivot")).where("member <> pivot")
+    candidates = found.where("a = b").select(F.col("node").alias("block"), F.col("a").alias("pivot"), "shown", "agree", "pairs")
+    of_blocks = large.select("node", "block").distinct().join(candidates, "block")
+    pivots = cut(of_blocks.groupBy("node").agg(F.max(F.struct("shown", "pivot")).alias("p"), branches(F.col("agree"), F.col("pairs")).alias("branch")))
+    often = cut(common(large.groupBy("node").agg(F.max("size").alias("size")), "node", "size", nodes.count()))
+    pivoted = join_by(large.select("node", "member"), "node", pivots.select("node", "p"), "node", often).groupBy("member").agg(F.max("p")["pivot"].alias("pivot")).where("member <> pivot")
     first = cut(first.union(pivoted.select(F.least("member", "pivot").alias("a"), F.greatest("member", "pivot").alias("b"))).distinct())
     links = cut(confirmed(first, docs, words, percent))
     labels = components(links)
@@ -474,14 +459,14 @@ def _marked(docs: DataFrame, words: int, percent: int) -> DataFrame:
             # children hold no other members
             fine = finer(docs, dense.select("member").distinct(), words)
         many = F.col("size") - F.col("most") > F.greatest(F.lit(SMALL), F.col("size") / 16)
-        judged = cut(branching(dense.where(many), sketch, level)) if level < MORE_LEVELS else dense.limit(0).withColumn("branch", F.lit(False))
-        direct = dense.where(~many).unionByName(judged.where("not branch").drop("branch")) if level < MORE_LEVELS else dense
+        direct, left = (dense.where(~many), dense.where(many)) if level < MORE_LEVELS else (dense, dense.limit(0))
+        if level == 0:
+            judged = cut(join_by(left, "node", pivots.select("node", "branch"), "node", often))
+            direct, left = direct.unionByName(judged.where("not branch").drop("branch")), judged.where("branch").drop("branch")
         # each level is written by itself, so that no plan holds several
         by_level.append(cut(compared.union(_others(direct, sketch, fine, percent)).distinct()))
-        left = judged.where("branch").drop("branch")
-        if left.isEmpty():
-            break
-        open_ = divided(cut(deeper(left, classes, 1 if level else SUBTREES)))
+        if level < MORE_LEVELS:
+            open_ = divided(cut(deeper(left, classes, 1 if level else SUBTREES)))
     second = cut(functools.reduce(DataFrame.union, by_level).distinct().join(first, ["a", "b"], "left_anti"))
     more = cut(confirmed(second, docs, words, percent))
     if not more.isEmpty():

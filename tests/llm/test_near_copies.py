@@ -6,7 +6,9 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from rowtide.llm import near_copies
 from rowtide.llm.components import components
@@ -99,31 +101,22 @@ def test_links_in_large_nodes_that_branch_on(spark):
 
 
 def test_nodes_of_like_members_are_not_branched_on(spark):
+    """By the shares of equal bytes of all pairs of their blocks."""
     rng = np.random.default_rng(3)
-    like = rng.integers(0, 256, near_copies.COORDINATES, np.uint8)
-    low = {m: np.where(rng.random(near_copies.COORDINATES) < 0.1, rng.integers(0, 256, near_copies.COORDINATES), like).astype(np.uint8) for m in range(300)}
-    low |= {m: rng.integers(0, 256, near_copies.COORDINATES, dtype=np.uint8) for m in range(300, 500)}
-    sketch = spark.createDataFrame([(m, bytearray(x.tobytes())) for m, x in low.items()], "member long, bytes binary")
-    nodes = spark.createDataFrame([(7, m, 300) for m in range(300)] + [(8, m, 200) for m in range(300, 500)], "node long, member long, size long")
-    for level in range(near_copies.MORE_LEVELS):
-        judged = near_copies.branching(nodes, sketch, level).collect()
-        assert len(judged) == 500
-        assert {r.node: r.branch for r in judged} == {7: False, 8: True}
-
-
-def test_agreements_are_those_of_all_pairs():
-    import pyarrow as pa
-
-    rng = np.random.default_rng(4)
-    low = rng.integers(0, 3, (9, near_copies.COORDINATES), dtype=np.uint8)
-    node = [1] * 4 + [2] + [5] * 4
-    batch = pa.RecordBatch.from_arrays([pa.array(node), pa.array(range(9)), pa.array([x.tobytes() for x in low], pa.binary())], ["node", "member", "bytes"])
-    got = {n: (a, p) for b in near_copies.agreements(iter([batch])) for n, a, p in zip(*(c.to_pylist() for c in b.columns), strict=True)}
-    for n in (1, 2, 5):
+    like = rng.integers(0, 256, near_copies.COORDINATES)
+    alike = [np.where(rng.random(near_copies.COORDINATES) < 0.1, rng.integers(0, 256, near_copies.COORDINATES), like) for _ in range(60)]
+    low = np.array([*alike, *rng.integers(0, 256, (40, near_copies.COORDINATES))], np.uint8)
+    node = [7] * 60 + [8] * 40
+    batch = pa.RecordBatch.from_arrays([pa.array(node), pa.array(range(100)), pa.array([x.tobytes() for x in low], pa.binary())], ["node", "member", "bytes"])
+    found = [r for b in near_copies.best_partners(iter([batch])) for r in b.to_pylist()]
+    blocks = {r["node"]: (r["agree"], r["pairs"]) for r in found if r["a"] == r["b"]}
+    for n in (7, 8):
         of = [k for k, x in enumerate(node) if x == n]
         pairs = [(low[i] == low[j]).mean() for i in of for j in of if i < j]
-        assert got[n][1] == len(pairs)
-        assert got[n][0] == pytest.approx(sum(pairs))
+        assert blocks[n] == (pytest.approx(sum(pairs)), len(pairs))
+    table = spark.createDataFrame([(r["node"], r["agree"], r["pairs"]) for r in found], "node long, agree double, pairs long")
+    judged = table.groupBy("node").agg(near_copies.branches(F.col("agree"), F.col("pairs")).alias("branch"))
+    assert {r.node: r.branch for r in judged.collect()} == {7: False, 8: True}
 
 
 def test_trees_hold_the_missed_share_at_the_deepest_level():

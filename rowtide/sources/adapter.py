@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from rowtide.sources import colocated
+from rowtide.sources.shared import new_folder
 
 _MODULUS = {
     "pre_since_opened": "(l_partkey + l_suppkey) % 20", "pre_since_confirmed": "(l_orderkey + l_suppkey) % 18", "pre_pterm": "(l_partkey + l_linenumber) % 18",
@@ -20,6 +24,9 @@ _MODULUS = {
 _ZERO = {"is_zero_loans5": "pre_loans5", "is_zero_loans530": "pre_loans530", "is_zero_loans3060": "pre_loans3060", "is_zero_loans6090": "pre_loans6090", "is_zero_loans90": "pre_loans90", "is_zero_util": "pre_util", "is_zero_over2limit": "pre_over2limit", "is_zero_maxover2limit": "pre_maxover2limit"}
 _CODES = {**_MODULUS, **{c: f"CASE WHEN {_MODULUS[of]} = 0 THEN 1 ELSE 0 END" for c, of in _ZERO.items()}}
 
+#: Columns of the order tables that codes are made of.
+_RAW = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus")
+
 #: Runs on Spark and on other engines alike: only the input is shared with the SQL that checks the queries.
 HISTORY_SQL = (
     "SELECT o.o_custkey AS id, CAST(ROW_NUMBER() OVER (PARTITION BY o.o_custkey ORDER BY l.l_shipdate, l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey) AS INT) AS rn, "
@@ -33,8 +40,32 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The few order columns dealt by id, and numbered there. The session's shuffle partitions are kept as they are: merged by their
+    narrow rows, they would be too large for what aggregations by id hold."""
+    raw = spark.sql(f"SELECT o.o_custkey AS id, {', '.join(_RAW)}, l.l_shipdate FROM {{lineitem}} l JOIN {{orders}} o ON l.l_orderkey = o.o_orderkey", lineitem=_table(spark, sf_dir, "lineitem"), orders=_table(spark, sf_dir, "orders"))
+    order = Window.partitionBy("id").orderBy("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    return raw.repartition(_parts(spark), "id").withColumn("rn", F.row_number().over(order))
+
+
+def _parts(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _coded(numbered: DataFrame) -> DataFrame:
+    return numbered.selectExpr("id", "rn", *(f"CAST({x} AS INT) AS {c}" for c, x in _CODES.items()))
+
+
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(HISTORY_SQL, lineitem=_table(spark, sf_dir, "lineitem"), orders=_table(spark, sf_dir, "orders"))
+    """The rows of ``HISTORY_SQL``. Order columns are dealt by id first and codes are computed after that: one narrow shuffle serves
+    whatever is grouped by id afterwards, and neither a row's codes nor the hundreds of counts that an aggregation before a shuffle
+    makes of it travel."""
+    return _coded(_numbered(spark, sf_dir))
+
+
+def kept_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, for several aggregations: order columns and numbers are written once, in a table bucketed by id."""
+    return _coded(colocated.write(_numbered(spark, sf_dir).drop("l_shipdate"), new_folder(spark, "history"), _parts(spark), dealt=True))
 
 
 def target(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def basic_stats(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(features.by_entity(adapter.history(spark, d), features.column_stats(STATS_OF)))
+    return rounded(features.by_entity(adapter.kept_history(spark, d), features.column_stats(STATS_OF), features.STATS_AT_ONCE))
 
 
 def loan_count(spark: SparkSession, d: str) -> DataFrame:
@@ -106,7 +106,7 @@ def id_norm(spark: SparkSession, d: str) -> DataFrame:
 
 
 def family_basic(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(features.basic(adapter.history(spark, d))).withColumn("id_norm", F.col("id_norm").cast("double"))
+    return rounded(features.basic(adapter.kept_history(spark, d))).withColumn("id_norm", F.col("id_norm").cast("double"))
 
 
 def family_extra(spark: SparkSession, d: str) -> DataFrame:
@@ -147,7 +147,7 @@ def target_join(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _labelled(spark: SparkSession, d: str) -> DataFrame:
-    stats = features.by_entity(adapter.history(spark, d), features.column_stats(STATS_OF))
+    stats = features.by_entity(adapter.kept_history(spark, d), features.column_stats(STATS_OF), features.STATS_AT_ONCE)
     return scoring.attach_target(stats, adapter.target(spark, d))
 
 

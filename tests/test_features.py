@@ -102,3 +102,22 @@ def test_empty_history(spark):
     assert features.by_entity(empty, features.column_stats(["pre_util"])).collect() == []
     assert features.sequence(empty, ["pre_util"], 3).collect() == []
     assert features.tall_counts(empty, {"pre_util": range(3)}).collect() == []
+
+
+def test_aggregations_in_parts_are_the_whole_one(spark, history):
+    columns = features.column_stats(["pre_util", "enc_loans_credit_status", "enc_loans_credit_type"])
+    whole, parts = features.by_entity(history, columns), features.by_entity(history, columns, 5)
+    assert parts.columns == whole.columns
+    assert by_id(parts) == by_id(whole)
+    plan = parts._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [id") == 3
+
+
+def test_effect_sizes_compile_one_projection(spark):
+    from rowtide.operators import scoring
+
+    names = [f"x{k}" for k in range(150)]
+    rows = spark.createDataFrame([(k, k % 2, *[float(k * j % 7) for j in range(150)]) for k in range(20)], ["id", "flag", *names])
+    scores = scoring.effect_sizes(rows)
+    assert "Expand" not in scores._jdf.queryExecution().executedPlan().toString()
+    assert {r.feature for r in scores.collect()} == set(names)

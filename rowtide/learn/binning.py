@@ -13,12 +13,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowtide.sources.shared import new_folder
 
-#: Rank error of a quantile is a row in so many; below so many rows, quantiles are exact.
+#: Rank error of a sketched quantile is a row in so many; below so many rows, sketches are exact; from there on, they are made exact.
 ACCURACY = 10_000
 #: Bytes of codes that a file of the matrix holds about.
 FILE_BYTES = 32 << 20
@@ -28,15 +28,77 @@ ROWS = "id long, flag int, weight double, stop boolean, margin double, bins bina
 def bin_edges(table: DataFrame, features: list[str], bins: int) -> list[np.ndarray]:
     """Upper ends of each feature's bins but the last: the distinct ``i / bins`` quantiles (the smallest value with so large a share
     at or below it), so there are ``bins`` bins at most. All features are sketched in one aggregation, partial before its shuffle."""
-    at = ", ".join(f"{i / bins}D" for i in range(1, bins))
+    # each quantile between two others so near that the exact one lies between them, and few rows do
+    at = ", ".join(f"{i / bins + off:.12f}D" if off else f"{i / bins}D" for i in range(1, bins) for off in (-2 / ACCURACY, 0, 2 / ACCURACY))
     # NaN is a missing value, and would be the greatest of all
     sketches = [F.expr(f"percentile_approx(CASE WHEN NOT isnan(`{c}`) THEN CAST(`{c}` AS DOUBLE) END, array({at}), {ACCURACY}) AS `e{k}`") for k, c in enumerate(features)]
-    found = table.agg(*sketches, *(F.expr(f"max(CASE WHEN NOT isnan(`{c}`) THEN CAST(`{c}` AS DOUBLE) END) AS `m{k}`") for k, c in enumerate(features))).first()
-    out = []
-    for k in range(len(features)):
-        edges = np.unique(np.array(found[f"e{k}"] or [], float) + 0.0)
-        out.append(edges[edges < found[f"m{k}"]] if len(edges) else edges)  # nothing lies above the greatest value
-    return out
+    greatest = (F.expr(f"max(CASE WHEN NOT isnan(`{c}`) THEN CAST(`{c}` AS DOUBLE) END) AS `m{k}`") for k, c in enumerate(features))
+    found = table.agg(*sketches, *greatest, F.count(F.lit(1)).alias("rows")).first()
+    exact = found["rows"] < ACCURACY
+    near = [np.unique(np.array((found[f"e{k}"] or [])[1::3] if exact else found[f"e{k}"] or [], float) + 0.0) for k in range(len(features))]
+    if not exact:
+        near = _exact(table, features, bins, near)
+    # nothing lies above the greatest value
+    return [edges[edges < found[f"m{k}"]] if len(edges) else edges for k, edges in enumerate(near)]
+
+
+def _exact(table: DataFrame, features: list[str], bins: int, near: list[np.ndarray]) -> list[np.ndarray]:
+    """The quantiles themselves, from sketched ones.
+
+    The sketched values divide each feature into gaps. A first pass counts the rows in each gap and at each sketched value, so that the
+    driver knows in which a quantile lies, and how many rows lie below. Only those quantiles that are no sketched value need a
+    second pass: the values of their gaps, a few ten-thousandths of the rows, are counted, a group for each gap.
+    """
+    names = [f"f{k}" for k in range(len(features))]
+    own = table.select(*(F.col(f"`{c}`").cast("double").alias(f) for c, f in zip(features, names, strict=True)))
+
+    def places(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Values, and the place of each: 2 j for the gap below sketched value j, 2 j + 1 for that value."""
+        x = np.asarray(batch.column(k).to_numpy(zero_copy_only=False), float)
+        x = x[~np.isnan(x)] + 0.0
+        return x, np.searchsorted(near[k], x, "left") + np.searchsorted(near[k], x, "right")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = [np.zeros(2 * len(e) + 1, np.int64) for e in near]
+        for batch in batches:
+            for k in range(len(near)):
+                sums[k] += np.bincount(places(batch, k)[1], minlength=len(sums[k]))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums)), pa.int32()), pa.array([s.tolist() for s in sums], pa.list_(pa.int64()))], ["k", "n"])
+
+    counted = own.mapInArrow(count, "k int, n array<long>").select("k", F.posexplode("n").alias("place", "n")).groupBy("k", "place").agg(F.sum("n").alias("n"))
+    sizes = [np.zeros(2 * len(e) + 1, np.int64) for e in near]
+    for r in counted.collect():  # places of all features
+        sizes[r.k][r.place] = r.n
+    out: list[set[float]] = [set() for _ in near]
+    wanted: list[tuple[int, int, int]] = []  # feature, gap, rank within the gap
+    for k, n in enumerate(sizes):
+        upto, rows = np.cumsum(n), int(n.sum())
+        for i in range(1, bins) if rows else ():
+            rank = max(1, -(-rows * i // bins))
+            place = int(np.searchsorted(upto, rank, "left"))
+            if place % 2:
+                out[k].add(float(near[k][place // 2]))
+            else:
+                wanted.append((k, place, rank - int(upto[place - 1] if place else 0)))
+    if wanted:
+        gaps: dict[int, list[int]] = {}
+        for k, place, _ in wanted:
+            gaps.setdefault(k, []).append(place)
+
+        def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for k, of in gaps.items():
+                    x, at = places(batch, k)
+                    kept = np.isin(at, of)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(int(kept.sum()), k), pa.int32()), pa.array(at[kept], pa.int32()), pa.array(x[kept])], ["k", "place", "x"])
+
+        values = own.mapInArrow(inside, "k int, place int, x double").groupBy("k", "place", "x").agg(F.count(F.lit(1)).alias("n"))
+        order = Window.partitionBy("k", "place").orderBy("x")
+        last = values.withColumn("upto", F.sum("n").over(order))
+        ranks = F.broadcast(table.sparkSession.createDataFrame(sorted(set(wanted)), "k int, place int, rank long"))  # one row for each quantile
+        for r in last.join(ranks, ["k", "place"]).where("rank <= upto AND rank > upto - n").collect():
+            out[r.k].add(r.x)
+    return [np.array(sorted(e)) for e in out]
 
 
 def codes_of(values: np.ndarray, edges: np.ndarray) -> np.ndarray:

@@ -258,3 +258,11 @@ def test_edge_tables(spark):
     with pytest.raises(ValueError, match="bins"):
         Matrix.write(table(spark, x, y, w), FEATURES, 255)
     assert Tree().feature == []
+
+
+def test_edges_of_many_rows_are_exact(spark):
+    rng = np.random.default_rng(3)
+    x = np.column_stack([rng.normal(size=30_000), np.round(rng.normal(size=30_000), 1), np.where(rng.random(30_000) < 0.3, np.nan, rng.random(30_000))])
+    rows = spark.createDataFrame([tuple(None if math.isnan(v) else float(v) for v in r) for r in x], "a double, b double, c double").repartition(6)
+    for got, want in zip(binning.bin_edges(rows, ["a", "b", "c"], 64), plain_edges(x, 64), strict=True):
+        assert got.tolist() == want.tolist()

@@ -1,4 +1,4 @@
-"""The four feature families, each one aggregation by entity (and one over its latest rows).
+"""The four feature families, each one aggregation by entity (and one over its latest rows); the extra family is one tally.
 
 A history has ``id``, ``rn`` (event order, the greatest is the latest) and coded columns. Rows without an id are left out.
 All-history features are one hash aggregation, partial before its shuffle, so an entity with very many rows is no burden on
@@ -10,10 +10,13 @@ from __future__ import annotations
 from collections.abc import Iterable
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowtide.functions import scalar, vocab
+from rowtide.operators import tallies
 
 
 #: Rows of an entity, as SQL: what shares are shares of.
@@ -147,22 +150,78 @@ def basic(history: DataFrame) -> DataFrame:
     return by_entity(history, columns, STATS_AT_ONCE).withColumn("id_norm", id_norm())
 
 
-def extra(history: DataFrame) -> DataFrame:
+def layout(counted: dict[str, list[int]], crosses: dict[str, tuple[str, int, str, int]], measured: list[str], recent: list[str] = (), rows: int = 0) -> tallies.Layout:
+    """What to count of a history: codes, crosses (after them), moments of columns and payment measures, latest rows."""
+    pairs = {x: [a * 10 + b for a in range(n) for b in range(m)] for x, (_, n, _, m) in crosses.items()}
+    needs = (*vocab.PAYMENTS, *(c for left, _, right, _ in crosses.values() for c in (left, right)))
+
+    def derive(held: dict[str, tallies.Numbers]) -> dict[str, tallies.Numbers]:
+        return payments_of(held) | {x: _pair(held[left], held[right]) for x, (left, _, right, _) in crosses.items()}
+
+    return tallies.Layout({**counted, **pairs}, list(measured), list(recent), rows, needs, (*MEASURES, *crosses), derive)
+
+
+def _pair(left: tallies.Numbers, right: tallies.Numbers) -> tallies.Numbers:
+    """As :func:`scalar.cross_code`."""
+    there = [x for x in (left[1], right[1]) if x is not None]
+    return left[0].astype(np.int64) * 10 + right[0].astype(np.int64), np.logical_and.reduce(there) if there else None
+
+
+def payments_of(held: dict[str, tallies.Numbers]) -> dict[str, tallies.Numbers]:
+    """The measures of :func:`payment_measures` of a batch's columns: as expressions they are too many for compiled code."""
+    x = np.stack([held[c][0].astype(np.float64) for c in vocab.PAYMENTS])
+    full = np.ones(x.shape[1], bool)
+    there = np.stack([full if held[c][1] is None else held[c][1] for c in vocab.PAYMENTS])
+    out = {f"paym_{name}": ((x == v) & there).sum(0) for v, name in enumerate(("zero", "one", "two", "three", "four"))}
+    nonzero, bad = ~((x == 0) & there), ((x == 1) | (x == 2)) & there
+    out |= {"paym_nonzero": nonzero.sum(0), "paym_recent_nonzero": nonzero[:6].sum(0), "paym_recent_bad12": bad[:6].sum(0), "paym_old_bad12": bad[19:].sum(0)}
+    found = {c: (v, None) for c, v in out.items()}
+    found["paym_max"] = np.where(there.any(0), np.where(there, x, -np.inf).max(0), 0.0), there.any(0)
+    for name, of in (("paym_mean", slice(None)), ("paym_recent_mean", slice(6)), ("paym_old_mean", slice(19, None))):
+        n = there[of].sum(0)
+        found[name] = np.where(there[of], x[of], 0.0).sum(0) / np.maximum(n, 1), n > 0
+    (recent, both), (old, also) = found["paym_recent_mean"], found["paym_old_mean"]
+    return found | {"paym_trend_recent_minus_old": (np.where(both & also, recent - old, 0.0), both & also)}
+
+
+_EXTRA_STATS = ("mean", "max", "std", "sum", "last")
+
+
+def _extra_names() -> list[str]:
+    codes = [f"{c}_{v}" for c, known in vocab.EXTRA_BUCKETS.items() for v in known]
+    pairs = [f"xcnt_{x}_{a * 10 + b}" for x, (_, n, _, m) in vocab.EXTRA_CROSSES.items() for a in range(n) for b in range(m)]
+    stats = [f"x{c}_{s}" for c in MEASURES for s in _EXTRA_STATS]
+    recent = [f"xrecent{k}_{c}_{s}" for k in vocab.RECENT_ROWS for c in vocab.RECENT_COLUMNS for s in ("mean", "max", "min")]
+    return [*(f"xcnt_{c}" for c in codes), *(f"xprop_{c}" for c in codes), *stats, *pairs, "xloan_count_check", *recent]
+
+
+def _extra_of(found: tallies.Tally) -> list[pa.Array]:
+    """The features of :func:`extra` from tallies, in the order of their names."""
+    k, rows, single = len(found.rows), found.rows[:, None].astype(float), sum(map(len, vocab.EXTRA_BUCKETS.values()))
+    codes, pairs = found.counts[:, :single].astype(float), found.counts[:, single:].astype(float)
+    n, some = np.maximum(found.number, 1), found.number > 0
+    stats = (found.sums / n, np.where(some, found.highest, 0.0), np.sqrt(found.squares / np.maximum(found.number - 1, 1)) * (found.number > 1), found.sums, np.where(found.at > tallies.UNKNOWN, found.last, 0.0))
+    parts = [codes, codes / rows, np.stack(stats, 2).reshape(k, -1), pairs, rows]
+    for last in vocab.RECENT_ROWS:
+        x, there = found.latest.data[:, :last], ~np.ma.getmaskarray(found.latest)[:, :last]
+        n = there.sum(1)
+        ends = (np.where(n > 0, f(np.where(there, x, fill), 1), 0.0) for f, fill in ((np.max, -np.inf), (np.min, np.inf)))
+        parts.append(np.stack((np.where(there, x, 0.0).sum(1) / np.maximum(n, 1), *ends), 2).reshape(k, -1))
+    every = np.concatenate(parts, 1)
+    return [pa.ListArray.from_arrays(pa.array(np.arange(k + 1, dtype=np.int32) * every.shape[1]), pa.array(every.ravel()))]
+
+
+def extra(history: DataFrame, dealt: bool = False, digits: int | None = None) -> DataFrame:
     """1066 features: bucket counts and shares, statistics of the latest rows, payment measures, crosses, row count.
 
-    All rows, and once more the latest ones with names of their own, are one table and one aggregation. A join of two such wide
-    aggregations would not do: the planner derives constraints from the payment measures and does not end in minutes.
+    All come from one tally of the rows, made batch by batch. ``dealt``: all rows of an id are in one task; ``digits``: round to so many.
     """
-    recent = vocab.RECENT_COLUMNS
-    used = dict.fromkeys([*vocab.EXTRA_BUCKETS, *(c for a, _, b, _ in vocab.EXTRA_CROSSES.values() for c in (a, b))])
-    whole = payment_measures(history.where("id is not null")).select("id", "rn", F.lit(1).alias("every"), *used, *MEASURES)
-    last = latest(history.select("id", "rn", *recent), max(vocab.RECENT_ROWS)).select("id", "pos", *(F.col(c).alias(f"recent_{c}") for c in recent))
-    n = "count(every)"
-    columns = [
-        *counts(vocab.EXTRA_BUCKETS, "xcnt"), *counts(vocab.EXTRA_BUCKETS, "xprop", n), *column_stats(MEASURES, ("mean", "max", "std", "sum", "last"), "x"),
-        *cross_counts(vocab.EXTRA_CROSSES, "xcnt"), F.expr(f"CAST({n} AS DOUBLE) AS xloan_count_check"), *_recent_stats(recent, list(vocab.RECENT_ROWS), "recent_"),
-    ]
-    return whole.unionByName(last, allowMissingColumns=True).groupBy("id").agg(*columns)
+    wanted = layout({c: list(codes) for c, codes in vocab.EXTRA_BUCKETS.items()}, vocab.EXTRA_CROSSES, MEASURES, vocab.RECENT_COLUMNS, max(vocab.RECENT_ROWS))
+    made = tallies.by_entity(history, wanted, _extra_of, "f array<double>", dealt)
+    if digits is not None:
+        # one expression, where a thousand take longer to compile than to run
+        made = made.selectExpr("id", f"transform(f, x -> round(x, {digits})) AS f")
+    return made.selectExpr("id", *(f"f[{k}] AS `{name}`" for k, name in enumerate(_extra_names())))
 
 
 def sequence(history: DataFrame, columns: Iterable[str] = vocab.HISTORY, rows: int = vocab.SEQUENCE_ROWS, kind: str = "SHORT") -> DataFrame:

@@ -110,7 +110,7 @@ def family_basic(spark: SparkSession, d: str) -> DataFrame:
 
 
 def family_extra(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(features.extra(adapter.history(spark, d)))
+    return features.extra(adapter.history(spark, d), dealt=True, digits=6)
 
 
 def family_sequence(spark: SparkSession, d: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowtide.functions import scalar, vocab
-from rowtide.operators import features, scoring
+from rowtide.operators import features, scoring, tallies
 from rowtide.sources import colocated, tables
 from rowtide.sources.shared import remove
 
@@ -37,25 +37,17 @@ def _codes(cross: str) -> list[int]:
 COUNTED = {x: k for k, x in enumerate([*((c, v) for c, codes in BUCKETS.items() for v in codes), *((x, v) for x in CROSSES for v in _codes(x))])}
 
 
-def totals(history: DataFrame) -> DataFrame:
-    """(id, rows, n, m): rows of each entity, how often each of ``COUNTED`` occurs, and moments of each of ``MEASURED``.
-
-    Rows without an id are left out; nulls count in ``rows`` alone; codes that are not listed are not counted.
-    """
+#: What is counted, its codes ascending, and columns with moments.
+LAYOUT = features.layout(BUCKETS, CROSSES, list(MEASURED))
 
-    def code(x: str) -> str:
-        return f"`{x}`" if x in BUCKETS else f"CAST(`{CROSSES[x][0]}` AS INT) * 10 + CAST(`{CROSSES[x][2]}` AS INT)"
 
-    def moments(c: str) -> str:
-        at = f"CASE WHEN `{c}` IS NOT NULL THEN rn END"
-        return (
-            f"named_struct('n', count(`{c}`), 's', CAST(sum(`{c}`) AS DOUBLE), 'm2', var_pop(`{c}`) * count(`{c}`), 'hi', CAST(max(`{c}`) AS DOUBLE), "
-            f"'at', CAST(max({at}) AS BIGINT), 'last', CAST(max_by(`{c}`, {at}) AS DOUBLE))"
-        )
+def totals(history: DataFrame, dealt: bool = False) -> DataFrame:
+    """(id, rows, n, m): rows of each entity, how often each of ``COUNTED`` occurs, and moments of each of ``MEASURED``.
 
-    counted = ", ".join(f"count_if({code(x)} = {v})" for x, v in COUNTED)
-    measured = ", ".join(map(moments, MEASURED))
-    return features.by_entity(features.payment_measures(history), [F.expr("count(1) AS rows"), F.expr(f"array({counted}) AS n"), F.expr(f"array({measured}) AS m")])
+    Rows without an id are left out; nulls count in ``rows`` alone; codes that are not listed are not counted. ``dealt``: all rows of
+    an id are in one task.
+    """
+    return tallies.by_entity(history, LAYOUT, dealt=dealt)
 
 
 def tails(history: DataFrame, rows: int = vocab.SEQUENCE_ROWS) -> DataFrame:
@@ -204,12 +196,13 @@ class FeatureState:
         self._version: str | None = held.get("version")
         self._tables = [colocated.read(spark, f"{self._version}/{t}", self.buckets) for t in ("totals", "tails")] if self._version else None
 
-    def add(self, batch: str, history: DataFrame) -> bool:
-        """Merge a batch of history into the state; False if a batch of that name is in it already."""
+    def add(self, batch: str, history: DataFrame, dealt: bool = False) -> bool:
+        """Merge a batch of history into the state; False if a batch of that name is in it already. ``dealt``: each task of ``history`` holds
+        the ids of one bucket of the state."""
         if batch in self.batches:
             return False
         new = f"{self.folder}/{uuid.uuid4().hex}"
-        own = [colocated.write(make(history), f"{new}-batch/{t}", self.buckets) for make, t in ((totals, "totals"), (tails, "tails"))]
+        own = [colocated.write(made, f"{new}-batch/{t}", self.buckets, dealt) for made, t in ((totals(history, dealt), "totals"), (tails(history), "tails"))]
         version = f"{new}-batch"
         if self._tables:
             merges = ((merge_totals, "totals"), (merge_tails, "tails"))

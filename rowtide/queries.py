@@ -123,9 +123,9 @@ def family_distribution(spark: SparkSession, d: str) -> DataFrame:
 
 def _state(spark: SparkSession, d: str) -> state.FeatureState:
     """The state after two batches that interleave."""
-    kept, h = state.FeatureState(spark, new_folder(spark, "state")), adapter.history(spark, d)
-    kept.add("thirds", h.where("rn % 3 = 0"))
-    kept.add("others", h.where("rn % 3 <> 0"))
+    kept, h = state.FeatureState(spark, new_folder(spark, "state")), adapter.dealt_history(spark, d)
+    kept.add("thirds", h.where("rn % 3 = 0"), dealt=True)
+    kept.add("others", h.where("rn % 3 <> 0"), dealt=True)
     return kept
 
 

@@ -40,12 +40,20 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The few order columns dealt by id, and numbered there. The session's shuffle partitions are kept as they are: merged by their
-    narrow rows, they would be too large for what aggregations by id hold."""
+def _dealt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The few order columns dealt by id. The session's shuffle partitions are kept as they are: merged by their narrow rows, they
+    would be too large for what aggregations by id hold."""
     raw = spark.sql(f"SELECT o.o_custkey AS id, {', '.join(_RAW)}, l.l_shipdate FROM {{lineitem}} l JOIN {{orders}} o ON l.l_orderkey = o.o_orderkey", lineitem=_table(spark, sf_dir, "lineitem"), orders=_table(spark, sf_dir, "orders"))
-    order = Window.partitionBy("id").orderBy("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    return raw.repartition(_parts(spark), "id").withColumn("rn", F.row_number().over(order))
+    return raw.repartition(_parts(spark), "id")
+
+
+def _number(dealt: DataFrame) -> DataFrame:
+    return dealt.withColumn("rn", F.row_number().over(Window.partitionBy("id").orderBy("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")))
+
+
+def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order columns numbered where they are dealt."""
+    return _number(_dealt(spark, sf_dir))
 
 
 def _parts(spark: SparkSession) -> int:
@@ -68,6 +76,11 @@ def kept_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _coded(colocated.write(_numbered(spark, sf_dir).drop("l_shipdate"), new_folder(spark, "history"), _parts(spark), dealt=True))
 
 
+def dealt_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, for what is not an aggregation: rows are numbered as they are read, which keeps all rows of a bucket in one task."""
+    return _coded(_number(colocated.write(_dealt(spark, sf_dir), new_folder(spark, "history"), _parts(spark), dealt=True)))
+
+
 def target(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(TARGET_SQL, customer=_table(spark, sf_dir, "customer"))
 

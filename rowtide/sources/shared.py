@@ -20,10 +20,25 @@ def shared_dir(spark: SparkSession) -> str:
     return shared_dir(spark)
 
 
+#: Spark removes the shuffle files of a query when it ends.
+_CLEANED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and go on from there, so that a lost executor costs no recomputation."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """Write ``df`` to the shared folder and go on from there, so that a lost executor costs no recomputation.
+
+    What was written is all that is read later, so the shuffle files behind it go at once: otherwise they stay until the driver
+    happens to collect garbage, and loops of many small shuffles fill the disks.
+    """
+    spark = df.sparkSession
+    shared_dir(spark)
+    before = spark.conf.get(_CLEANED)
+    spark.conf.set(_CLEANED, "true")
+    try:
+        # planned under the setting, whatever ``df`` was planned under
+        return df.select("*").checkpoint()
+    finally:
+        spark.conf.set(_CLEANED, before)
 
 
 def new_folder(spark: SparkSession, name: str) -> str:

@@ -1,8 +1,9 @@
 """Leaf-wise histogram boosting of log-odds, with one-side sampling by gradient and stopping by validation scores.
 
-A round is a job for the root's histogram and about one for each level of the tree. Margins are kept with the matrix and written anew
-every ``SNAPSHOT`` rounds; in between, tasks add the trees since then, so a job reads one table and nothing is recomputed from the
-start. The root's job also adds up the validation rows' scores (counts by class and score, which merge), so the AUC or loss of a round
+A round is a job for the root's histogram and about one for each level of the tree that has nodes of more rows than a histogram has
+bytes for. Margins are kept with the matrix and written anew every ``SNAPSHOT`` rounds; in between, the root's job adds the trees since
+then and keeps the rows' statistics in the executors' memory for the round's other jobs, so nothing is recomputed from the start.
+The root's job also adds up the validation rows' scores (counts by class and score, which merge), so the AUC or loss of a round
 costs no job of its own. Boosting ends when that has not improved for ``patience`` rounds, and goes back to the best round.
 """
 
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from rowtide.learn.binning import ROWS, Matrix, column_codes
-from rowtide.learn.trees import Batch, Rule, Tree, histograms, leaf_wise, most_slots, units
+from rowtide.learn.trees import Batch, Few, Rule, Tree, few_rows, kept_batches, kept_histograms, kept_statistics, leaf_wise, most_slots, units
 from rowtide.sources.shared import new_folder, remove
 
 #: Rounds between two tables of margins, and the number of scores that validation rows are counted by.
@@ -103,6 +104,7 @@ class Fit:
     def __init__(self, matrix: Matrix, rule: Rule, rate: float, leaves: int, columns: float, rows: float, goss: tuple[float, float] | None, by_auc: bool, seed: int):
         self.matrix, self.rule, self.rate, self.leaves, self.columns, self.share, self.goss, self.by_auc, self.seed = matrix, rule, rate, leaves, columns, rows, goss, by_auc, seed
         self.rows, self.folder, self.since = matrix.rows, None, []
+        self.batches = kept_batches(self.rows)
         self.spark: SparkSession = matrix.rows.sparkSession
         self.model = Boosting(matrix.features, matrix.edges, self._base())
 
@@ -138,6 +140,13 @@ class Fit:
         if self.folder:
             remove(self.spark, self.folder)
         self.rows, self.folder, self.since = self.spark.read.schema(ROWS).parquet(folder), folder, []
+        self.batches.unpersist()
+        self.batches = kept_batches(self.rows)
+
+    def close(self) -> None:
+        self.batches.unpersist()
+        if self.folder:
+            remove(self.spark, self.folder)
 
     def gradients(self) -> Callable[[Batch], tuple[np.ndarray, np.ndarray]]:
         margins = self.margins()
@@ -215,17 +224,25 @@ class Fit:
             loss = -np.log(np.maximum(np.where(y, p, 1 - p), 1e-15)) * w
             return np.concatenate((np.bincount(at[~y], minlength=SCORES), np.bincount(at[y], minlength=SCORES), [int(units(loss).sum()), int(units(w).sum())])).astype(np.int64)
 
-        width, slots = self.matrix.codes, most_slots(len(chosen), self.matrix.codes)
-        fetch = lambda tree, wanted, k, also=None: histograms(self.rows, every, chosen, width, statistics, [(tree, wanted)], k, also, self.matrix.files)
-        one = Tree()
-        one.add()
-        root, judged = fetch(one, {0: 0}, 1, judge)
-        auc = area(judged[: 2 * SCORES].reshape(2, -1)) if judged is not None else None
-        loss = judged[-2] / max(1, judged[-1]) if judged is not None else 0.0
-        self.model.history.append(auc if self.by_auc and auc is not None else -loss)
-        if not grow:
-            return False
-        tree = leaf_wise(root[0], lambda *x: fetch(*x)[0], chosen, self.rule, self.leaves, self.rate, slots)
+        width, few = self.matrix.codes, few_rows(len(chosen), self.matrix.codes)
+        kept = kept_statistics(self.batches, every, statistics, judge)
+
+        def fetch(tree: Tree, wanted: dict[int, int], k: int, whole: list[int]) -> tuple[np.ndarray, dict[int, Few]]:
+            return kept_histograms(kept, chosen, width, tree, wanted, k, whole)[:2]
+
+        try:
+            one = Tree()
+            one.add()
+            root, _, judged = kept_histograms(kept, chosen, width, one, {0: 0}, 1, [], 2 * SCORES + 2)
+            auc = area(judged[: 2 * SCORES].reshape(2, -1))
+            loss = judged[-2] / max(1, judged[-1])
+            self.model.history.append(auc if self.by_auc and auc is not None else -loss)
+            if not grow:
+                return False
+            # a split asks for the sums or rows of two children
+            tree = leaf_wise(root[0], fetch, chosen, self.rule, self.leaves, self.rate, max(1, most_slots(len(chosen), width) // 2), few)
+        finally:
+            kept.unpersist()
         self.model.trees.append(tree)
         self.since.append(tree)
         return len(tree.feature) > 1
@@ -261,6 +278,5 @@ def boost(
         del fit.model.trees[int(np.argmax(history)) :]
     elif fit.model.trees and len(fit.model.trees[-1].feature) == 1:
         fit.model.trees.pop()
-    if fit.folder:
-        remove(fit.spark, fit.folder)
+    fit.close()
     return fit.model

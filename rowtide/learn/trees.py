@@ -3,7 +3,8 @@
 A node's histogram has, for each feature and code, the sums of two statistics of its rows and their number, as whole numbers: sums are
 exact, so a tree does not hang on how rows are dealt, merged or computed again. A job routes rows to nodes and adds up each task's
 histograms before they travel; of two siblings only the smaller one is added up, the other is the parent's less it. Its size hangs
-on features, codes and nodes alone.
+on features, codes and nodes alone. Of a node whose rows take no more bytes than its histogram the rows travel instead: all splits below
+it then need no further job.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.sql import DataFrame
 
 from rowtide.learn.binning import unpacked
@@ -133,6 +135,89 @@ def histograms(
     return out.reshape(slots, 3, len(columns), width), more
 
 
+#: Rows of a node as they travel: codes of the chosen columns, and the two statistics.
+Few = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def few_rows(columns: int, width: int) -> int:
+    """So many rows of a node take no more bytes than its histogram."""
+    return columns * width * 24 // (columns + 16)
+
+
+def kept_batches(rows: DataFrame) -> RDD:
+    """The rows as Arrow batches in the executors' memory (or on their disks), read anew from the shared folder if one is lost."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, batch.schema) as out:
+                    out.write_batch(batch)
+                yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["data"])
+
+    return rows.mapInArrow(write, "data binary").rdd.map(lambda r: bytes(r.data)).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def kept_statistics(batches: RDD, features: int, statistics: Statistics, also: Callable[[Batch], np.ndarray]) -> RDD:
+    """Of each batch the rows that count (codes and two statistics), and ``also`` as the places and values that are not 0: kept, so
+    that the jobs of a round make them once."""
+
+    def of(data: bytes) -> tuple[np.ndarray, ...]:
+        batch = Batch.of(pa.ipc.open_stream(data).read_next_batch(), features)
+        a, b, counts = statistics(batch)
+        more = also(batch)
+        at = np.flatnonzero(more)
+        return batch.codes[counts], a[counts], b[counts], at, more[at]
+
+    return batches.map(of).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def kept_histograms(kept: RDD, columns: np.ndarray, width: int, tree: Tree, wanted: dict[int, int], slots: int, whole: list[int], judged: int = 0) -> tuple[np.ndarray, dict[int, Few], np.ndarray]:
+    """Sums of the leaves ``wanted`` as :func:`histograms` has them, the rows of the leaves ``whole``, and the sum of ``also`` over
+    all rows, of length ``judged``."""
+    slot_of = np.array([wanted.get(k, -1) for k in range(len(tree.feature))])
+
+    def part(elements: Iterator[tuple[np.ndarray, ...]]) -> Iterator[tuple[tuple[str, int], tuple[np.ndarray, ...]]]:
+        sums, more, found = np.zeros((slots if wanted else 0, 3, len(columns) * width), np.int64), np.zeros(judged, np.int64), {k: [] for k in whole}
+        for codes, a, b, at, n in elements:
+            leaf = tree.leaves(codes)
+            slot = slot_of[leaf]
+            some = np.flatnonzero(slot >= 0)
+            if len(some):
+                _count(sums, slot[some], codes[some][:, columns], a[some], b[some], width)
+            for k in whole:
+                own = np.flatnonzero(leaf == k)
+                found[k].append((codes[own][:, columns], a[own], b[own]))
+            if judged:
+                more[at] += n
+        yield from ((("sums", k), (s,)) for k, s in enumerate(sums) if s[2].any())
+        yield from ((("rows", k), _joined(x)) for k, x in found.items() if x)
+        if judged:
+            yield ("more", 0), (more,)
+
+    parts = kept.mapPartitions(part)
+    if kept.getNumPartitions() > FEW_TASKS:
+        parts = parts.groupByKey().map(_merged)
+    out, more, rows = np.zeros((slots, 3, len(columns) * width), np.int64), np.zeros(judged, np.int64), {k: [] for k in whole}
+    for (kind, k), x in parts.collect():  # sums of a bounded number of nodes, and rows that take no more
+        if kind == "rows":
+            rows[k].append(x)
+        elif kind == "sums":
+            out[k] += x[0].reshape(3, -1)
+        else:
+            more += x[0]
+    return out.reshape(slots, 3, len(columns), width), {k: _joined(x) for k, x in rows.items()}, more
+
+
+def _joined(parts: list[Few]) -> Few:
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def _merged(group: tuple) -> tuple:
+    key, values = group
+    return key, _joined(list(values)) if key[0] == "rows" else (sum(x[0] for x in values),)
+
+
 def _packed(sums: dict[int, np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], ["slot", "data"])
 
@@ -185,13 +270,15 @@ class Rule:
         return (float(gain[f, c]), f, c) if gain[f, c] > 1e-12 else None
 
 
-def leaf_wise(root: np.ndarray, fetch: Callable[[Tree, dict[int, int], int], np.ndarray], columns: np.ndarray, rule: Rule, most_leaves: int, rate: float, slots: int) -> Tree:
+def leaf_wise(root: np.ndarray, fetch: Callable[[Tree, dict[int, int], int, list[int]], tuple[np.ndarray, dict[int, Few]]], columns: np.ndarray, rule: Rule, most_leaves: int, rate: float, slots: int, few: int) -> Tree:
     """A tree grown best-first to ``most_leaves``, from the root's histogram.
 
     The queue is replayed on the driver: when its best leaf has no children yet, one job makes those of all leaves that wait, so a tree
-    takes about as many jobs as it has levels, and is the tree that splitting one leaf at a time gives.
+    takes about as many jobs as it has levels, and is the tree that splitting one leaf at a time gives. ``fetch`` also
+    takes a list of leaves of ``few`` rows at most and returns their rows beside the sums; what lies below them needs no job.
     """
     tree, queue = Tree(), []
+    own: dict[int, Few] = {}
     held: dict[int, np.ndarray] = {}
     splits: dict[int, tuple[float, int, int]] = {}
 
@@ -209,18 +296,29 @@ def leaf_wise(root: np.ndarray, fetch: Callable[[Tree, dict[int, int], int], np.
             held[node], splits[node] = sums, found
 
     def expand(nodes: list[int]) -> None:
-        wanted, pairs = {}, []
-        for slot, node in enumerate(nodes):
+        wanted, whole, pairs = {}, [], []
+        for node in nodes:
             _, f, c = splits[node]
             left, right = tree.split(node, columns[f], c)
             n = held[node][2, f]
-            small, large = (left, right) if 2 * n[: c + 1].sum() <= n.sum() else (right, left)
-            wanted[small] = slot
+            of_left, of_right = int(n[: c + 1].sum()), int(n[c + 1 :].sum())
+            small, large = (left, right) if of_left <= of_right else (right, left)
             pairs.append((node, small, large))
-        sums = fetch(tree, wanted, len(nodes))
+            if node in own:
+                codes, a, b = own.pop(node)
+                to = codes[:, f] <= c
+                own[left], own[right] = (codes[to], a[to], b[to]), (codes[~to], a[~to], b[~to])
+                continue
+            whole += [k for k, rows in ((left, of_left), (right, of_right)) if rows <= few]
+            if min(of_left, of_right) > few:
+                wanted[small] = len(wanted)
+        if wanted or whole:
+            sums, found = fetch(tree, wanted, len(wanted), whole)
+            own.update(found)
         for node, small, large in pairs:
-            known(small, sums[wanted[small]])
-            known(large, held.pop(node) - sums[wanted[small]])
+            part = sums[wanted[small]] if small in wanted else _sums(own[small], root.shape)
+            known(small, part)
+            known(large, held.pop(node) - part)
 
     known(tree.add(), root)
     wait(0)
@@ -228,7 +326,7 @@ def leaf_wise(root: np.ndarray, fetch: Callable[[Tree, dict[int, int], int], np.
     while queue and len(accepted) + 1 < most_leaves:
         best = queue[0][1]
         if tree.feature[best] < 0:
-            waiting = [node for _, node in sorted(queue) if tree.feature[node] < 0]
+            waiting = [best] if best in own else [node for _, node in sorted(queue) if tree.feature[node] < 0 and node not in own]
             expand(waiting[: min(slots, most_leaves - 1 - len(accepted))])
         heapq.heappop(queue)
         accepted.append(best)
@@ -237,6 +335,14 @@ def leaf_wise(root: np.ndarray, fetch: Callable[[Tree, dict[int, int], int], np.
     return _pruned(tree, set(accepted))
 
 
+def _sums(rows: Few, shape: tuple[int, ...]) -> np.ndarray:
+    """The histogram of a node's rows."""
+    codes, a, b = rows
+    sums = np.zeros((1, 3, shape[1] * shape[2]), np.int64)
+    _count(sums, np.zeros(len(codes), np.int64), codes, a, b, shape[2])
+    return sums.reshape(shape)
+
+
 def _pruned(tree: Tree, kept: set[int]) -> Tree:
     """The tree with the splits of ``kept`` only, its nodes numbered by depth from left to right."""
     out = Tree()

@@ -266,3 +266,30 @@ def test_edges_of_many_rows_are_exact(spark):
     rows = spark.createDataFrame([tuple(None if math.isnan(v) else float(v) for v in r) for r in x], "a double, b double, c double").repartition(6)
     for got, want in zip(binning.bin_edges(rows, ["a", "b", "c"], 64), plain_edges(x, 64), strict=True):
         assert got.tolist() == want.tolist()
+
+
+def test_a_round_needs_no_job_below_nodes_of_few_rows(spark, monkeypatch):
+    x, y, w = made(11, 150)
+    m = Matrix.write(table(spark, x, y, w).withColumn("flag", F.col("flag").cast("int")), FEATURES, 32)
+    assert trees.few_rows(len(FEATURES), m.codes) >= 150
+    grown = []
+    for few_tasks in (trees.FEW_TASKS, 0):
+        monkeypatch.setattr(trees, "FEW_TASKS", few_tasks)
+        fit = boosting.Fit(m, Rule(5), 0.3, 8, 1.0, 1.0, None, True, 3)
+        group = f"round-{few_tasks}"
+        spark.sparkContext.setJobGroup(group, group)
+        try:
+            assert fit.round(0)
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        # the batches' rows and those of the root's children: no job for any level below
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)) == 2
+        fit.close()
+        grown.append(fit.model.trees[0])
+    # rows that are not asked for: a job for each level, the same tree
+    monkeypatch.setattr(boosting, "few_rows", lambda columns, width: 0)
+    fit = boosting.Fit(m, Rule(5), 0.3, 8, 1.0, 1.0, None, True, 3)
+    assert fit.round(0)
+    fit.close()
+    assert grown == [fit.model.trees[0]] * 2
+    assert len(fit.model.trees[0].feature) == 15

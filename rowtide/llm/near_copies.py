@@ -65,12 +65,12 @@ _SEEDS = mix64(np.arange(1, COORDINATES + 1, dtype=np.uint64)) | np.uint64(1)
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder, with at most ``AT_ONCE`` rows at a time in Python workers."""
+    """``df`` stored in the shared folder, with at most ``AT_ONCE`` rows at a time in Python workers."""
     conf, rows = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = conf.get(rows)
     conf.set(rows, AT_ONCE)
     try:
-        return shared.cut(df)
+        return shared.stored(df)
     finally:
         conf.set(rows, before)
 
@@ -420,6 +420,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
 def _marked(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """The rows of :func:`near_duplicates` with their text_id."""
+    with shared.scratch(docs.sparkSession) as kept:
+        return _components_of(docs, words, percent, kept)
+
+
+def _components_of(docs: DataFrame, words: int, percent: int, kept: list[DataFrame]) -> DataFrame:
     sketched = cut(sketches(docs, words))
     usable = sketched.where("doc_id is not null and n_shingles > 0")
     classes = cut(usable.groupBy("key", "key2", "n_shingles").agg(F.min("doc_id").alias("member"), F.min("bytes").alias("bytes")))
@@ -447,13 +452,13 @@ def _marked(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
     known = labels.withColumnRenamed("node", "member")
     open_ = divided(nodes.join(known, "member", "left").select("node", "member", F.coalesce("label", "member").alias("label")))
-    by_level: list[DataFrame] = []
+    small: list[DataFrame] = []
+    large_: list[DataFrame] = []
     fine = None
     for level in range(MORE_LEVELS + 1):
-        compared = _together(open_.where(F.col("size") <= SMALL).join(sketch, "member").select("node", "member", "bytes", "label"), "node").mapInArrow(apart, "a long, b long")
+        small.append(open_.where(F.col("size") <= SMALL))
         dense = open_.where(F.col("size") > SMALL)
         if dense.isEmpty():
-            by_level.append(cut(compared))
             break
         if fine is None:
             # children hold no other members
@@ -463,15 +468,19 @@ def _marked(docs: DataFrame, words: int, percent: int) -> DataFrame:
         if level == 0:
             judged = cut(join_by(left, "node", pivots.select("node", "branch"), "node", often))
             direct, left = direct.unionByName(judged.where("not branch").drop("branch")), judged.where("branch").drop("branch")
-        # each level is written by itself, so that no plan holds several
-        by_level.append(cut(compared.union(_others(direct, sketch, fine, percent)).distinct()))
+        large_.append(direct)
         if level < MORE_LEVELS:
             open_ = divided(cut(deeper(left, classes, 1 if level else SUBTREES)))
-    second = cut(functools.reduce(DataFrame.union, by_level).distinct().join(first, ["a", "b"], "left_anti"))
+    # nodes of all levels at once: each level's are stored, and a job for each would cost more than its pairs
+    compared = _together(functools.reduce(DataFrame.unionByName, small).join(sketch, "member").select("node", "member", "bytes", "label"), "node").mapInArrow(apart, "a long, b long")
+    if large_:
+        compared = compared.union(_others(functools.reduce(DataFrame.unionByName, large_), sketch, fine, percent))
+    second = cut(compared.distinct().join(first, ["a", "b"], "left_anti"))
     more = cut(confirmed(second, docs, words, percent))
     if not more.isEmpty():
         # go on from the components that are known
         labels = components(more.union(labels.select(F.col("node").alias("a"), F.col("label").alias("b"))))
+    kept += [sketched, classes]
     of_class = classes.join(labels.withColumnRenamed("node", "member"), "member", "left").select("key", "key2", "n_shingles", F.coalesce("label", "member").alias("component_id"))
     whole = sketched.select("doc_id", "text_id", "n_shingles", "key", "key2").join(of_class, ["key", "key2", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))

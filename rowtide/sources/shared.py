@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,6 +43,42 @@ def cut(df: DataFrame) -> DataFrame:
         spark.conf.set(_CLEANED, before)
 
 
+#: Tables stored in the scratches that are open, each with its folder; the innermost is last.
+_scratches: list[list[tuple[DataFrame, str]]] = []
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Like :func:`cut`, as Parquet files: a small table's many files are read by few tasks, and its size is known, so that joins with
+    it need no exchange. A partitioning by key is not kept. The folder stays, unless a :func:`scratch` is open."""
+    spark = df.sparkSession
+    folder = new_folder(spark, "stored")
+    before = spark.conf.get(_CLEANED)
+    spark.conf.set(_CLEANED, "true")
+    try:
+        df.select("*").write.parquet(folder)
+    finally:
+        spark.conf.set(_CLEANED, before)
+    table = spark.read.schema(df.schema).parquet(folder)
+    if _scratches:
+        _scratches[-1].append((table, folder))
+    return table
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Tables that are stored within go at its end, but for those that are added to the list it gives."""
+    kept: list[DataFrame] = []
+    tables: list[tuple[DataFrame, str]] = []
+    _scratches.append(tables)
+    try:
+        yield kept
+    finally:
+        _scratches.remove(tables)
+        for table, folder in tables:
+            if not any(table is k for k in kept):
+                remove(spark, folder)
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing else uses."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

@@ -27,6 +27,9 @@ from rowtide.llm.token_store import texts_of
 SPACE = "▁"
 #: From here on a number in a piece sequence stands for a character that is no piece.
 RAW = 1 << 24
+#: Words whose ids a worker keeps at most, and neighbours of which it keeps whether they go together. A worker lives on between tasks
+#: and stages, and its tables with it.
+MOST_WORDS, MOST_PAIRS = 250_000, 500_000
 
 
 class PieceModel:
@@ -82,7 +85,7 @@ class PieceModel:
         key = left << 32 | right
         known = self.good.get(key)
         if known is None:
-            if len(self.good) > 1_000_000:
+            if len(self.good) > MOST_PAIRS:
                 self.good.clear()
             both = [self.text(i) for i in (left, right) if i >= 0]
             known = self.good[key] = self.merge("".join(both)) == both
@@ -128,9 +131,10 @@ class PieceModel:
 
 
 class PieceEncoder(dict):
-    """Encodes whole texts: a word (with the space mark before it) -> its ids as decimals; ``shown``: -> its decoded bytes."""
+    """Encodes whole texts: a word (with the space mark before it) -> its ids as decimals; ``shown``: -> its decoded bytes, of words that
+    do not decode to themselves."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = MOST_WORDS):
         super().__init__()
         self.most, self.model = most, PieceModel(path)
         self.small: dict[str, array] = {}
@@ -152,7 +156,9 @@ class PieceEncoder(dict):
 
     def __missing__(self, word: str) -> bytes:
         ids = self.ids_of(SPACE + word)
-        self.shown[word] = b"".join([self.model.shown[i] for i in ids])
+        shown = b"".join([self.model.shown[i] for i in ids])
+        if shown != b" " + word.encode():
+            self.shown[word] = shown
         out = self[word] = " ".join(map(str, ids)).encode()
         return out
 
@@ -181,7 +187,9 @@ class PieceEncoder(dict):
                 self.shown.clear()
             words = text.split(" ")
             ids = b" ".join([*map(self.__getitem__, words), end])
-            n, decoded = ids.count(b" ") + 1, b"".join(map(self.shown.__getitem__, words)).removeprefix(b" ")
+            n, decoded, odd = ids.count(b" ") + 1, text.encode(), self.shown
+            if odd and not odd.keys().isdisjoint(words):
+                decoded = b"".join([odd[w] if w in odd else b" " + w.encode() for w in words]).removeprefix(b" ")
         return n, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest(), ids
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -69,6 +70,27 @@ def expected(rows):
     return out
 
 
+def test_tables_keep_decoded_bytes_of_odd_words_alone():
+    encoder = pieces.PieceEncoder(PIECES)
+    tracemalloc.start()
+    for k in range(20):
+        text = " ".join(f"w{k}x{i}" for i in range(1000))
+        assert encoder.digest(text)[2] == hashlib.sha256(text.encode()).hexdigest()
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert len(encoder) == 20_000
+    assert not encoder.shown
+    assert held < 260 * len(encoder)
+    assert encoder.most <= 250_000
+    odd = pieces.PieceEncoder(PIECES)
+    odd.model.bytes = {}  # what is no piece becomes unknown, which decodes to other bytes
+    for text in ("日本語の龘 word", "word 龘龘 word", "plain words"):
+        ids = odd.encode(text)
+        assert odd.digest(text)[2] == hashlib.sha256(odd.decode(ids).encode()).hexdigest()
+    assert odd.shown
+    assert "word" not in odd.shown
+
+
 def test_token_store(documents):
     rows = list(enumerate([*TEXTS, *random_texts(120)]))
     random.Random(1).shuffle(rows)

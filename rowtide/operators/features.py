@@ -1,4 +1,4 @@
-"""The four feature families, each one aggregation by entity (and one over its latest rows); the extra family is one tally.
+"""The four feature families, each one aggregation by entity (and one over its latest rows); extra and distribution are tallies.
 
 A history has ``id``, ``rn`` (event order, the greatest is the latest) and coded columns. Rows without an id are left out.
 All-history features are one hash aggregation, partial before its shuffle, so an entity with very many rows is no burden on
@@ -150,15 +150,15 @@ def basic(history: DataFrame) -> DataFrame:
     return by_entity(history, columns, STATS_AT_ONCE).withColumn("id_norm", id_norm())
 
 
-def layout(counted: dict[str, list[int]], crosses: dict[str, tuple[str, int, str, int]], measured: list[str], recent: list[str] = (), rows: int = 0) -> tallies.Layout:
-    """What to count of a history: codes, crosses (after them), moments of columns and payment measures, latest rows."""
+def layout(counted: dict[str, list[int]], crosses: dict[str, tuple[str, int, str, int]], measured: list[str], recent: list[str] = (), rows: int = 0, payments: bool = True) -> tallies.Layout:
+    """What to count of a history: codes, crosses (after them), moments of columns and (with ``payments``) payment measures, latest rows."""
     pairs = {x: [a * 10 + b for a in range(n) for b in range(m)] for x, (_, n, _, m) in crosses.items()}
-    needs = (*vocab.PAYMENTS, *(c for left, _, right, _ in crosses.values() for c in (left, right)))
+    needs = (*(vocab.PAYMENTS if payments else ()), *(c for left, _, right, _ in crosses.values() for c in (left, right)))
 
     def derive(held: dict[str, tallies.Numbers]) -> dict[str, tallies.Numbers]:
-        return payments_of(held) | {x: _pair(held[left], held[right]) for x, (left, _, right, _) in crosses.items()}
+        return (payments_of(held) if payments else {}) | {x: _pair(held[left], held[right]) for x, (left, _, right, _) in crosses.items()}
 
-    return tallies.Layout({**counted, **pairs}, list(measured), list(recent), rows, needs, (*MEASURES, *crosses), derive)
+    return tallies.Layout({**counted, **pairs}, list(measured), list(recent), rows, needs, (*(MEASURES if payments else ()), *crosses), derive)
 
 
 def _pair(left: tallies.Numbers, right: tallies.Numbers) -> tallies.Numbers:
@@ -195,33 +195,40 @@ def _extra_names() -> list[str]:
     return [*(f"xcnt_{c}" for c in codes), *(f"xprop_{c}" for c in codes), *stats, *pairs, "xloan_count_check", *recent]
 
 
-def _extra_of(found: tallies.Tally) -> list[pa.Array]:
-    """The features of :func:`extra` from tallies, in the order of their names."""
+def _listed(parts: list[np.ndarray]) -> list[pa.Array]:
+    """Each entity's features, side by side, as one list."""
+    every = np.concatenate(parts, 1)
+    return [pa.ListArray.from_arrays(pa.array(np.arange(len(every) + 1, dtype=np.int32) * every.shape[1]), pa.array(every.ravel()))]
+
+
+def _extra_of(found: tallies.Tally, digits: int | None = None) -> list[pa.Array]:
+    """The features of :func:`extra` from tallies, in the order of their names; what is not whole is rounded to ``digits``."""
     k, rows, single = len(found.rows), found.rows[:, None].astype(float), sum(map(len, vocab.EXTRA_BUCKETS.values()))
+    rounded = (lambda x: x) if digits is None else (lambda x: tallies.half_up(x, digits))
     codes, pairs = found.counts[:, :single].astype(float), found.counts[:, single:].astype(float)
     n, some = np.maximum(found.number, 1), found.number > 0
     stats = (found.sums / n, np.where(some, found.highest, 0.0), np.sqrt(found.squares / np.maximum(found.number - 1, 1)) * (found.number > 1), found.sums, np.where(found.at > tallies.UNKNOWN, found.last, 0.0))
-    parts = [codes, codes / rows, np.stack(stats, 2).reshape(k, -1), pairs, rows]
+    parts = [codes, rounded(codes / rows), rounded(np.stack(stats, 2).reshape(k, -1)), pairs, rows]
     for last in vocab.RECENT_ROWS:
         x, there = found.latest.data[:, :last], ~np.ma.getmaskarray(found.latest)[:, :last]
         n = there.sum(1)
         ends = (np.where(n > 0, f(np.where(there, x, fill), 1), 0.0) for f, fill in ((np.max, -np.inf), (np.min, np.inf)))
-        parts.append(np.stack((np.where(there, x, 0.0).sum(1) / np.maximum(n, 1), *ends), 2).reshape(k, -1))
-    every = np.concatenate(parts, 1)
-    return [pa.ListArray.from_arrays(pa.array(np.arange(k + 1, dtype=np.int32) * every.shape[1]), pa.array(every.ravel()))]
+        parts.append(rounded(np.stack((np.where(there, x, 0.0).sum(1) / np.maximum(n, 1), *ends), 2).reshape(k, -1)))
+    return _listed(parts)
+
 
+def _named(made: DataFrame, names: list[str]) -> DataFrame:
+    return made.selectExpr("id", *(f"f[{k}] AS `{name}`" for k, name in enumerate(names)))
 
-def extra(history: DataFrame, dealt: bool = False, digits: int | None = None) -> DataFrame:
+
+def extra(history: DataFrame, dealt: bool = False, digits: int | None = None, adjacent: bool = False) -> DataFrame:
     """1066 features: bucket counts and shares, statistics of the latest rows, payment measures, crosses, row count.
 
-    All come from one tally of the rows, made batch by batch. ``dealt``: all rows of an id are in one task; ``digits``: round to so many.
+    All come from one tally of the rows, made batch by batch. ``dealt``, ``adjacent``: how rows lie, as :func:`tallies.by_entity` has
+    it; ``digits``: round to so many.
     """
     wanted = layout({c: list(codes) for c, codes in vocab.EXTRA_BUCKETS.items()}, vocab.EXTRA_CROSSES, MEASURES, vocab.RECENT_COLUMNS, max(vocab.RECENT_ROWS))
-    made = tallies.by_entity(history, wanted, _extra_of, "f array<double>", dealt)
-    if digits is not None:
-        # one expression, where a thousand take longer to compile than to run
-        made = made.selectExpr("id", f"transform(f, x -> round(x, {digits})) AS f")
-    return made.selectExpr("id", *(f"f[{k}] AS `{name}`" for k, name in enumerate(_extra_names())))
+    return _named(tallies.by_entity(history, wanted, lambda found: _extra_of(found, digits), "f array<double>", dealt, adjacent), _extra_names())
 
 
 def sequence(history: DataFrame, columns: Iterable[str] = vocab.HISTORY, rows: int = vocab.SEQUENCE_ROWS, kind: str = "SHORT") -> DataFrame:
@@ -247,15 +254,30 @@ def recent_shares(columns: Iterable[str] = vocab.DIST_RECENT, rows: Iterable[int
     return [_counted(f"pos < {k} AND `{c}` = {v}", f"dr{k}prop_{c}_{v}", f"count_if(pos < {k})") for k in rows for c in columns for v in vocab.DIST_BUCKETS[c]]
 
 
-def distribution(history: DataFrame) -> DataFrame:
-    """1998 features: counts and shares, last codes, shares among the latest rows, crosses as counts and shares."""
-    shares = [*counts(vocab.DIST_BUCKETS, "d_cnt"), *counts(vocab.DIST_BUCKETS, "dprop", ROWS)]
-    crosses = [*cross_counts(vocab.DIST_CROSSES, "dcross"), *cross_counts(vocab.DIST_CROSSES, "dcrossprop", ROWS)]
-    used = list(vocab.DIST_BUCKETS)
-    recent = latest(history.select("id", "rn", *used), max(vocab.DIST_RECENT_ROWS)).groupBy("id").agg(*last_one_hot(), *recent_shares())
-    whole = by_entity(history, [*shares, *crosses]).join(recent, "id")
-    last, near = ([c for c in recent.columns if c.startswith(p)] for p in ("dlast_", "dr"))
-    return whole.select("id", *(c for c in whole.columns if c.startswith(("d_cnt_", "dprop_"))), *last, *near, *(c for c in whole.columns if c.startswith("dcross")))
+def _distribution_names() -> list[str]:
+    codes = [f"{c}_{v}" for c, known in vocab.DIST_BUCKETS.items() for v in known]
+    pairs = [f"{x}_{a * 10 + b}" for x, (_, n, _, m) in vocab.DIST_CROSSES.items() for a in range(n) for b in range(m)]
+    near = [f"dr{k}prop_{c}_{v}" for k in vocab.DIST_RECENT_ROWS for c in vocab.DIST_RECENT for v in vocab.DIST_BUCKETS[c]]
+    return [*(f"{p}_{c}" for p in ("d_cnt", "dprop", "dlast") for c in codes), *near, *(f"{p}_{x}" for p in ("dcross", "dcrossprop") for x in pairs)]
+
+
+def _distribution_of(found: tallies.Tally, digits: int | None = None) -> list[pa.Array]:
+    """The features of :func:`distribution` from tallies, in the order of their names; shares are rounded to ``digits``."""
+    rows, single = found.rows[:, None].astype(float), sum(map(len, vocab.DIST_BUCKETS.values()))
+    rounded = (lambda x: x) if digits is None else (lambda x: tallies.half_up(x, digits))
+    codes, pairs = found.counts[:, :single].astype(float), found.counts[:, single:].astype(float)
+    place = {c: j for j, c in enumerate(vocab.DIST_BUCKETS)}
+    there = ~np.ma.getmaskarray(found.latest)
+    has = lambda c, k: [((found.latest.data[:, :k, place[c]] == v) & there[:, :k, place[c]]).sum(1) for v in vocab.DIST_BUCKETS[c]]
+    last = np.stack([n for c in vocab.DIST_BUCKETS for n in has(c, 1)], 1).astype(float)
+    near = (np.stack([n for c in vocab.DIST_RECENT for n in has(c, k)], 1) / np.minimum(rows, k) for k in vocab.DIST_RECENT_ROWS)
+    return _listed([codes, rounded(codes / rows), last, *map(rounded, near), pairs, rounded(pairs / rows)])
+
+
+def distribution(history: DataFrame, dealt: bool = False, digits: int | None = None, adjacent: bool = False) -> DataFrame:
+    """1998 features: counts and shares, last codes, shares among the latest rows, crosses as counts and shares. Made like :func:`extra`."""
+    wanted = layout({c: list(codes) for c, codes in vocab.DIST_BUCKETS.items()}, vocab.DIST_CROSSES, [], list(vocab.DIST_BUCKETS), max(vocab.DIST_RECENT_ROWS), payments=False)
+    return _named(tallies.by_entity(history, wanted, lambda found: _distribution_of(found, digits), "f array<double>", dealt, adjacent), _distribution_names())
 
 
 #: Codes of one column in a tall key; all are smaller.

@@ -110,7 +110,7 @@ def family_basic(spark: SparkSession, d: str) -> DataFrame:
 
 
 def family_extra(spark: SparkSession, d: str) -> DataFrame:
-    return features.extra(adapter.history(spark, d), dealt=True, digits=6)
+    return features.extra(adapter.history(spark, d), dealt=True, digits=6, adjacent=True)
 
 
 def family_sequence(spark: SparkSession, d: str) -> DataFrame:
@@ -118,7 +118,7 @@ def family_sequence(spark: SparkSession, d: str) -> DataFrame:
 
 
 def family_distribution(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(features.distribution(adapter.history(spark, d)))
+    return features.distribution(adapter.history(spark, d), dealt=True, digits=6, adjacent=True)
 
 
 def _state(spark: SparkSession, d: str) -> state.FeatureState:

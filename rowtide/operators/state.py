@@ -5,17 +5,22 @@ of each column (values, sum, squared deviations, greatest, latest), and its late
 order of the batches. Every feature of the four families is an expression over one state, so a family, some columns of it or the
 scores of all its features are made without a shuffle and without joining families.
 
-Both tables of the state lie bucketed by id. An entity with very many rows is aggregated before its rows are shuffled.
+The state lies bucketed by id, a packed row for each entity, made in one pass over a batch. An entity with very many rows is aggregated before
+its rows are shuffled.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from rowtide.functions import scalar, vocab
 from rowtide.operators import features, scoring, tallies
@@ -37,24 +42,128 @@ def _codes(cross: str) -> list[int]:
 COUNTED = {x: k for k, x in enumerate([*((c, v) for c, codes in BUCKETS.items() for v in codes), *((x, v) for x in CROSSES for v in _codes(x))])}
 
 
-#: What is counted, its codes ascending, and columns with moments.
-LAYOUT = features.layout(BUCKETS, CROSSES, list(MEASURED))
+#: Columns of the latest rows, beside rn.
+OTHERS = [c for c in vocab.HISTORY if c != "rn"]
+#: What is counted, its codes ascending, columns with moments, and the latest rows.
+LAYOUT = features.layout(BUCKETS, CROSSES, list(MEASURED), OTHERS, vocab.SEQUENCE_ROWS)
+#: An entity's tally of ``LAYOUT`` as it is stored: one binary value, where Parquet writes and reads thousands of nested ones.
+PACKED = "state binary"
+_CELLS, _MEASURES = (LAYOUT.rows, len(OTHERS)), (len(MEASURED),)
+_ROW = np.dtype([
+    ("rows", "<i8"), ("counts", "<i8", (len(COUNTED),)), ("number", "<i8", _MEASURES), *((x, "<f8", _MEASURES) for x in ("sums", "squares", "highest")), ("at", "<i8", _MEASURES), ("last", "<f8", _MEASURES),
+    ("order", "<i8", _CELLS[:1]), ("latest", "<f8", _CELLS), ("hidden", "u1", (-(-_CELLS[0] * _CELLS[1] // 64) * 8,)),
+])
+#: Entities that are unpacked at once.
+AT_ONCE = 512
+#: Types of a column, each wider than those before.
+_WIDER = ("tinyint", "smallint", "int", "bigint", "float", "double")
+
+
+def _pack(found: tallies.Tally) -> list[pa.Array]:
+    k = len(found.rows)
+    out = np.zeros(k, _ROW)
+    for name in _ROW.names[:-2]:
+        out[name] = getattr(found, name)
+    hidden = np.packbits(np.ma.getmaskarray(found.latest).reshape(k, -1), 1)
+    out["latest"], out["hidden"][:, : hidden.shape[1]] = found.latest.data, hidden
+    # first bytes of all numbers, then second ones: most are 0. A twelfth of 20 kB is what joins, sorts and files hold of an entity
+    planes = memoryview(np.ascontiguousarray(out.view(np.uint8).reshape(k, _ROW.itemsize // 8, 8).transpose(0, 2, 1)).reshape(-1))
+    small = pa.Codec("zstd", compression_level=1)
+    return [pa.array([small.compress(planes[at : at + _ROW.itemsize], asbytes=True) for at in range(0, k * _ROW.itemsize, _ROW.itemsize)], pa.binary())]
+
+
+def _unpack(column: pa.Array) -> tallies.Tally:
+    k, small = len(column), pa.Codec("zstd", compression_level=1)
+    planes = np.empty((k, 8, _ROW.itemsize // 8), np.uint8)
+    for i, value in enumerate(column):
+        planes[i] = np.frombuffer(small.decompress(value.as_buffer(), _ROW.itemsize), np.uint8).reshape(8, -1)
+    x = np.ascontiguousarray(planes.transpose(0, 2, 1)).reshape(k, _ROW.itemsize).view(_ROW)[:, 0]
+    hidden = np.unpackbits(x["hidden"], 1, _CELLS[0] * _CELLS[1]).reshape(k, *_CELLS).astype(bool)
+    return tallies.Tally(*(x[name].copy() for name in _ROW.names[:-2]), np.ma.MaskedArray(x["latest"].copy(), hidden))
+
+
+def packed(history: DataFrame, dealt: bool = False, adjacent: bool = False) -> DataFrame:
+    """(id, state) of each entity: its rows, how often each of ``COUNTED`` occurs, moments of each of ``MEASURED``, and its latest rows.
+
+    Rows without an id are left out; nulls count in rows alone; codes that are not listed are not counted. ``dealt``,
+    ``adjacent``: how rows lie, as :func:`tallies.by_entity` has it.
+    """
+    return tallies.by_entity(history, LAYOUT, _pack, PACKED, dealt, adjacent)
 
 
-def totals(history: DataFrame, dealt: bool = False) -> DataFrame:
-    """(id, rows, n, m): rows of each entity, how often each of ``COUNTED`` occurs, and moments of each of ``MEASURED``.
+def _per_state(table: DataFrame, made: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, AT_ONCE):
+                yield made(batch.slice(at, AT_ONCE))
+
+    return table.mapInArrow(run, f"id {dict(table.dtypes)['id']}, {schema}")
+
+
+def merge(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(id, state) of both."""
+
+    def made(batch: pa.RecordBatch) -> pa.RecordBatch:
+        ids, one, other = batch.column("id"), batch.column("state"), batch.column("state_b")
+        left, right = (x.is_valid().to_numpy(zero_copy_only=False) for x in (one, other))
+        both = left & right
+        at = np.flatnonzero(both)
+        merged = _pack(_unpack(one.take(pa.array(at))).merged(_unpack(other.take(pa.array(at)))))[0] if len(at) else one.slice(0, 0)
+        alone = [x.filter(pa.array(there & ~both)) for x, there in ((one, left), (other, right))]
+        of = [ids.filter(pa.array(there)) for there in (both, left & ~both, right & ~both)]
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(of), pa.concat_arrays([merged, *alone])], ["id", "state"])
+
+    return _per_state(_both(a, b), made, PACKED)
+
+
+def _nested(states: DataFrame, kinds: list[str]) -> DataFrame:
+    """(id, rows, n, m, tail) of packed states, for SQL; ``tail``: the latest rows, the latest first, rows of one ``rn`` by their other columns."""
+    tail = "struct<" + ", ".join(f"{c}: {k}" for c, k in zip(("rn", *OTHERS), kinds, strict=True)) + ">"
+    types = [to_arrow_type(f.dataType) for f in StructType.fromDDL(f"tail {tail}")["tail"].dataType.fields]
+
+    def made(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = _unpack(batch.column("state"))
+        return pa.RecordBatch.from_arrays([batch.column("id"), *tallies.totals_of(found), _tail_of(found, types)], ["id", "rows", "n", "m", "tail"])
+
+    return _per_state(states, made, f"{tallies.TOTALS}, tail array<{tail}>")
+
+
+def _tail_of(found: tallies.Tally, types: list[pa.DataType]) -> pa.Array:
+    order, latest = tallies.settled(found.order, found.latest)
+    there = order != tallies.ABSENT
+    rn, rows, hidden = order[there], latest.data[there], np.ma.getmaskarray(latest)[there]
+    columns = [pa.array(rn, mask=rn == tallies.UNKNOWN), *(pa.array(rows[:, j], mask=hidden[:, j]) for j in range(len(OTHERS)))]
+    whole = pa.StructArray.from_arrays([x.cast(t) for x, t in zip(columns, types, strict=True)], ["rn", *OTHERS])
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(there.sum(1))).astype(np.int32)), whole)
 
-    Rows without an id are left out; nulls count in ``rows`` alone; codes that are not listed are not counted. ``dealt``: all rows of
-    an id are in one task.
-    """
-    return tallies.by_entity(history, LAYOUT, dealt=dealt)
 
+def _some(found: tallies.Tally, counted: list[tuple[str, int]], measured: list[str], recent: list[str]) -> tallies.Tally:
+    """The part of a tally of ``LAYOUT`` that a family is made of."""
+    n, m = [COUNTED[x] for x in counted], [MEASURED[c] for c in measured]
+    latest = found.latest[:, :, [OTHERS.index(c) for c in recent]]
+    return tallies.Tally(found.rows, found.counts[:, n], *(getattr(found, x)[:, m] for x in ("number", "sums", "squares", "highest", "at", "last")), found.order, latest)
 
-def tails(history: DataFrame, rows: int = vocab.SEQUENCE_ROWS) -> DataFrame:
-    """(id, tail): the latest ``rows`` rows of each entity, the latest first; rows of one ``rn`` by their other columns."""
-    others = [c for c in vocab.HISTORY if c != "rn"]
-    last = features.latest(history.select("id", *vocab.HISTORY), rows)
-    return last.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("rn", *others)), asc=False).alias("tail"))
+
+def _codes_of(buckets: dict[str, Iterable[int]], crosses: Iterable[str]) -> list[tuple[str, int]]:
+    return [*((c, v) for c, codes in buckets.items() for v in codes), *((x, v) for x in crosses for v in _codes(x))]
+
+
+def _extra_of(found: tallies.Tally, digits: int | None) -> list[pa.Array]:
+    return features._extra_of(_some(found, _codes_of(vocab.EXTRA_BUCKETS, vocab.EXTRA_CROSSES), features.MEASURES, vocab.RECENT_COLUMNS), digits)
+
+
+def _distribution_of(found: tallies.Tally, digits: int | None) -> list[pa.Array]:
+    return features._distribution_of(_some(found, _codes_of(vocab.DIST_BUCKETS, vocab.DIST_CROSSES), [], list(vocab.DIST_BUCKETS)), digits)
+
+
+#: Families of a thousand columns are made of whole batches: names of the features, and their values from tallies.
+_WIDE = {"extra": (features._extra_names, _extra_of), "dist": (features._distribution_names, _distribution_of)}
+
+
+def _wide_family(states: DataFrame, name: str, digits: int | None) -> DataFrame:
+    names, values = _WIDE[name]
+    made = lambda batch: pa.RecordBatch.from_arrays([batch.column("id"), *values(_unpack(batch.column("state")), digits)], ["id", "f"])
+    return features._named(_per_state(states, made, "f array<double>"), names())
 
 
 _MOMENTS = """(x, y) -> named_struct('n', x.n + y.n,
@@ -194,38 +303,55 @@ class FeatureState:
         self.buckets: int = held.get("buckets") or buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.batches: list[str] = held.get("batches", [])
         self._version: str | None = held.get("version")
-        self._tables = [colocated.read(spark, f"{self._version}/{t}", self.buckets) for t in ("totals", "tails")] if self._version else None
+        self._kinds: list[str] = held.get("kinds", [])
+        self._packed = colocated.read(spark, f"{self._version}/packed", self.buckets) if self._version else None
+        self._nested: DataFrame | None = None
 
-    def add(self, batch: str, history: DataFrame, dealt: bool = False) -> bool:
+    @property
+    def _tables(self) -> list[DataFrame]:
+        """Totals, and latest rows."""
+        return [self.rows().select("id", "rows", "n", "m"), self.rows().select("id", "tail")]
+
+    def add(self, batch: str, history: DataFrame, dealt: bool = False, adjacent: bool = False) -> bool:
         """Merge a batch of history into the state; False if a batch of that name is in it already. ``dealt``: each task of ``history`` holds
-        the ids of one bucket of the state."""
+        the ids of one bucket of the state; ``adjacent``: and an id's rows side by side, by rising rn."""
         if batch in self.batches:
             return False
         new = f"{self.folder}/{uuid.uuid4().hex}"
-        own = [colocated.write(made, f"{new}-batch/{t}", self.buckets, dealt) for made, t in ((totals(history, dealt), "totals"), (tails(history), "tails"))]
         version = f"{new}-batch"
-        if self._tables:
-            merges = ((merge_totals, "totals"), (merge_tails, "tails"))
-            own = [colocated.write(merge(a, b), f"{new}/{t}", self.buckets, dealt=True) for (merge, t), a, b in zip(merges, self._tables, own, strict=True)]
+        own = colocated.write(packed(history, dealt, adjacent), f"{version}/packed", self.buckets, dealt)
+        if self._packed is not None:
             version = new
-        before, said = self._version, {"buckets": self.buckets, "batches": [*self.batches, batch], "version": version}
+            own = colocated.write(merge(self._packed, own), f"{version}/packed", self.buckets, dealt=True)
+        kinds = [dict(history.dtypes)[c] for c in ("rn", *OTHERS)]
+        if self._kinds:
+            kinds = [max(x, y, key=_WIDER.index) if x != y else x for x, y in zip(self._kinds, kinds, strict=True)]
+        before, said = self._version, {"buckets": self.buckets, "batches": [*self.batches, batch], "version": version, "kinds": kinds}
         tables.write_report(self.spark, said, self._at)
-        self._tables, self._version, self.batches = own, version, said["batches"]
+        self._packed, self._nested, self._version, self.batches, self._kinds = own, None, version, said["batches"], kinds
         for old in {before, f"{new}-batch"} - {None, version}:
             remove(self.spark, old)
         return True
 
-    def rows(self) -> DataFrame:
-        """(id, rows, n, m, tail): both tables, joined where they lie."""
-        if not self._tables:
+    def _states(self) -> DataFrame:
+        if self._packed is None:
             raise ValueError("the state is empty: add a batch first")
-        a, b = self._tables
-        return a.join(b.hint("merge"), "id")
+        return self._packed
 
-    def family(self, name: str, columns: Iterable[str] | None = None) -> DataFrame:
-        """id and the features of a family, or only ``columns`` of it."""
+    def rows(self) -> DataFrame:
+        """(id, rows, n, m, tail), bucketed by id. SQL over states reads this table, which is written when it is first asked for."""
+        if self._nested is None:
+            lying = self._states().repartition(self.buckets, "id")
+            self._nested = colocated.write(_nested(lying, self._kinds), f"{self._version}/nested-{uuid.uuid4().hex}", self.buckets, dealt=True)
+        return self._nested
+
+    def family(self, name: str, columns: Iterable[str] | None = None, digits: int | None = None) -> DataFrame:
+        """id and the features of a family, or only ``columns`` of it; ``digits``: round to so many."""
+        if columns is None and name in _WIDE:
+            return _wide_family(self._states(), name, digits)
         made = FAMILIES[name]()
-        return self.rows().selectExpr("id", *(f"{made[c]} AS `{c}`" for c in (made if columns is None else columns)))
+        found = self.rows().selectExpr("id", *(f"{made[c]} AS `{c}`" for c in (made if columns is None else columns)))
+        return found if digits is None else found.selectExpr(*(f"round(`{c}`, {digits}) AS `{c}`" if t == "double" else f"`{c}`" for c, t in found.dtypes))
 
     def scores(self, name: str, target: DataFrame, population: bool = True) -> DataFrame:
         """(feature, score) of a family; running it fails on an entity without a label."""

@@ -79,15 +79,26 @@ class Tally:
             apart = np.where((self.number > 0) & (other.number > 0), self.sums / self.number - other.sums / other.number, 0.0)
             squares = self.squares + other.squares + np.where(n > 0, apart * apart * self.number * other.number / n, 0.0)
         order = np.concatenate((self.order, other.order), 1)
-        first = np.argsort(~order, 1, kind="stable")[:, : self.order.shape[1]]
+        first = np.argsort(~order, 1, kind="stable")
         both = np.ma.concatenate((self.latest, other.latest), 1)
+        order, both = settled(np.take_along_axis(order, first, 1), np.ma.MaskedArray(np.take_along_axis(both.data, first[:, :, None], 1), np.take_along_axis(np.ma.getmaskarray(both), first[:, :, None], 1)))
+        kept = self.order.shape[1]
         return Tally(
             self.rows + other.rows, self.counts + other.counts, n, self.sums + other.sums, squares, np.maximum(self.highest, other.highest),
-            np.maximum(self.at, other.at), np.where(other.at > self.at, other.last, self.last), np.take_along_axis(order, first, 1),
-            np.ma.MaskedArray(np.take_along_axis(both.data, first[:, :, None], 1), np.take_along_axis(np.ma.getmaskarray(both), first[:, :, None], 1)),
+            np.maximum(self.at, other.at), np.where(other.at > self.at, other.last, self.last), order[:, :kept], both[:, :kept],
         )
 
 
+def settled(order: np.ndarray, latest: np.ma.MaskedArray) -> tuple[np.ndarray, np.ma.MaskedArray]:
+    """Latest rows, the latest first, with rows of one ``rn`` in falling order of their other columns, nulls last."""
+    tied = (order[:, 1:] == order[:, :-1]) & (order[:, 1:] != ABSENT)
+    for k in np.flatnonzero(tied.any(1)):
+        filled = latest[k].filled(-np.inf)
+        by = np.lexsort((*filled.T[::-1], order[k]))[::-1]
+        order[k], latest[k] = order[k, by], latest[k, by]
+    return order, latest
+
+
 def half_up(x: np.ndarray, digits: int) -> np.ndarray:
     """``x`` rounded as Spark's ``round`` does: halves of the decimals that it is written with go away from zero."""
     scaled = x * 10.0**digits
@@ -200,16 +211,21 @@ def _partial_of(found: Tally) -> list[pa.Array]:
     return [*totals_of(found), _lists(pa.array(found.order.ravel()), len(found.rows)), _lists(latest, len(found.rows))]
 
 
-def _read(batch: pa.RecordBatch, layout: Layout) -> tuple[pa.Array, Tally]:
+def read_totals(batch: pa.RecordBatch) -> list[np.ndarray]:
+    """Of the columns of ``TOTALS`` what a tally has but for its latest rows."""
     k, m = batch.num_rows, batch.column("m").flatten()
     cell = lambda c, fill: m.field(c).fill_null(fill).to_numpy(zero_copy_only=False).reshape(k, -1)
+    counts = batch.column("n").flatten().to_numpy(zero_copy_only=False).reshape(k, -1)
+    return [batch.column("rows").to_numpy(), counts, *(cell(c, fill) for c, fill in zip(_MOMENTS, (0, 0.0, 0.0, -np.inf, UNKNOWN, 0.0), strict=True))]
+
+
+def _read(batch: pa.RecordBatch, layout: Layout) -> tuple[pa.Array, Tally]:
+    k = batch.num_rows
     latest = batch.column("latest").flatten()
     shape = (k, layout.rows, len(layout.recent))
     kept = np.ma.MaskedArray(latest.fill_null(0).to_numpy(zero_copy_only=False).reshape(shape).copy(), ~latest.is_valid().to_numpy(zero_copy_only=False).reshape(shape))
-    whole = lambda c, width: batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(k, width)
-    counts = whole("n", sum(map(len, layout.counted.values())))
-    moments = (cell(c, fill) for c, fill in zip(_MOMENTS, (0, 0.0, 0.0, -np.inf, UNKNOWN, 0.0), strict=True))
-    return batch.column("id"), Tally(batch.column("rows").to_numpy(), counts, *moments, whole("rns", layout.rows), kept)
+    order = batch.column("rns").flatten().to_numpy(zero_copy_only=False).reshape(k, layout.rows)
+    return batch.column("id"), Tally(*read_totals(batch), order, kept)
 
 
 def _whole(read: Callable[[pa.RecordBatch], tuple[pa.Array, Tally]], made: Callable[[Tally], list[pa.Array]], names: list[str]):

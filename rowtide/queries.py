@@ -124,17 +124,17 @@ def family_distribution(spark: SparkSession, d: str) -> DataFrame:
 def _state(spark: SparkSession, d: str) -> state.FeatureState:
     """The state after two batches that interleave."""
     kept, h = state.FeatureState(spark, new_folder(spark, "state")), adapter.dealt_history(spark, d)
-    kept.add("thirds", h.where("rn % 3 = 0"), dealt=True)
-    kept.add("others", h.where("rn % 3 <> 0"), dealt=True)
+    kept.add("thirds", h.where("rn % 3 = 0"), dealt=True, adjacent=True)
+    kept.add("others", h.where("rn % 3 <> 0"), dealt=True, adjacent=True)
     return kept
 
 
 def state_extra(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(_state(spark, d).family("extra"))
+    return _state(spark, d).family("extra", digits=6)
 
 
 def state_distribution(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(_state(spark, d).family("dist"))
+    return _state(spark, d).family("dist", digits=6)
 
 
 def state_scores(spark: SparkSession, d: str) -> DataFrame:

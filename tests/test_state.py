@@ -107,3 +107,34 @@ def test_empty_batches_and_an_empty_state(spark, history, tmp_path):
 
 def test_tails_are_bounded(spark, history, kept):
     assert kept._tables[1].agg(F.max(F.size("tail"))).first()[0] == vocab.SEQUENCE_ROWS
+
+
+@pytest.mark.parametrize("name", ["extra", "dist"])
+def test_wide_families_are_made_of_packed_states(kept, name):
+    made = kept.family(name, digits=6)
+    by_sql = kept.family(name, made.columns[1:])
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in (made, by_sql)]
+    assert ["MapInArrow" in p for p in plans] == [True, False]
+    want, got = rows_of(by_sql), rows_of(made)
+    assert set(got) == set(want)
+    for i, row in want.items():
+        wrong = {c: (x, got[i][c]) for c, x in row.items() if abs(x - got[i][c]) > 5.0001e-7 or round(got[i][c], 6) != got[i][c]}
+        assert not wrong, (i, wrong)
+
+
+def test_a_batch_is_stored_as_one_value_of_each_entity(kept):
+    assert kept._states().dtypes == [("id", "bigint"), ("state", "binary")]
+    assert kept._states().selectExpr("max(length(state))").first()[0] < state._ROW.itemsize / 4
+
+
+def test_rows_of_one_rn_lie_alike_whatever_the_order_of_batches(spark, history, tmp_path):
+    tied = history.where("id < 6").withColumn("rn", F.expr("CAST(rn / 9 AS BIGINT)"))
+    parts = [tied.where("pre_pterm % 2 = 0"), tied.where("pre_pterm % 2 <> 0"), history.where("id = 1").limit(2)]
+    found = []
+    for order in ((0, 1, 2), (2, 1, 0)):
+        s = state.FeatureState(spark, str(tmp_path / str(order[0])), 2)
+        for k in order:
+            s.add(str(k), parts[k].repartition(3))
+        assert s.rows().schema["tail"].dataType.elementType["rn"].dataType.simpleString() == "bigint"
+        found.append({i: (r["n"], [x.rn for x in r["tail"]]) for i, r in rows_of(s.rows()).items()})
+    assert found[0] == found[1]

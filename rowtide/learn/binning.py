@@ -22,6 +22,8 @@ from rowtide.sources.shared import new_folder
 ACCURACY = 10_000
 #: Bytes of codes that a file of the matrix holds about.
 FILE_BYTES = 32 << 20
+#: A file for each of the session's tasks at a time, if it has so many rows.
+FILE_ROWS = 1 << 13
 ROWS = "id long, flag int, weight double, stop boolean, margin double, bins binary"
 
 
@@ -162,6 +164,7 @@ class Matrix:
         names = [f"f{k}" for k in range(len(features))]
         columns, features = features, names
         made = table.select(F.col("id").cast("long").alias("id"), F.col("flag").cast("int").alias("flag"), F.col("weight").cast("double").alias("weight"), stop.alias("stop"), *own).mapInArrow(pack, ROWS)
-        files = max(1, math.ceil(table.count() * max(1, len(features)) / FILE_BYTES))
+        rows = table.count()
+        files = max(1, math.ceil(rows * max(1, len(features)) / FILE_BYTES), min(spark.sparkContext.defaultParallelism, rows // FILE_ROWS))
         made.repartition(files, "id").write.option("compression", "zstd").parquet(folder)
         return cls(spark.read.schema(ROWS).parquet(folder), folder, columns, edges, files)

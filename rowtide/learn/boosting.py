@@ -1,8 +1,9 @@
 """Leaf-wise histogram boosting of log-odds, with one-side sampling by gradient and stopping by validation scores.
 
 A round is a job for the root's histogram and about one for each level of the tree that has nodes of more rows than a histogram has
-bytes for. Margins are kept with the matrix and written anew every ``SNAPSHOT`` rounds; in between, the root's job adds the trees since
-then and keeps the rows' statistics in the executors' memory for the round's other jobs, so nothing is recomputed from the start.
+bytes for. Margins are kept with the matrix and written anew every ``SNAPSHOT`` rounds; in between, the root's job adds the newest tree to
+those that the executors' memory holds from the round before, and keeps them there with the rows' statistics for the round's other
+jobs. If an executor is lost, its rows are made again from the written margins and the trees since.
 The root's job also adds up the validation rows' scores (counts by class and score, which merge), so the AUC or loss of a round
 costs no job of its own. Boosting ends when that has not improved for ``patience`` rounds, and goes back to the best round.
 """
@@ -11,14 +12,15 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD
 from pyspark.sql import DataFrame, SparkSession
 
 from rowtide.learn.binning import ROWS, Matrix, column_codes
-from rowtide.learn.trees import Batch, Few, Rule, Tree, few_rows, kept_batches, kept_histograms, kept_statistics, leaf_wise, most_slots, units
+from rowtide.learn.trees import Batch, Deep, Few, Grown, Rule, Tree, batches_of, few_rows, kept_histograms, kept_statistics, leaf_wise, most_slots, units
 from rowtide.sources.shared import new_folder, remove
 
 #: Rounds between two tables of margins, and the number of scores that validation rows are counted by.
@@ -104,7 +106,8 @@ class Fit:
     def __init__(self, matrix: Matrix, rule: Rule, rate: float, leaves: int, columns: float, rows: float, goss: tuple[float, float] | None, by_auc: bool, seed: int):
         self.matrix, self.rule, self.rate, self.leaves, self.columns, self.share, self.goss, self.by_auc, self.seed = matrix, rule, rate, leaves, columns, rows, goss, by_auc, seed
         self.rows, self.folder, self.since = matrix.rows, None, []
-        self.batches = kept_batches(self.rows)
+        #: The rows that the executors hold of the round before, and how many trees their margins lack.
+        self.kept, self.behind = None, 0
         self.spark: SparkSession = matrix.rows.sparkSession
         self.model = Boosting(matrix.features, matrix.edges, self._base())
 
@@ -140,22 +143,29 @@ class Fit:
         if self.folder:
             remove(self.spark, self.folder)
         self.rows, self.folder, self.since = self.spark.read.schema(ROWS).parquet(folder), folder, []
-        self.batches.unpersist()
-        self.batches = kept_batches(self.rows)
+        self._forget()
+
+    def _forget(self) -> None:
+        if self.kept is not None:
+            self.kept.unpersist()
+        self.kept, self.behind = None, 0
 
     def close(self) -> None:
-        self.batches.unpersist()
+        self._forget()
         if self.folder:
             remove(self.spark, self.folder)
 
-    def gradients(self) -> Callable[[Batch], tuple[np.ndarray, np.ndarray]]:
+    def gradients(self) -> Callable[[Batch], np.ndarray]:
         margins = self.margins()
+        return lambda batch: _gradients(batch, margins(batch))[0]
 
-        def of(batch: Batch) -> tuple[np.ndarray, np.ndarray]:
-            p = sigmoid(margins(batch))
-            return batch.weights * (p - batch.flags), batch.weights * p * (1 - p)
-
-        return of
+    def _advanced(self) -> RDD:
+        """Batches with the margins of the model so far: those of the round before and its tree, or those written last."""
+        if self.kept is None:
+            margins = self.margins()
+            return batches_of(self.rows, len(self.matrix.features)).map(lambda b: replace(b, margins=margins(b)))
+        last = self.since[len(self.since) - self.behind :]
+        return self.kept.map(lambda k: replace(k[0], margins=sum((tree.values(k[0].codes) for tree in last), k[0].margins)))
 
     def _cut(self, key: Callable[[Batch], tuple[np.ndarray, np.ndarray]], k: int) -> int:
         """The k smallest keys (of the rows that count) and no others are at most this; ties of all 64 bits apart."""
@@ -191,8 +201,8 @@ class Fit:
         total = self.rows.where("NOT stop").count()
         k_top, k_other = max(1, int(total * top)), max(1, int(total * other))
         gradients = self.gradients()
-        high = self._cut(lambda b: (gradient_key(gradients(b)[0], b.ids, seed, n), ~b.stop), k_top)
-        drawn = self._cut(lambda b: (spread(b.ids, seed + 1, n), ~b.stop & ~at_most(gradient_key(gradients(b)[0], b.ids, seed, n), high)), k_other)
+        high = self._cut(lambda b: (gradient_key(gradients(b), b.ids, seed, n), ~b.stop), k_top)
+        drawn = self._cut(lambda b: (spread(b.ids, seed + 1, n), ~b.stop & ~at_most(gradient_key(gradients(b), b.ids, seed, n), high)), k_other)
         factor = (total - k_top) / k_other
 
         def weigh(batch: Batch, g: np.ndarray) -> np.ndarray:
@@ -208,46 +218,53 @@ class Fit:
             self.snapshot()
         every = len(self.matrix.features)
         chosen = np.sort(np.random.default_rng([self.seed, n]).permutation(every)[: max(1, round(self.columns * every))]) if grow else np.zeros(0, int)
-        gradients, factor = self.gradients(), self.sample(n) if grow else (lambda batch, g: np.zeros(len(g)))
+        factor = self.sample(n) if grow else (lambda batch, g: np.zeros(len(g)))
 
         def statistics(batch: Batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            g, h = gradients(batch)
+            g, h = _gradients(batch, batch.margins)
             w = factor(batch, g)
             return units(w * g), units(w * h), w > 0
 
-        margins = self.margins()
-
         def judge(batch: Batch) -> np.ndarray:
-            p = sigmoid(margins(batch)[batch.stop])
+            p = sigmoid(batch.margins[batch.stop])
             y, w = batch.flags[batch.stop] == 1, batch.weights[batch.stop]
             at = np.minimum((p * SCORES).astype(np.int64), SCORES - 1)
             loss = -np.log(np.maximum(np.where(y, p, 1 - p), 1e-15)) * w
             return np.concatenate((np.bincount(at[~y], minlength=SCORES), np.bincount(at[y], minlength=SCORES), [int(units(loss).sum()), int(units(w).sum())])).astype(np.int64)
 
         width, few = self.matrix.codes, few_rows(len(chosen), self.matrix.codes)
-        kept = kept_statistics(self.batches, every, statistics, judge)
+        before, kept = self.kept, kept_statistics(self._advanced(), statistics, judge)
+        self.kept, self.behind = kept, 0
 
-        def fetch(tree: Tree, wanted: dict[int, int], k: int, whole: list[int]) -> tuple[np.ndarray, dict[int, Few]]:
-            return kept_histograms(kept, chosen, width, tree, wanted, k, whole)[:2]
+        def fetch(tree: Tree, wanted: dict[int, int], k: int, whole: list[int], deep: Deep | None) -> tuple[np.ndarray, dict[int, Few], dict[int, tuple[Grown, np.ndarray | None]]]:
+            sums, rows, _, below = kept_histograms(kept, chosen, width, tree, wanted, k, whole, 0, deep)
+            return sums, rows, below
 
+        one = Tree()
+        one.add()
         try:
-            one = Tree()
-            one.add()
-            root, _, judged = kept_histograms(kept, chosen, width, one, {0: 0}, 1, [], 2 * SCORES + 2)
-            auc = area(judged[: 2 * SCORES].reshape(2, -1))
-            loss = judged[-2] / max(1, judged[-1])
-            self.model.history.append(auc if self.by_auc and auc is not None else -loss)
-            if not grow:
-                return False
-            # a split asks for the sums or rows of two children
-            tree = leaf_wise(root[0], fetch, chosen, self.rule, self.leaves, self.rate, max(1, most_slots(len(chosen), width) // 2), few)
+            root, _, judged, _ = kept_histograms(kept, chosen, width, one, {0: 0}, 1, [], 2 * SCORES + 2)
         finally:
-            kept.unpersist()
+            if before is not None:
+                before.unpersist()
+        auc = area(judged[: 2 * SCORES].reshape(2, -1))
+        loss = judged[-2] / max(1, judged[-1])
+        self.model.history.append(auc if self.by_auc and auc is not None else -loss)
+        if not grow:
+            return False
+        # a split asks for the sums or rows of two children
+        tree = leaf_wise(root[0], fetch, chosen, self.rule, self.leaves, self.rate, max(1, most_slots(len(chosen), width) // 2), few)
         self.model.trees.append(tree)
         self.since.append(tree)
+        self.behind += 1
         return len(tree.feature) > 1
 
 
+def _gradients(batch: Batch, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    p = sigmoid(margins)
+    return batch.weights * (p - batch.flags), batch.weights * p * (1 - p)
+
+
 def at_most(keys: np.ndarray, cut: int) -> np.ndarray:
     return keys <= np.uint64(cut) if cut >= 0 else np.zeros(len(keys), bool)
 

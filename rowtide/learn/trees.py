@@ -4,14 +4,15 @@ A node's histogram has, for each feature and code, the sums of two statistics of
 exact, so a tree does not hang on how rows are dealt, merged or computed again. A job routes rows to nodes and adds up each task's
 histograms before they travel; of two siblings only the smaller one is added up, the other is the parent's less it. Its size hangs
 on features, codes and nodes alone. Of a node whose rows take no more bytes than its histogram the rows travel instead: all splits below
-it then need no further job.
+it then need no further job. Nodes of up to ``DEEP_ROWS`` rows are grown to their end in one task each.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,10 @@ from rowtide.learn.binning import unpacked
 #: Statistics are whole multiples of 1 / UNIT.
 UNIT = 1 << 20
 #: Bytes of the histograms of one job, elements counted at once, tasks whose sums the driver adds by itself.
-JOB_BYTES, CHUNK, FEW_TASKS = 64 << 20, 1 << 20, 16
+JOB_BYTES, CHUNK, FEW_TASKS = 64 << 20, 1 << 24, 16
+#: Rows that the executors' memory keeps as one element, rows of a node that one task grows to its end, and rows from which on features
+#: are counted one by one.
+KEPT_ROWS, DEEP_ROWS, MANY_ROWS = 1 << 16, 1 << 16, 1 << 10
 SUMS = "slot int, data binary"
 
 
@@ -47,15 +51,18 @@ class Tree:
         self.left[node], self.right[node] = self.add(values[0]), self.add(values[1])
         return self.left[node], self.right[node]
 
-    def leaves(self, codes: np.ndarray) -> np.ndarray:
-        """The leaf of each row of ``codes`` (rows by features)."""
-        feature, cut, left, right = (np.array(x, np.int64) for x in (self.feature, self.cut, self.left, self.right))
-        node, at = np.zeros(len(codes), np.int64), np.arange(len(codes))
-        while len(at):
-            at = at[feature[node[at]] >= 0]
-            k = node[at]
-            node[at] = np.where(codes[at, feature[k]] <= cut[k], left[k], right[k])
-        return node
+    def leaves(self, codes: np.ndarray, rows: np.ndarray | None = None) -> np.ndarray:
+        """The leaf of each row of ``codes`` (rows by features; quicker if columns lie side by side), or of ``rows`` of them."""
+        n = len(codes) if rows is None else len(rows)
+        leaf, todo = np.zeros(n, np.int64), [(0, np.arange(n))]
+        while todo:
+            node, at = todo.pop()
+            if self.feature[node] < 0:
+                leaf[at] = node
+            elif len(at):
+                low = codes[:, self.feature[node]][at if rows is None else rows[at]] <= self.cut[node]
+                todo += (self.left[node], at[low]), (self.right[node], at[~low])
+        return leaf
 
     def values(self, codes: np.ndarray) -> np.ndarray:
         return np.array(self.value)[self.leaves(codes)]
@@ -86,16 +93,36 @@ class Batch:
 Statistics = Callable[[Batch], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
-def _count(sums: np.ndarray, slot: np.ndarray, codes: np.ndarray, a: np.ndarray, b: np.ndarray, width: int) -> None:
-    """Add rows to ``sums`` (slots, 3, features * width)."""
-    slots, f = len(sums), codes.shape[1]
-    step = max(1, CHUNK // max(1, f))
+def _count(sums: np.ndarray, slot: np.ndarray, codes: np.ndarray, a: np.ndarray, b: np.ndarray, width: int, columns: np.ndarray | None = None, rows: np.ndarray | None = None) -> None:
+    """Add rows to ``sums`` (slots, 3, features * width): all of ``codes``, or ``rows`` (rising) and ``columns`` of it."""
+    own = np.arange(codes.shape[1]) if columns is None else columns
+    f, slots = len(own), len(sums)
+    to = sums.reshape(slots, 3, f, width)
+    step, size = max(1, CHUNK // max(1, f)), slots * width
     for s in range(0, len(slot), step):
         p = slice(s, s + step)
-        at = ((slot[p, None] * f + np.arange(f)) * width + codes[p]).ravel()
-        for k, w in enumerate((np.repeat(a[p], f), np.repeat(b[p], f), None)):
-            found = np.bincount(at, w, slots * f * width)
-            sums[:, k] += found.reshape(slots, -1).astype(np.int64)  # whole numbers below 2**53: exact
+        n, first, x, y = len(slot[p]), slot[p] * width, a[p], b[p]
+        some = None if rows is None or len(rows) == len(codes) == n else rows[p]
+        # whole numbers below 2**53 are exact; where there is room for it, the number of rows is added up above the second sum
+        one = 2.0 ** math.ceil(math.log2(n * (float(y.max()) + 1) + 1))
+        packed = y + one if float(y.min()) >= 0 and one * (n + 1) <= 2.0**53 else None
+        if n < MANY_ROWS:
+            # all features at once, as a call of numpy costs more than what it adds up
+            at = ((slot[p, None] * f + np.arange(f)) * width + codes[p if some is None else some][:, own]).ravel()
+            total = lambda z: np.bincount(at, None if z is None else np.repeat(z, f), slots * f * width).reshape(slots, f, width)  # noqa: B023, E731
+            found = [total(z) for z in ((x, y, None) if packed is None else (x, packed))]
+        else:
+            found = [np.empty((f, size)) for _ in range(3 if packed is None else 2)]
+            for k, column in enumerate(own):
+                at = first + (codes[p, column] if some is None else codes[:, column].take(some))
+                for sum_of, z in zip(found, (x, y, None) if packed is None else (x, packed), strict=True):
+                    sum_of[k] = np.bincount(at, z, size)
+            found = [z.reshape(f, slots, width).swapaxes(0, 1) for z in found]
+        if packed is not None:
+            number = np.floor(found[1] / one)
+            found = [found[0], found[1] - number * one, number]
+        for k, z in enumerate(found):
+            to[:, k] += z.astype(np.int64)
 
 
 def histograms(
@@ -119,7 +146,7 @@ def histograms(
             for tree, slot_of in ways:
                 slot = np.where(counts, slot_of[tree.leaves(batch.codes)], -1)
                 some = np.flatnonzero(slot >= 0)
-                _count(sums, slot[some], batch.codes[some][:, columns], a[some], b[some], width)
+                _count(sums, slot[some], np.asfortranarray(batch.codes[some][:, columns]), a[some], b[some], width)
         yield _packed({**{k: s for k, s in enumerate(sums) if s[2].any()}, **({} if more is None else {-1: more})})
 
     out, more = np.zeros((slots, 3, len(columns) * width), np.int64), None
@@ -144,8 +171,12 @@ def few_rows(columns: int, width: int) -> int:
     return columns * width * 24 // (columns + 16)
 
 
-def kept_batches(rows: DataFrame) -> RDD:
-    """The rows as Arrow batches in the executors' memory (or on their disks), read anew from the shared folder if one is lost."""
+#: Rows in the executors' memory: the batch, its codes column by column, which rows count, their two statistics, places and values.
+Kept = tuple[Batch, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def batches_of(rows: DataFrame, features: int) -> RDD:
+    """The rows as batches of about ``KEPT_ROWS``, their codes column by column, read from the shared folder."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,69 +186,163 @@ def kept_batches(rows: DataFrame) -> RDD:
                     out.write_batch(batch)
                 yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["data"])
 
-    return rows.mapInArrow(write, "data binary").rdd.map(lambda r: bytes(r.data)).persist(StorageLevel.MEMORY_AND_DISK)
+    def read(elements: Iterator[bytes]) -> Iterator[Batch]:
+        held: list[Batch] = []
+        for data in elements:
+            held.append(Batch.of(pa.ipc.open_stream(data).read_next_batch(), features))
+            if sum(len(b.ids) for b in held) >= KEPT_ROWS:
+                yield _one(held)
+                held = []
+        if held:
+            yield _one(held)
+
+    return rows.mapInArrow(write, "data binary").rdd.map(lambda r: bytes(r.data)).mapPartitions(read)
+
+
+def _one(parts: list[Batch]) -> Batch:
+    whole = {f.name: np.concatenate([getattr(b, f.name) for b in parts]) for f in fields(Batch)}
+    return Batch(**{**whole, "codes": np.asfortranarray(whole["codes"])})
 
 
-def kept_statistics(batches: RDD, features: int, statistics: Statistics, also: Callable[[Batch], np.ndarray]) -> RDD:
-    """Of each batch the rows that count (codes and two statistics), and ``also`` as the places and values that are not 0: kept, so
-    that the jobs of a round make them once."""
+def kept_statistics(batches: RDD, statistics: Statistics, also: Callable[[Batch], np.ndarray]) -> RDD:
+    """Batches with the rows that count and two statistics of each, and ``also`` as the places and values that are not 0: kept in the
+    executors' memory (or on their disks), so that the jobs of a round make them once."""
 
-    def of(data: bytes) -> tuple[np.ndarray, ...]:
-        batch = Batch.of(pa.ipc.open_stream(data).read_next_batch(), features)
+    def of(batch: Batch) -> Kept:
         a, b, counts = statistics(batch)
         more = also(batch)
         at = np.flatnonzero(more)
-        return batch.codes[counts], a[counts], b[counts], at, more[at]
+        return batch, np.flatnonzero(counts), a[counts], b[counts], at, more[at]
 
     return batches.map(of).persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def kept_histograms(kept: RDD, columns: np.ndarray, width: int, tree: Tree, wanted: dict[int, int], slots: int, whole: list[int], judged: int = 0) -> tuple[np.ndarray, dict[int, Few], np.ndarray]:
-    """Sums of the leaves ``wanted`` as :func:`histograms` has them, the rows of the leaves ``whole``, and the sum of ``also`` over
-    all rows, of length ``judged``."""
+@dataclass(frozen=True)
+class Deep:
+    """Nodes that are to be grown to their end, with their rows' numbers; for how many more splits there is room, and the least gain
+    that can be among those; nodes whose histogram is wanted too; the rule and the rate."""
+
+    nodes: dict[int, int]
+    most: int
+    least: float
+    sums: set[int]
+    rule: Rule
+    rate: float
+
+    def places(self, tasks: int) -> dict[int, int]:
+        """A task for each node, the largest first to the one that has least to do."""
+        load, out = [0] * tasks, {}
+        for node in sorted(self.nodes, key=lambda k: -self.nodes[k]):
+            out[node] = min(range(tasks), key=load.__getitem__)
+            load[out[node]] += self.nodes[node]
+        return out
+
+
+@dataclass
+class Grown:
+    """A node with its value, its best split (gain, column, cut) if it has one, and, where it was grown, its children."""
+
+    value: float
+    split: tuple[float, int, int] | None
+    children: tuple[Grown, Grown] | None = None
+
+
+def grown(rows: Few, shape: tuple[int, ...], most: int, least: float, rule: Rule, rate: float) -> tuple[Grown, np.ndarray]:
+    """A node grown best-first, and its histogram: the first ``most`` splits and those of equal gain, if they gain ``least``."""
+    codes, a, b = rows
+    codes = np.asfortranarray(codes)
+
+    def counted(at: np.ndarray) -> np.ndarray:
+        sums = np.zeros((1, 3, shape[1] * shape[2]), np.int64)
+        if len(at):
+            _count(sums, np.zeros(len(at), np.int64), codes, a[at], b[at], shape[2], None, at)
+        return sums.reshape(shape)
+
+    def made(at: np.ndarray, sums: np.ndarray) -> Grown:
+        node = Grown(_value(sums, rule, rate), rule.best(sums))
+        if node.split is not None:
+            heapq.heappush(queue, (-node.split[0], len(held)))
+            held.append((node, at, sums))
+        return node
+
+    queue: list[tuple[float, int]] = []
+    held: list[tuple[Grown, np.ndarray, np.ndarray] | None] = []
+    every = np.arange(len(codes))
+    whole = counted(every)
+    root = made(every, whole)
+    last = math.inf
+    while queue and -queue[0][0] >= least and (most > 0 or -queue[0][0] >= last):
+        gain, k = heapq.heappop(queue)
+        (node, at, sums), held[k] = held[k], None
+        most, last = most - 1, -gain
+        low = codes[:, node.split[1]][at] <= node.split[2]
+        left, right = at[low], at[~low]
+        part = counted(left if len(left) <= len(right) else right)
+        first, second = (part, sums - part) if len(left) <= len(right) else (sums - part, part)
+        node.children = made(left, first), made(right, second)
+    return root, whole
+
+
+def kept_histograms(
+    kept: RDD, columns: np.ndarray, width: int, tree: Tree, wanted: dict[int, int], slots: int, whole: list[int], judged: int = 0, deep: Deep | None = None
+) -> tuple[np.ndarray, dict[int, Few], np.ndarray, dict[int, tuple[Grown, np.ndarray | None]]]:
+    """Sums of the leaves ``wanted`` as :func:`histograms` has them, the rows of the leaves ``whole``, the sum of ``also`` over
+    all rows, of length ``judged``, and what grows below the leaves ``deep``."""
     slot_of = np.array([wanted.get(k, -1) for k in range(len(tree.feature))])
+    apart = {**dict.fromkeys(whole, "rows"), **dict.fromkeys(deep.nodes if deep else (), "deep")}
 
-    def part(elements: Iterator[tuple[np.ndarray, ...]]) -> Iterator[tuple[tuple[str, int], tuple[np.ndarray, ...]]]:
-        sums, more, found = np.zeros((slots if wanted else 0, 3, len(columns) * width), np.int64), np.zeros(judged, np.int64), {k: [] for k in whole}
-        for codes, a, b, at, n in elements:
-            leaf = tree.leaves(codes)
+    def part(elements: Iterator[Kept]) -> Iterator[tuple[tuple[str, int], tuple[np.ndarray, ...]]]:
+        sums, more, found = np.zeros((slots if wanted else 0, 3, len(columns) * width), np.int64), np.zeros(judged, np.int64), {k: [] for k in apart}
+        for batch, counts, a, b, at, n in elements:
+            leaf = tree.leaves(batch.codes, counts)
             slot = slot_of[leaf]
             some = np.flatnonzero(slot >= 0)
             if len(some):
-                _count(sums, slot[some], codes[some][:, columns], a[some], b[some], width)
-            for k in whole:
+                _count(sums, slot[some], batch.codes, a[some], b[some], width, columns, counts[some])
+            for k in apart:
                 own = np.flatnonzero(leaf == k)
-                found[k].append((codes[own][:, columns], a[own], b[own]))
+                found[k].append((batch.codes[counts[own]][:, columns], a[own], b[own]))
             if judged:
                 more[at] += n
         yield from ((("sums", k), (s,)) for k, s in enumerate(sums) if s[2].any())
-        yield from ((("rows", k), _joined(x)) for k, x in found.items() if x)
+        yield from (((apart[k], k), _joined(x)) for k, x in found.items() if x)
         if judged:
-            yield ("more", 0), (more,)
-
-    parts = kept.mapPartitions(part)
-    if kept.getNumPartitions() > FEW_TASKS:
-        parts = parts.groupByKey().map(_merged)
-    out, more, rows = np.zeros((slots, 3, len(columns) * width), np.int64), np.zeros(judged, np.int64), {k: [] for k in whole}
-    for (kind, k), x in parts.collect():  # sums of a bounded number of nodes, and rows that take no more
+            places = np.flatnonzero(more)
+            yield ("more", 0), (places, more[places])
+
+    def settled(elements: Iterator[tuple[tuple[str, int], tuple[np.ndarray, ...]]]) -> Iterator[tuple[tuple[str, int], tuple]]:
+        held: dict[tuple[str, int], list] = {}
+        for key, x in elements:
+            held.setdefault(key, []).append(x)
+        while held:
+            (kind, k), x = held.popitem()
+            if kind == "deep":
+                node, sums = grown(_joined(x), (3, len(columns), width), deep.most, deep.least, deep.rule, deep.rate)
+                yield (kind, k), (node, sums if k in deep.sums else None)
+            else:
+                yield (kind, k), (sum(y[0] for y in x),) if kind == "sums" else _joined(x)
+
+    parts, tasks = kept.mapPartitions(part), kept.getNumPartitions()
+    if deep or tasks > FEW_TASKS:
+        places = deep.places(tasks) if deep else {}
+        parts = parts.partitionBy(tasks, lambda key: places[key[1]] if key[0] == "deep" else key[1]).mapPartitions(settled)
+    out, more, rows, below = np.zeros((slots, 3, len(columns) * width), np.int64), np.zeros(judged, np.int64), {k: [] for k in whole}, {}
+    for (kind, k), x in parts.collect():  # sums of a bounded number of nodes, rows that take no more, and splits
         if kind == "rows":
             rows[k].append(x)
+        elif kind == "deep":
+            below[k] = x
         elif kind == "sums":
             out[k] += x[0].reshape(3, -1)
         else:
-            more += x[0]
-    return out.reshape(slots, 3, len(columns), width), {k: _joined(x) for k, x in rows.items()}, more
+            np.add.at(more, x[0], x[1])
+    return out.reshape(slots, 3, len(columns), width), {k: _joined(x) for k, x in rows.items()}, more, below
 
 
 def _joined(parts: list[Few]) -> Few:
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
-def _merged(group: tuple) -> tuple:
-    key, values = group
-    return key, _joined(list(values)) if key[0] == "rows" else (sum(x[0] for x in values),)
-
-
 def _packed(sums: dict[int, np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], ["slot", "data"])
 
@@ -270,36 +395,54 @@ class Rule:
         return (float(gain[f, c]), f, c) if gain[f, c] > 1e-12 else None
 
 
-def leaf_wise(root: np.ndarray, fetch: Callable[[Tree, dict[int, int], int, list[int]], tuple[np.ndarray, dict[int, Few]]], columns: np.ndarray, rule: Rule, most_leaves: int, rate: float, slots: int, few: int) -> Tree:
+def _value(sums: np.ndarray, rule: Rule, rate: float) -> float:
+    g, h = sums[0, 0].sum() / UNIT, sums[1, 0].sum() / UNIT
+    return rate * float(rule.value(g, h))
+
+
+#: A tree, slots of leaves, their number, leaves whose rows are wanted, and leaves to be grown, to sums, rows and what was grown.
+Fetch = Callable[[Tree, dict[int, int], int, list[int], Deep | None], tuple[np.ndarray, dict[int, Few], dict[int, tuple[Grown, np.ndarray | None]]]]
+
+
+def leaf_wise(root: np.ndarray, fetch: Fetch, columns: np.ndarray, rule: Rule, most_leaves: int, rate: float, slots: int, few: int) -> Tree:
     """A tree grown best-first to ``most_leaves``, from the root's histogram.
 
     The queue is replayed on the driver: when its best leaf has no children yet, one job makes those of all leaves that wait, so a tree
-    takes about as many jobs as it has levels, and is the tree that splitting one leaf at a time gives. ``fetch`` also
-    takes a list of leaves of ``few`` rows at most and returns their rows beside the sums; what lies below them needs no job.
+    takes about as many jobs as it has levels of large nodes, and is the tree that splitting one leaf at a time gives. ``fetch`` also
+    takes a list of leaves of ``few`` rows at most and returns their rows beside the sums, and leaves of ``DEEP_ROWS`` at most, which
+    it grows so far as the queue can ask for them; what lies below both needs no job.
     """
     tree, queue = Tree(), []
     own: dict[int, Few] = {}
+    ready: dict[int, Grown] = {}
     held: dict[int, np.ndarray] = {}
     splits: dict[int, tuple[float, int, int]] = {}
 
-    def value_of(sums: np.ndarray) -> float:
-        g, h = sums[0, 0].sum() / UNIT, sums[1, 0].sum() / UNIT
-        return rate * float(rule.value(g, h))
-
     def wait(node: int) -> None:
         if node in splits:
             heapq.heappush(queue, (-splits[node][0], node))
 
     def known(node: int, sums: np.ndarray) -> None:
-        tree.value[node] = value_of(sums)
+        tree.value[node] = _value(sums, rule, rate)
         if (found := rule.best(sums)) is not None:
             held[node], splits[node] = sums, found
 
+    def given(node: int, found: Grown) -> None:
+        tree.value[node] = found.value
+        if found.split is not None:
+            ready[node], splits[node] = found, found.split
+
     def expand(nodes: list[int]) -> None:
         wanted, whole, pairs = {}, [], []
+        below: dict[int, int] = {}
+        room = most_leaves - 1 - len(accepted)
         for node in nodes:
             _, f, c = splits[node]
             left, right = tree.split(node, columns[f], c)
+            if node in ready:
+                for child, found in zip((left, right), ready.pop(node).children, strict=True):
+                    given(child, found)
+                continue
             n = held[node][2, f]
             of_left, of_right = int(n[: c + 1].sum()), int(n[c + 1 :].sum())
             small, large = (left, right) if of_left <= of_right else (right, left)
@@ -310,15 +453,30 @@ def leaf_wise(root: np.ndarray, fetch: Callable[[Tree, dict[int, int], int, list
                 own[left], own[right] = (codes[to], a[to], b[to]), (codes[~to], a[~to], b[~to])
                 continue
             whole += [k for k, rows in ((left, of_left), (right, of_right)) if rows <= few]
-            if min(of_left, of_right) > few:
+            below |= {k: rows for k, rows in ((left, of_left), (right, of_right)) if few < rows <= DEEP_ROWS}
+            if min(of_left, of_right) > max(few, DEEP_ROWS):
                 wanted[small] = len(wanted)
-        if wanted or whole:
-            sums, found = fetch(tree, wanted, len(wanted), whole)
+        if wanted or whole or below:
+            # with so many splits at hand as there is room for, none that gains less is ever made
+            gains = sorted((-gain for gain, _ in queue), reverse=True)
+            least = gains[room - 1] if len(gains) >= room else 0.0
+            lone = {small for _, small, large in pairs if small in below and large not in below}
+            sums, found, deep = fetch(tree, wanted, len(wanted), whole, Deep(below, room, least, lone, rule, rate) if below else None)
             own.update(found)
         for node, small, large in pairs:
-            part = sums[wanted[small]] if small in wanted else _sums(own[small], root.shape)
-            known(small, part)
-            known(large, held.pop(node) - part)
+            if small in below:
+                given(small, deep[small][0])
+            if large in below:
+                given(large, deep[large][0])
+            if small in below and large in below:
+                held.pop(node)
+                continue
+            part = deep[small][1] if small in below else sums[wanted[small]] if small in wanted else _sums(own[small], root.shape)
+            if small not in below:
+                known(small, part)
+            rest = held.pop(node) - part
+            if large not in below:
+                known(large, rest)
 
     known(tree.add(), root)
     wait(0)
@@ -326,7 +484,8 @@ def leaf_wise(root: np.ndarray, fetch: Callable[[Tree, dict[int, int], int, list
     while queue and len(accepted) + 1 < most_leaves:
         best = queue[0][1]
         if tree.feature[best] < 0:
-            waiting = [best] if best in own else [node for _, node in sorted(queue) if tree.feature[node] < 0 and node not in own]
+            at_hand = lambda node: node in own or node in ready
+            waiting = [best] if at_hand(best) else [node for _, node in sorted(queue) if tree.feature[node] < 0 and not at_hand(node)]
             expand(waiting[: min(slots, most_leaves - 1 - len(accepted))])
         heapq.heappop(queue)
         accepted.append(best)
@@ -339,7 +498,8 @@ def _sums(rows: Few, shape: tuple[int, ...]) -> np.ndarray:
     """The histogram of a node's rows."""
     codes, a, b = rows
     sums = np.zeros((1, 3, shape[1] * shape[2]), np.int64)
-    _count(sums, np.zeros(len(codes), np.int64), codes, a, b, shape[2])
+    if len(codes):
+        _count(sums, np.zeros(len(codes), np.int64), np.asfortranarray(codes), a, b, shape[2])
     return sums.reshape(shape)
 
 

@@ -293,3 +293,58 @@ def test_a_round_needs_no_job_below_nodes_of_few_rows(spark, monkeypatch):
     fit.close()
     assert grown == [fit.model.trees[0]] * 2
     assert len(fit.model.trees[0].feature) == 15
+
+
+def test_nodes_that_one_task_can_hold_are_grown_there(spark, monkeypatch):
+    x, y, w = made(12, 3000)
+    m = Matrix.write(table(spark, x, y, w).withColumn("flag", F.col("flag").cast("int")), FEATURES, 32)
+    monkeypatch.setattr(boosting, "few_rows", lambda columns, width: 20)
+    grown = []
+    for deep in (trees.DEEP_ROWS, 400, 0):
+        monkeypatch.setattr(trees, "DEEP_ROWS", deep)
+        fit = boosting.Fit(m, Rule(5), 0.3, 24, 1.0, 1.0, None, True, 3)
+        group = f"deep-{deep}"
+        spark.sparkContext.setJobGroup(group, group)
+        try:
+            assert fit.round(0)
+            jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+            assert fit.round(1)
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        fit.close()
+        grown.append((jobs, fit.model.trees))
+    # the root's rows, and all below its children, where levels took a job each
+    assert grown[0][0] == 2 < grown[1][0] <= grown[2][0]
+    assert grown[0][1] == grown[1][1] == grown[2][1]
+    assert len(grown[0][1][0].feature) == 47
+
+
+@pytest.mark.parametrize("second", [lambda n: n, lambda n: n - 1e5, lambda n: n * 2.0**32])
+@pytest.mark.parametrize("chunk", [64, 1 << 24])
+def test_sums_are_those_of_plain_loops(monkeypatch, second, chunk):
+    monkeypatch.setattr(trees, "CHUNK", chunk)
+    rng = np.random.default_rng(13)
+    codes = np.asfortranarray(rng.integers(0, 9, (3000, 4)).astype(np.uint8))
+    a, b = np.rint(rng.normal(0, 1e6, 3000)), second(np.rint(rng.random(3000) * 6e5))
+    for rows in (np.arange(3000), np.arange(5, 3000, 2), np.arange(40)):
+        slot, columns, n = rng.integers(0, 3, len(rows)), np.array([1, 3]), len(rows)
+        got, want = np.zeros((3, 3, 18), np.int64), np.zeros((3, 3, 18), np.int64)
+        trees._count(got, slot, codes, a[:n], b[:n], 9, columns, rows)
+        for k, row in enumerate(rows):
+            for j, c in enumerate(columns):
+                want[slot[k], :, j * 9 + int(codes[row, c])] += np.array([a[k], b[k], 1], np.int64)
+        assert (got == want).all()
+
+
+def test_margins_are_kept_from_round_to_round(spark, monkeypatch):
+    """A round adds the newest tree alone to the margins that the executors hold."""
+    x, y, w = made(14, 300)
+    m = Matrix.write(table(spark, x, y, w).withColumn("flag", F.col("flag").cast("int")), FEATURES, 16)
+    fit = boosting.Fit(m, Rule(5), 0.3, 6, 1.0, 1.0, None, True, 3)
+    monkeypatch.setattr(fit, "margins", lambda own=fit.margins: own() if fit.kept is None else pytest.fail("from the start"))
+    assert all(fit.round(n) for n in range(4))
+    codes = plain_codes(x, m.edges)
+    held = {i: v for k in fit.kept.collect() for i, v in zip(k[0].ids.tolist(), k[0].margins.tolist(), strict=True)}
+    want = fit.model.base + sum(t.values(codes) for t in fit.model.trees[:3])
+    assert np.allclose([held[i] for i in sorted(held)], want, atol=1e-12)
+    fit.close()

@@ -236,7 +236,7 @@ class Fit:
         before, kept = self.kept, kept_statistics(self._advanced(), statistics, judge)
         self.kept, self.behind = kept, 0
 
-        def fetch(tree: Tree, wanted: dict[int, int], k: int, whole: list[int], deep: Deep | None) -> tuple[np.ndarray, dict[int, Few], dict[int, tuple[Grown, np.ndarray | None]]]:
+        def fetch(tree: Tree, wanted: dict[int, int], k: int, whole: list[int], deep: Deep | None) -> tuple[np.ndarray, dict[int, Few], dict[int, Grown]]:
             sums, rows, _, below = kept_histograms(kept, chosen, width, tree, wanted, k, whole, 0, deep)
             return sums, rows, below
 

@@ -220,12 +220,11 @@ def kept_statistics(batches: RDD, statistics: Statistics, also: Callable[[Batch]
 @dataclass(frozen=True)
 class Deep:
     """Nodes that are to be grown to their end, with their rows' numbers; for how many more splits there is room, and the least gain
-    that can be among those; nodes whose histogram is wanted too; the rule and the rate."""
+    that can be among those; the rule and the rate."""
 
     nodes: dict[int, int]
     most: int
     least: float
-    sums: set[int]
     rule: Rule
     rate: float
 
@@ -247,8 +246,8 @@ class Grown:
     children: tuple[Grown, Grown] | None = None
 
 
-def grown(rows: Few, shape: tuple[int, ...], most: int, least: float, rule: Rule, rate: float) -> tuple[Grown, np.ndarray]:
-    """A node grown best-first, and its histogram: the first ``most`` splits and those of equal gain, if they gain ``least``."""
+def grown(rows: Few, shape: tuple[int, ...], most: int, least: float, rule: Rule, rate: float) -> Grown:
+    """A node grown best-first: the first ``most`` splits and those of equal gain, if they gain ``least``."""
     codes, a, b = rows
     codes = np.asfortranarray(codes)
 
@@ -268,8 +267,7 @@ def grown(rows: Few, shape: tuple[int, ...], most: int, least: float, rule: Rule
     queue: list[tuple[float, int]] = []
     held: list[tuple[Grown, np.ndarray, np.ndarray] | None] = []
     every = np.arange(len(codes))
-    whole = counted(every)
-    root = made(every, whole)
+    root = made(every, counted(every))
     last = math.inf
     while queue and -queue[0][0] >= least and (most > 0 or -queue[0][0] >= last):
         gain, k = heapq.heappop(queue)
@@ -280,12 +278,12 @@ def grown(rows: Few, shape: tuple[int, ...], most: int, least: float, rule: Rule
         part = counted(left if len(left) <= len(right) else right)
         first, second = (part, sums - part) if len(left) <= len(right) else (sums - part, part)
         node.children = made(left, first), made(right, second)
-    return root, whole
+    return root
 
 
 def kept_histograms(
     kept: RDD, columns: np.ndarray, width: int, tree: Tree, wanted: dict[int, int], slots: int, whole: list[int], judged: int = 0, deep: Deep | None = None
-) -> tuple[np.ndarray, dict[int, Few], np.ndarray, dict[int, tuple[Grown, np.ndarray | None]]]:
+) -> tuple[np.ndarray, dict[int, Few], np.ndarray, dict[int, Grown]]:
     """Sums of the leaves ``wanted`` as :func:`histograms` has them, the rows of the leaves ``whole``, the sum of ``also`` over
     all rows, of length ``judged``, and what grows below the leaves ``deep``."""
     slot_of = np.array([wanted.get(k, -1) for k in range(len(tree.feature))])
@@ -317,8 +315,7 @@ def kept_histograms(
         while held:
             (kind, k), x = held.popitem()
             if kind == "deep":
-                node, sums = grown(_joined(x), (3, len(columns), width), deep.most, deep.least, deep.rule, deep.rate)
-                yield (kind, k), (node, sums if k in deep.sums else None)
+                yield (kind, k), grown(_joined(x), (3, len(columns), width), deep.most, deep.least, deep.rule, deep.rate)
             else:
                 yield (kind, k), (sum(y[0] for y in x),) if kind == "sums" else _joined(x)
 
@@ -401,7 +398,7 @@ def _value(sums: np.ndarray, rule: Rule, rate: float) -> float:
 
 
 #: A tree, slots of leaves, their number, leaves whose rows are wanted, and leaves to be grown, to sums, rows and what was grown.
-Fetch = Callable[[Tree, dict[int, int], int, list[int], Deep | None], tuple[np.ndarray, dict[int, Few], dict[int, tuple[Grown, np.ndarray | None]]]]
+Fetch = Callable[[Tree, dict[int, int], int, list[int], Deep | None], tuple[np.ndarray, dict[int, Few], dict[int, Grown]]]
 
 
 def leaf_wise(root: np.ndarray, fetch: Fetch, columns: np.ndarray, rule: Rule, most_leaves: int, rate: float, slots: int, few: int) -> Tree:
@@ -409,8 +406,8 @@ def leaf_wise(root: np.ndarray, fetch: Fetch, columns: np.ndarray, rule: Rule, m
 
     The queue is replayed on the driver: when its best leaf has no children yet, one job makes those of all leaves that wait, so a tree
     takes about as many jobs as it has levels of large nodes, and is the tree that splitting one leaf at a time gives. ``fetch`` also
-    takes a list of leaves of ``few`` rows at most and returns their rows beside the sums, and leaves of ``DEEP_ROWS`` at most, which
-    it grows so far as the queue can ask for them; what lies below both needs no job.
+    takes a list of leaves of ``few`` rows at most and returns their rows beside the sums, and waiting leaves of ``DEEP_ROWS`` at most,
+    which it grows so far as the queue can ask for them; what lies below both needs no job. Such leaves wait until one of them is the best.
     """
     tree, queue = Tree(), []
     own: dict[int, Few] = {}
@@ -432,10 +429,8 @@ def leaf_wise(root: np.ndarray, fetch: Fetch, columns: np.ndarray, rule: Rule, m
         if found.split is not None:
             ready[node], splits[node] = found, found.split
 
-    def expand(nodes: list[int]) -> None:
+    def expand(nodes: list[int], below: list[int]) -> None:
         wanted, whole, pairs = {}, [], []
-        below: dict[int, int] = {}
-        room = most_leaves - 1 - len(accepted)
         for node in nodes:
             _, f, c = splits[node]
             left, right = tree.split(node, columns[f], c)
@@ -453,40 +448,36 @@ def leaf_wise(root: np.ndarray, fetch: Fetch, columns: np.ndarray, rule: Rule, m
                 own[left], own[right] = (codes[to], a[to], b[to]), (codes[~to], a[~to], b[~to])
                 continue
             whole += [k for k, rows in ((left, of_left), (right, of_right)) if rows <= few]
-            below |= {k: rows for k, rows in ((left, of_left), (right, of_right)) if few < rows <= DEEP_ROWS}
-            if min(of_left, of_right) > max(few, DEEP_ROWS):
+            if min(of_left, of_right) > few:
                 wanted[small] = len(wanted)
         if wanted or whole or below:
             # with so many splits at hand as there is room for, none that gains less is ever made
-            gains = sorted((-gain for gain, _ in queue), reverse=True)
-            least = gains[room - 1] if len(gains) >= room else 0.0
-            lone = {small for _, small, large in pairs if small in below and large not in below}
-            sums, found, deep = fetch(tree, wanted, len(wanted), whole, Deep(below, room, least, lone, rule, rate) if below else None)
+            room, gains = most_leaves - 1 - len(accepted), sorted((-gain for gain, _ in queue), reverse=True)
+            deep = Deep({k: rows_of(k) for k in below}, room, gains[room - 1] if len(gains) >= room else 0.0, rule, rate)
+            sums, found, made = fetch(tree, wanted, len(wanted), whole, deep if below else None)
             own.update(found)
+            ready.update(made)
         for node, small, large in pairs:
-            if small in below:
-                given(small, deep[small][0])
-            if large in below:
-                given(large, deep[large][0])
-            if small in below and large in below:
-                held.pop(node)
-                continue
-            part = deep[small][1] if small in below else sums[wanted[small]] if small in wanted else _sums(own[small], root.shape)
-            if small not in below:
-                known(small, part)
-            rest = held.pop(node) - part
-            if large not in below:
-                known(large, rest)
+            part = sums[wanted[small]] if small in wanted else _sums(own[small], root.shape)
+            known(small, part)
+            known(large, held.pop(node) - part)
+
+    def rows_of(node: int) -> int:
+        return int(held[node][2, 0].sum())
 
     known(tree.add(), root)
     wait(0)
     accepted: list[int] = []
     while queue and len(accepted) + 1 < most_leaves:
         best = queue[0][1]
-        if tree.feature[best] < 0:
+        while tree.feature[best] < 0:
             at_hand = lambda node: node in own or node in ready
-            waiting = [best] if at_hand(best) else [node for _, node in sorted(queue) if tree.feature[node] < 0 and not at_hand(node)]
-            expand(waiting[: min(slots, most_leaves - 1 - len(accepted))])
+            if at_hand(best):
+                expand([best], [])
+                continue
+            waiting = [node for _, node in sorted(queue) if tree.feature[node] < 0 and not at_hand(node)][: min(slots, most_leaves - 1 - len(accepted))]
+            deep = [node for node in waiting if rows_of(node) <= DEEP_ROWS]
+            expand([node for node in waiting if node not in deep], deep if best in deep else [])
         heapq.heappop(queue)
         accepted.append(best)
         wait(tree.left[best])
